@@ -33,7 +33,7 @@ _BLOCK = (
     + "".join(rf",(?P<{p}>{_NUMBER})" for p in PRICES)
     + r",(?P<volume>[0-9]+)\r?\z"
 )
-_FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _LINE = re.compile(rf"{_FIELD}(?:,{_FIELD})*", re.S)
 _FIELDS = re.compile(rf"(?:\A|,)({_FIELD})", re.S)
 _STAMP = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})")

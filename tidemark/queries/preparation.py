@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bad_rows, normalise_time
+from tidemark.operators import bad_rows, known_at, normalise_time, trailing
 from tidemark.session import table
 
 
@@ -45,3 +45,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         .select(F.lit("finnhub_bar").alias("src"), F.col("bar_id").alias("rec_id"), normalise_time.epoch_millis(value).alias("utc_ms"))
     )
     return first.unionByName(hk).unionByName(bars).where(F.col("utc_ms").isNotNull())
+
+
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    candles = table(spark, d, "stock_candles")
+    out = trailing.trailing_totals(candles, "symbol", "candle_start_epoch_millis", "candle_id", "volume", "close")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    busy = F.col("volume_7") / 7 > 2 * F.col("volume_30") / 30
+    cheap = F.col("close_avg_7") < 0.995 * F.col("close_avg_30")
+    return p4_totals(spark, d).where(busy & cheap).select("symbol", "day")
+
+
+def p7_known(spark: SparkSession, d: str) -> DataFrame:
+    return known_at.known_at(
+        table(spark, d, "stock_candles"),
+        table(spark, d, "exchange_rates"),
+        event_id="candle_id",
+        event_key="currency",
+        event_ms="candle_end_epoch_millis",
+        version_id="rate_id",
+        version_key="base_currency",
+        valid_ms="timestamp_epoch_millis",
+        known_ms="received_epoch_millis",
+        value="one_quote_in_base",
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_known(spark, d).select("candle_id", "rate_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found, p7_found)}

@@ -50,7 +50,8 @@ def utc_millis(parser: StampParser, text: Column, code: Column) -> Column:
     def parse(texts: pa.Array, codes: pa.Array) -> pa.Array:
         return parser(texts.cast(pa.string()), codes.cast(pa.string()))
 
-    return parse(text.cast("string"), code.cast("string"))
+    # else a later filter on the result would make Catalyst run the parser twice
+    return parse.asNondeterministic()(text.cast("string"), code.cast("string"))
 
 
 def with_zone(parser: StampParser, code: str, zone: str) -> StampParser:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bad_rows, known_at, normalise_time, trailing
+from tidemark.operators import bad_rows, known_at, normalise_time, spikes, trailing
 from tidemark.session import table
 
 
@@ -78,4 +78,34 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_known(spark, d).select("candle_id", "rate_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found, p7_found)}
+TICK_RULES = (
+    spikes.Rule(least=0, barred=True, relative=True, times=15),  # price_micro_dollars, close
+    spikes.Rule(least=0, barred=False, relative=False, times=20),  # volume
+)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    ticks = table(spark, d, "stock_ticks").select(
+        F.concat(F.lit("t"), F.col("symbol")).alias("source"),
+        F.col("timestamp_ms").alias("t"),
+        F.col("tick_id").alias("rec_id"),
+        F.col("price_micro_dollars").cast("double").alias("price"),
+        F.col("volume").cast("double").alias("volume"),
+    )
+    bars = table(spark, d, "finnhub_bar").select(
+        F.concat(F.lit("b"), F.col("resolution").cast("string"), F.lit("|"), F.col("symbol")).alias("source"),
+        normalise_time.epoch_seconds(F.col("timestamp_seconds")).alias("t"),
+        F.col("bar_id").alias("rec_id"),
+        F.col("close").alias("price"),
+        F.lit(None).cast("double").alias("volume"),
+    )
+    found = spikes.implausible(ticks.unionByName(bars), TICK_RULES)
+    tick = F.col("source").startswith("t")
+    return found.select(
+        F.when(tick, "stock_ticks").otherwise("finnhub_bar").alias("src"),
+        "rec_id",
+        F.when(F.col("field") == 1, "volume").when(tick, "price_micro_dollars").otherwise("close").alias("field"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p4_found, p5_found, p7_found)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bad_rows, known_at, normalise_time, spikes, trailing
+from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, trailing
 from tidemark.session import table
 
 
@@ -108,4 +108,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p4_found, p5_found, p7_found)}
+def _grid(spark: SparkSession, d: str, only_gaps: bool) -> DataFrame:
+    bars = table(spark, d, "finnhub_bar")
+    out = regular_grid.regular_grid(
+        bars,
+        source=F.col("symbol"),
+        resolution=F.col("resolution"),
+        seconds=normalise_time.epoch_seconds(F.col("timestamp_seconds")),
+        value=F.col("close"),
+        tie=F.col("bar_id"),
+        only_gaps=only_gaps,
+    )
+    return out.withColumnRenamed("source", "symbol").withColumn("resolution", F.col("resolution").cast("int"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, True).select("symbol", "resolution", "slot_seconds")
+
+
+def p3_series(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, False)
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p3_found, p3_series, p4_found, p5_found, p7_found)
+}

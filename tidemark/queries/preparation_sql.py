@@ -29,12 +29,27 @@ t as (select days.symbol, days.d,
   from days left join daily on daily.symbol = days.symbol and daily.d between days.d - 29 and days.d group by all)
 """
 
+_SECONDS = (
+    "case "
+    + " ".join(
+        f"when timestamp_seconds between {631152000 * u} and {1893456000 * u - 1} then timestamp_seconds // {u}" for u in (1, 10**3, 10**6, 10**9)
+    )
+    + " end"
+)
+_SLOTS = f"""
+with b as (select symbol, resolution, {_SECONDS} s from finnhub_bar where symbol is not null and resolution > 0),
+h as (select distinct symbol, resolution, s - s % (resolution * 60) slot from b where s is not null),
+r as (select symbol, resolution, slot // 86400 d, min(slot) a, max(slot) z from h group by all),
+g as (select symbol, resolution, unnest(generate_series(a, z, resolution * 60)) slot from r)
+"""
+
 _CODE = "upper(trim({}))"
 
 SQL = {
     "p1_found": f"{_LINES} select raw_id, reason from c where reason is not null",
     "p1_records": f"""{_LINES} select raw_id, epoch_ms(cast(f[1] as timestamp)) ts_ms, cast(f[2] as double) "open", cast(f[3] as double) high,
   cast(f[4] as double) low, cast(f[5] as double) "close", cast(f[6] as bigint) volume from c where reason is null""",
+    "p3_found": f"{_SLOTS} select symbol, resolution, slot slot_seconds from g anti join h using (symbol, resolution, slot)",
     "p4_found": f"""{_DAILY} select symbol, strftime(date '1970-01-01' + d, '%Y-%m-%d') "day" from t
   where volume_7 / 7 > 2 * volume_30 / 30 and close_avg_7 < 0.995 * close_avg_30""",
     "p7_found": f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encode, nearest, packing
+from tidemark.llm import encode, nearest, packing, pii
 from tidemark.session import table
 
 TOLERANCE_MS = 600_000
@@ -35,4 +35,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_containers, p10_found, p10_redacted)}

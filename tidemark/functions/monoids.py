@@ -1,8 +1,8 @@
 """Aggregations of features: what is kept per key, and how it is read.
 
-Each native one lowers to window expressions over the rows that update it. `over` gives its
-columns for a frame; `windowed` combines two frames (earlier times, and the same millisecond
-so far), which must be exact for it. Those of unknown form are folded in point order.
+Each one is a tuple of components with a mergeable operation, so that the same definition
+serves a running window, a trailing one (two frames merged) and a key split over many tasks
+(the state before a part is one more update). Those of unknown form are folded in Python.
 """
 
 from __future__ import annotations
@@ -25,128 +25,182 @@ def column(e: Expr) -> Column:
 
 
 class Monoid:
-    """`fields`: suffixes of its columns; the empty one stands for the name of the feature itself."""
+    """An aggregate as a few components, each with an operation that combines it.
+
+    lift: components of an update from its input columns. ops: `sum`, `max`, `min`, `first`,
+    `last`, `set` or `decay` for each. finish: result columns from combined components, which
+    are null where no update has been seen. stable: result columns of a running aggregate by
+    Spark's own numerically stable functions, for those that have them.
+    fields: suffixes of the result columns; the empty one stands for the aggregate's own name.
+    """
 
     fields: tuple[str, ...] = ("",)
     inputs: tuple[Expr, ...] = ()
-
-    def over(self, x: list[Column], mask: Column, frame: WindowSpec) -> list[Column]:
-        raise NotImplementedError
-
-    def merge(self, a: list[Column], b: list[Column]) -> list[Column]:
-        raise TypeError(f"{type(self).__name__} has no exact trailing window")
-
-    def empty(self, got: list[Column]) -> list[Column]:
-        """What is read where no update has been seen."""
-        return got
-
-
-def _where(mask: Column, x: Column) -> Column:
-    return F.when(mask, x)
+    ops: tuple[str, ...] = ()
+
+    def lift(self, x: list[Column]) -> list[Column]:
+        return x
+
+    def finish(self, c: list[Column]) -> list[Column]:
+        return c
+
+    def stable(self, x: list[Column], mask: Column, frame: WindowSpec) -> list[Column] | None:
+        return None
+
+
+def over(op: str, value: Column, frame: WindowSpec) -> Column:
+    """A component combined over a frame; value is null on rows that take no part."""
+    match op:
+        case "sum":
+            return F.sum(value).over(frame)
+        case "max":
+            return F.max(value).over(frame)
+        case "min":
+            return F.min(value).over(frame)
+        case "first":
+            return F.first(value, ignorenulls=True).over(frame)
+        case "last":
+            return F.last(value, ignorenulls=True).over(frame)
+        case "set":
+            return F.collect_set(value).over(frame)
+    raise ValueError(op)
+
+
+def total(op: str, value: Column, point: Column) -> Column:
+    """A component combined over a group; point orders the rows."""
+    match op:
+        case "sum":
+            return F.sum(value)
+        case "max":
+            return F.max(value)
+        case "min":
+            return F.min(value)
+        case "first":
+            return F.min_by(value, F.when(value.isNotNull(), point))
+        case "last":
+            return F.max_by(value, F.when(value.isNotNull(), point))
+    raise ValueError(op)
+
+
+def merged(op: str, early: Column, late: Column) -> Column:
+    """Two combined components, of earlier and of later updates, as one."""
+    match op:
+        case "sum":
+            return F.coalesce(early + late, early, late)
+        case "max":
+            return F.greatest(early, late)
+        case "min":
+            return F.least(early, late)
+        case "first":
+            return F.coalesce(early, late)
+        case "last":
+            return F.coalesce(late, early)
+        case "set":
+            return F.array_union(F.coalesce(early, F.array()), F.coalesce(late, F.array()))
+    raise ValueError(op)
 
 
 @dataclass(frozen=True)
 class Sum(Monoid):
     value: Expr
+    ops = ("sum",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.sum(_where(mask, x[0])).over(frame)]
-
-    def merge(self, a, b):
-        return [F.coalesce(a[0] + b[0], a[0], b[0])]
-
-    def empty(self, got):
-        return [F.coalesce(got[0], F.lit(0))]
+    def finish(self, c):
+        return [F.coalesce(c[0], F.lit(0))]
 
 
 @dataclass(frozen=True)
 class Count(Monoid):
-    def over(self, x, mask, frame):
-        return [F.count(_where(mask, F.lit(1))).over(frame)]
+    ops = ("sum",)
 
-    def merge(self, a, b):
-        return [F.coalesce(a[0], F.lit(0)) + F.coalesce(b[0], F.lit(0))]
+    def lift(self, x):
+        return [F.lit(1).cast("long")]
 
-    def empty(self, got):
-        return [F.coalesce(got[0], F.lit(0))]
+    def finish(self, c):
+        return [F.coalesce(c[0], F.lit(0).cast("long"))]
 
 
 @dataclass(frozen=True)
 class Max(Monoid):
     value: Expr
+    ops = ("max",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.max(_where(mask, x[0])).over(frame)]
-
-    def merge(self, a, b):
-        return [F.greatest(a[0], b[0])]
-
 
 @dataclass(frozen=True)
 class Min(Monoid):
     value: Expr
+    ops = ("min",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.min(_where(mask, x[0])).over(frame)]
-
-    def merge(self, a, b):
-        return [F.least(a[0], b[0])]
-
 
 @dataclass(frozen=True)
 class Extremum(Monoid):
     """The value of the update with the largest (or smallest) order; of equal ones the newer.
 
-    `order` must be numeric for the smallest."""
+    `order` must be numeric for the smallest. Updates without order do not count."""
 
     value: Expr
     order: Expr
     largest: bool = True
+    ops = ("max",)
 
     @property
     def inputs(self):
         return (self.value, self.order, "_point")
 
-    def over(self, x, mask, frame):
+    def lift(self, x):
         order = x[1] if self.largest else -x[1]
-        best = F.max(_where(mask & x[1].isNotNull(), F.struct(order.alias("o"), x[2].alias("p"), x[0].alias("v")))).over(frame)
-        return [best["v"]]
+        return [F.when(x[1].isNotNull(), F.struct(order.alias("o"), x[2].alias("p"), x[0].alias("v")))]
+
+    def finish(self, c):
+        return [c[0]["v"]]
 
 
 @dataclass(frozen=True)
 class First(Monoid):
     value: Expr
+    ops = ("first",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.first(_where(mask, F.struct(x[0].alias("v"))), ignorenulls=True).over(frame)["v"]]
+    def lift(self, x):
+        return [F.struct(x[0].alias("v"))]
+
+    def finish(self, c):
+        return [c[0]["v"]]
 
 
 @dataclass(frozen=True)
-class Last(Monoid):
-    value: Expr
+class Last(First):
+    ops = ("last",)
 
-    @property
-    def inputs(self):
-        return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.last(_where(mask, F.struct(x[0].alias("v"))), ignorenulls=True).over(frame)["v"]]
+@dataclass(frozen=True)
+class Bounds(Monoid):
+    """First and last time and number of the updates."""
+
+    fields = ("time_min", "time_max", "size")
+    inputs = ("_ts",)
+    ops = ("min", "max", "sum")
+
+    def lift(self, x):
+        return [x[0], x[0], F.lit(1).cast("long")]
+
+    def finish(self, c):
+        return [c[0], c[1], F.coalesce(c[2], F.lit(0).cast("long"))]
 
 
 @dataclass(frozen=True)
@@ -154,19 +208,14 @@ class AnyTrue(Monoid):
     """Logical or; false where nothing has been seen."""
 
     value: Expr
+    ops = ("max",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.max(_where(mask, x[0])).over(frame)]
-
-    def merge(self, a, b):
-        return [F.greatest(a[0], b[0])]
-
-    def empty(self, got):
-        return [F.coalesce(got[0], F.lit(False))]
+    def finish(self, c):
+        return [F.coalesce(c[0], F.lit(False))]
 
 
 @dataclass(frozen=True)
@@ -174,43 +223,44 @@ class SetUnion(Monoid):
     """The distinct values so far, sorted. Its size grows with the values of one key."""
 
     value: Expr
+    ops = ("set",)
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        return [F.array_sort(F.collect_set(_where(mask, x[0])).over(frame))]
-
-    def merge(self, a, b):
-        return [F.array_sort(F.array_union(a[0], b[0]))]
+    def finish(self, c):
+        return [F.array_sort(F.coalesce(c[0], F.array()))]
 
 
 @dataclass(frozen=True)
 class Moments(Monoid):
-    """count, mean, population variance and standard deviation."""
+    """count, mean, population variance and standard deviation.
+
+    A running one is as stable as Spark's own; a trailing or a split one sums squares of
+    (value - centre), so give a centre near the mean where that is large against the spread."""
 
     value: Expr
+    centre: float = 0.0
     fields = ("_n", "_mean", "_var", "_std")
+    ops = ("sum", "sum", "sum")
 
     @property
     def inputs(self):
         return (self.value,)
 
-    def over(self, x, mask, frame):
-        v = _where(mask, x[0].cast("double"))
-        return [F.count(v).over(frame), F.avg(v).over(frame), F.var_pop(v).over(frame), F.stddev_pop(v).over(frame)]
+    def lift(self, x):
+        v = x[0].cast("double") - F.lit(float(self.centre))
+        return [F.when(v.isNotNull(), F.lit(1).cast("long")), v, v * v]
 
-    def merge(self, a, b):
-        na, nb = F.coalesce(a[0], F.lit(0)), F.coalesce(b[0], F.lit(0))
-        ma, mb = F.coalesce(a[1], F.lit(0.0)), F.coalesce(b[1], F.lit(0.0))
-        n = na + nb
-        mean = F.try_divide(na * ma + nb * mb, n)
-        var = F.try_divide(na * F.coalesce(a[2], F.lit(0.0)) + nb * F.coalesce(b[2], F.lit(0.0)), n) + F.try_divide(na * nb * (ma - mb) * (ma - mb), n * n)
-        return [n, mean, var, F.sqrt(var)]
+    def finish(self, c):
+        mean = F.try_divide(c[1], c[0])
+        var = F.greatest(F.try_divide(c[2], c[0]) - mean * mean, F.when(mean.isNotNull(), F.lit(0.0)))
+        return [F.coalesce(c[0], F.lit(0).cast("long")), mean + F.lit(float(self.centre)), var, F.sqrt(var)]
 
-    def empty(self, got):
-        return [F.coalesce(got[0], F.lit(0)), *got[1:]]
+    def stable(self, x, mask, frame):
+        v = F.when(mask, x[0].cast("double"))
+        return [F.count(v).over(frame), F.avg(v).over(frame), F.var_pop(v).over(frame), F.stddev_pop(v).over(frame)]
 
 
 def zscore(x: Column, mean: Column, std: Column) -> Column:
@@ -219,6 +269,22 @@ def zscore(x: Column, mean: Column, std: Column) -> Column:
     return F.when(diff == 0, F.lit(0.0)).otherwise(F.try_divide(diff, std))
 
 
+def _line(n: Column, x: Column, y: Column, xx: Column, xy: Column, yy: Column) -> list[Column]:
+    """Covariance, correlation, slope and intercept of y against x, variances; from sums."""
+    n = F.nullif(n, F.lit(0.0))
+    mx, my = F.try_divide(x, n), F.try_divide(y, n)
+    cov, vx, vy = F.try_divide(xy, n) - mx * my, F.try_divide(xx, n) - mx * mx, F.try_divide(yy, n) - my * my
+    slope = F.when(vx > 0, cov / vx)
+    return [cov, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)), slope, my - slope * mx, vx, vy]
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    """The sums of a pair; null in either leaves the pair out."""
+    a, b = x.cast("double"), y.cast("double")
+    both = (a + b).isNotNull()
+    return [F.when(both, v) for v in (F.lit(1.0), a, b, a * a, a * b, b * b)]
+
+
 @dataclass(frozen=True)
 class Correlation(Monoid):
     """Covariance, correlation, least squares line and variances of pairs (y against x)."""
@@ -226,14 +292,21 @@ class Correlation(Monoid):
     x: Expr
     y: Expr
     fields = ("_cov", "_corr", "_slope", "_intercept", "_var_x", "_var_y")
+    ops = ("sum",) * 6
 
     @property
     def inputs(self):
         return (self.x, self.y)
 
-    def over(self, x, mask, frame):
+    def lift(self, x):
+        return _pair(*x)
+
+    def finish(self, c):
+        return _line(*c)
+
+    def stable(self, x, mask, frame):
         both = mask & x[0].isNotNull() & x[1].isNotNull()
-        a, b = _where(both, x[0].cast("double")), _where(both, x[1].cast("double"))
+        a, b = F.when(both, x[0].cast("double")), F.when(both, x[1].cast("double"))
         cov, var_a, var_b = F.covar_pop(a, b).over(frame), F.var_pop(a).over(frame), F.var_pop(b).over(frame)
         slope = F.when(var_a > 0, cov / var_a)
         corr = F.when((var_a > 0) & (var_b > 0), cov / F.sqrt(var_a * var_b))
@@ -257,41 +330,46 @@ class Decay(Monoid):
 
     value: Expr
     length: Duration
+    ops = ("decay",)
 
-    @staticmethod
-    def of(value: Expr, length: Duration | str) -> Decay:
-        return Decay(value, as_duration(length))
+    @classmethod
+    def of(cls, value: Expr, length: Duration | str):
+        return cls(value, as_duration(length))
 
     @property
     def inputs(self):
         return (self.value,)
 
+    def lift(self, x):
+        return [x[0].cast("double")]
+
 
 @dataclass(frozen=True)
-class DecayedMoments(Monoid):
+class DecayedMoments(Decay):
     """Decayed weight, mean, population variance and standard deviation of a value."""
 
-    value: Expr
-    length: Duration
     fields = ("_w", "_mean", "_var", "_std")
+    ops = ("decay",) * 3
 
-    @staticmethod
-    def of(value: Expr, length: Duration | str) -> DecayedMoments:
-        return DecayedMoments(value, as_duration(length))
+    def lift(self, x):
+        v = x[0].cast("double")
+        return [F.when(v.isNotNull(), F.lit(1.0)), v, v * v]
 
-    @property
-    def inputs(self):
-        return (self.value,)
+    def finish(self, c):
+        mean = F.try_divide(c[1], F.nullif(c[0], F.lit(0.0)))
+        var = F.greatest(F.try_divide(c[2], F.nullif(c[0], F.lit(0.0))) - mean * mean, F.when(mean.isNotNull(), F.lit(0.0)))
+        return [c[0], mean, var, F.sqrt(var)]
 
 
 @dataclass(frozen=True)
 class DecayedCorrelation(Monoid):
-    """Decayed covariance, correlation and least squares line of y against x."""
+    """Decayed covariance, correlation, least squares line of y against x, and variances."""
 
     x: Expr
     y: Expr
     length: Duration
-    fields = ("_cov", "_corr", "_slope", "_intercept")
+    fields = Correlation.fields
+    ops = ("decay",) * 6
 
     @staticmethod
     def of(x: Expr, y: Expr, length: Duration | str) -> DecayedCorrelation:
@@ -301,6 +379,12 @@ class DecayedCorrelation(Monoid):
     def inputs(self):
         return (self.x, self.y)
 
+    def lift(self, x):
+        return _pair(*x)
+
+    def finish(self, c):
+        return _line(*c)
+
 
 @dataclass(frozen=True)
 class Fold(Monoid):
@@ -313,10 +397,17 @@ class Fold(Monoid):
     zero: Any
     combine: Callable[[Any, Any], Any]
     kind: str
+    ops = ("last",)
 
     @property
     def inputs(self):
         return (self.value,)
 
+    def lift(self, x):
+        return [F.struct(x[0].alias("v"))]
+
+    def finish(self, c):
+        return [c[0]["v"] if self.zero is None else F.coalesce(c[0]["v"], F.lit(self.zero).cast(self.kind))]
+
 
 DECAYS = ("10min", "1h", "2h", "1d", "3d", "14d")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from tidemark.functions.duration import INFINITE, ZERO, Duration, as_duration
-from tidemark.functions.monoids import Count, Expr, Extremum, Monoid
+from tidemark.functions.monoids import Bounds, Count, Expr, Extremum, Monoid
 
 Named = tuple[tuple[str, Expr], ...]
 
@@ -231,7 +231,7 @@ class Keyed(Event):
 
     def window(self, d: Duration | str, **aggs: Monoid) -> Feature:
         """window_sum together with the window's time_min, time_max and size."""
-        return Summed(self, tuple(aggs.items()), as_duration(d), True)
+        return Summed(self, (*aggs.items(), ("", Bounds())), as_duration(d))
 
     def sum_forward(self, d: Duration | str, **aggs: Monoid) -> Label:
         return Label.of(self.window_sum(d, **aggs)).look_forward(d)
@@ -317,14 +317,12 @@ class Summed(Feature):
     event: Keyed
     aggs: tuple[tuple[str, Monoid], ...]
     within: Duration | None
-    bounds: bool = False
 
     def bases(self):
         yield self
 
     def names(self) -> tuple[str, ...]:
-        own = tuple(n + f for n, m in self.aggs for f in m.fields)
-        return (*own, "time_min", "time_max", "size") if self.bounds else own
+        return tuple(n + f for n, m in self.aggs for f in m.fields)
 
 
 @dataclass(frozen=True)

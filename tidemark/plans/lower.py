@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -24,9 +25,11 @@ from tidemark.functions import monoids as M
 from tidemark.functions.duration import INFINITE, LONG_MAX, LONG_MIN, ZERO, Duration
 from tidemark.functions.monoids import column
 from tidemark.plans import graph as G
+from tidemark.session import stage
 
 HIDDEN = ("_ts", "_off", "_src", "_ord")
-PRE, PROBE, POST = 2, 1, 0
+#: Order of the rows of one point: the state of earlier spans, updates seen after it, the event, updates seen before it.
+CARRY, POST, PROBE, PRE = -1, 0, 1, 2
 
 
 class PlanError(ValueError):
@@ -61,7 +64,7 @@ class Rows:
         return [*HIDDEN, *(["_sub"] if self.sub else [])]
 
     def with_sub(self) -> DataFrame:
-        return self.df if self.sub else self.df.withColumn("_sub", F.array().cast("array<int>"))
+        return self.df if self.sub else self.df.withColumn("_sub", _no_sub())
 
 
 def adjusted(ts: Column, offset: Duration) -> Column:
@@ -69,10 +72,18 @@ def adjusted(ts: Column, offset: Duration) -> Column:
 
 
 class Engine:
-    """Lowers graphs over bound inputs: a DataFrame for each source name."""
+    """Lowers graphs over bound inputs: a DataFrame for each source name.
 
-    def __init__(self, spark: SparkSession, inputs: dict[str, DataFrame], bound: TimeBound | None = None):
-        self.spark, self.inputs, self.bound = spark, inputs, bound or TimeBound()
+    hot_rows: keys with more rows than this in one lookup are cut into spans of time of about so
+    many rows each, which run as tasks of their own. Where the inputs have more rows than this,
+    finding such keys takes a count per key when the graph is lowered. None leaves each key to
+    one task, which sorts and spills; so do running sets and folds of unknown form, which are
+    not cut.
+    """
+
+    def __init__(self, spark: SparkSession, inputs: dict[str, DataFrame], bound: TimeBound | None = None, hot_rows: int | None = None):
+        self.spark, self.inputs, self.bound, self.hot_rows = spark, inputs, bound or TimeBound(), hot_rows
+        self._rows: dict[str, int] = {}
 
     # --- running --------------------------------------------------------------------------
 
@@ -156,6 +167,16 @@ class Engine:
 
     # --- lookups --------------------------------------------------------------------------
 
+    def _may_be_hot(self, below: G.Event, bases: list) -> bool:
+        """Whether the sources of a lookup have enough rows for a hot key (from file footers)."""
+        if not self.hot_rows:
+            return False
+        names = {n for e in (below, *(b.event for b, _, _ in bases)) for n in G.sources_of(e)}
+        for n in names - set(self._rows):
+            self._rows[n] = self.inputs[n].count()
+        return sum(self._rows[n] for n in names) > self.hot_rows
+
+
     def _chain(self, node: G.Event) -> tuple[G.Event, list[tuple[Any, Duration, bool]]]:
         """Lookups on one key that follow each other, as one: (event below, [(feature, offset, after)])."""
         asked: list[tuple[Any, Duration, bool]] = []
@@ -180,20 +201,21 @@ class Engine:
     def _attach(self, below: G.Event, keys: tuple[str, ...], asked: list, offset: Duration) -> Rows:
         bases = list(dict.fromkeys(b for tree, d, after in asked for b in _bases(tree, d, after)))
         probe = self.event(below, offset)
-        alone = (
-            all(b.event == below and d == ZERO for b, d, _ in bases)
-            and below.amplification.at_most_one
-            and not any(isinstance(m, M.Fold) for b, _, _ in bases if isinstance(b, G.Summed) for _, m in b.aggs)
-        )
+        folds = any(isinstance(m, M.Fold) for b, _, _ in bases if isinstance(b, G.Summed) for _, m in b.aggs)
+        sets = any(s == "set" for b, _, _ in bases if isinstance(b, G.Summed) for _, m in b.aggs for s in m.ops)
+        split = bool(keys) and not folds and not sets and self._may_be_hot(below, bases)
+        alone = not split and not folds and below.amplification.at_most_one and all(b.event == below and d == ZERO for b, d, _ in bases)
         packed = F.struct(*(F.col(f"`{c}`") for c in probe.payload)).alias("_p")
         own_keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+        by_key = [f"_k{i}" for i in range(len(keys))]
+        fixed = [packed, *own_keys, *probe.hidden, adjusted(F.col("_ts"), offset).alias("_adj"), F.lit(PROBE).alias("_kind"), F.lit(-1).alias("_branch")]
         branches: dict[tuple, int] = {}
         for b, d, after in bases:
             branches.setdefault((b.event, d, after), len(branches))
+        states = [_State(j, b, branches[b.event, d, a], d, split) for j, (b, d, a) in enumerate(bases)]
         sub = probe.sub
         if alone:
-            values = [v.alias(f"_v{branches[b.event, d, a]}_{j}_{i}") for j, (b, d, a) in enumerate(bases) for i, v in enumerate(_inputs(b, probe.sub))]
-            union = probe.df.select(packed, *own_keys, *probe.hidden, adjusted(F.col("_ts"), offset).alias("_adj"), F.lit(PROBE).alias("_kind"), F.lit(-1).alias("_branch"), *values)
+            union = probe.df.select(*fixed, *(v for s in states for v in s.inputs(probe.sub)))
         else:
             parts, lowered = [], {}
             for (event, d, after), n in branches.items():
@@ -201,33 +223,31 @@ class Engine:
                     lowered[event, d] = self.event(event, offset + d)
                 rows = lowered[event, d]
                 sub |= rows.sub
-                own = [(j, b) for j, (b, dd, a) in enumerate(bases) if (b.event, dd, a) == (event, d, after)]
-                df = rows.df
-                values = []
-                for j, b in own:
-                    df, columns = _folded(df, event.key_names, rows, b, j)
-                    values += [v.alias(f"_v{n}_{j}_{i}") for i, v in enumerate(columns)]
-                own_k = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(event.key_names)]
-                if len(own_k) != len(own_keys):
+                if len(event.key_names) != len(keys):
                     raise PlanError(f"a feature keyed by {event.key_names} is read by events keyed by {keys}")
-                parts.append(
-                    (rows.sub, df.select(*own_k, *rows.hidden, adjusted(F.col("_ts"), offset + d).alias("_adj"), F.lit(POST if after else PRE).alias("_kind"), F.lit(n).alias("_branch"), *values))
-                )
-            union = probe.df.select(packed, *own_keys, *probe.hidden, adjusted(F.col("_ts"), offset).alias("_adj"), F.lit(PROBE).alias("_kind"), F.lit(-1).alias("_branch"))
-            none = F.array().cast("array<int>")
+                df, values = rows.df, []
+                for s in (s for s in states if s.branch == n):
+                    df = s.folded(df, event.key_names, rows)
+                    values += s.inputs(rows.sub)
+                own_k = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(event.key_names)]
+                off = adjusted(F.col("_ts"), offset + d).alias("_adj")
+                parts.append((n, rows.sub, df.select(*own_k, *rows.hidden, off, F.lit(POST if after else PRE).alias("_kind"), F.lit(n).alias("_branch"), *values)))
+            union = probe.df.select(*fixed)
             if sub and not probe.sub:
-                union = union.withColumn("_sub", none)
-            for has, part in parts:
-                union = union.unionByName(part if has or not sub else part.withColumn("_sub", none), allowMissingColumns=True)
+                union = union.withColumn("_sub", _no_sub())
+            parts = [(n, part if has or not sub else part.withColumn("_sub", _no_sub())) for n, has, part in parts]
+            if split:
+                union, by_key = self._spread(union, parts, states, by_key, sub)
+            else:
+                for _, part in parts:
+                    union = union.unionByName(part, allowMissingColumns=True)
         order = ["_adj", F.desc("_off"), "_src", "_ord", "_kind", *(["_sub"] if sub else [])]
-        by_key = [f"_k{i}" for i in range(len(keys))]
         point = Window.partitionBy(*by_key).orderBy(*order)
         df = union
-        for j, (b, d, after) in enumerate(bases):
-            n = branches[b.event, d, after]
-            mask = F.lit(True) if alone else F.col("_branch") == n
+        for s, (_, _, after) in zip(states, bases, strict=True):
+            mask = F.lit(True) if alone else F.col("_branch") == s.branch
             frame = point.rowsBetween(Window.unboundedPreceding, -1 if alone and not after else 0)
-            df = _state(df, b, j, n, mask, frame, by_key, order)
+            df = s.read(df, mask, frame, by_key, order)
         if not alone:
             df = df.where(F.col("_kind") == PROBE)
         results = []
@@ -242,6 +262,61 @@ class Engine:
         out += [F.col(f"{r}.`{n}`").alias(n) for r, names in results for n in names]
         return Rows(df.select(*out, *hidden), probe.sub)
 
+    # --- hot keys -------------------------------------------------------------------------
+
+    def _spread(self, probes: DataFrame, parts: list, states: list[_State], by_key: list[str], sub: bool) -> tuple[DataFrame, list[str]]:
+        """The union of probes and updates with keys of more than hot_rows rows cut into spans of time.
+
+        Each span begins with one more update per branch: the state after all spans before it,
+        from totals per span, which are made with partial aggregation. Trailing windows are
+        finished before, on spans at least as wide as they are. The table of hot keys has at
+        most one row in hot_rows of the data, and Spark decides by its size how to join it.
+        """
+        adj = F.when(F.col("_adj") > LONG_MIN, F.col("_adj")).alias("_adj")
+        narrow = probes.select(*by_key, adj)
+        for _, part in parts:
+            narrow = narrow.unionByName(part.select(*by_key, adj))
+        hot = narrow.groupBy(*by_key).agg(F.count("*").alias("_n"), F.min("_adj").alias("_begin"), F.max("_adj").alias("_until"))
+        hot = hot.where((F.col("_n") > self.hot_rows) & F.col("_begin").isNotNull())
+        width = F.greatest(F.ceil((F.col("_until") - F.col("_begin") + 1) * (self.hot_rows / F.col("_n"))), F.lit(1)).cast("long")
+        hot = stage(hot.select(*(F.col(k).alias(f"{k}h") for k in by_key), "_begin", width.alias("_width")), "hot")
+
+        def spanned(df: DataFrame) -> DataFrame:
+            same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}h")) for k in by_key))
+            out = df.join(hot, on=same, how="left")
+            z = F.floor((F.greatest("_adj", "_begin") - F.col("_begin")) / F.col("_width")).cast("long")
+            return out.withColumn("_z", F.when(F.col("_begin").isNull(), F.lit(-1).cast("long")).otherwise(z)).drop(*(f"{k}h" for k in by_key))
+
+        union = spanned(probes)
+        span = [*by_key, "_z", "_begin", "_width"]
+        spans = union.where(F.col("_z") >= 0).select(*span).distinct()
+        order = ["_adj", F.desc("_off"), "_src", "_ord", "_kind", *(["_sub"] if sub else [])]
+        point = F.struct("_adj", (-F.col("_off")).alias("_near"), "_src", "_ord", *(["_sub"] if sub else []))
+        before = Window.partitionBy(*by_key).orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.col("_begin") + F.col("_z") * F.col("_width")
+        for n, part in parts:
+            own = [s for s in states if s.branch == n]
+            ahead = 0 if own[0].offset == INFINITE else own[0].offset.ms
+            part = spanned(part)
+            for s in own:
+                part = s.trailing_on_spans(part, by_key, order, point)
+            union = union.unionByName(part, allowMissingColumns=True)
+            totals = part.where(F.col("_z") >= 0).withColumn("_end", begin + F.col("_width") + F.lit(ahead).cast("long"))
+            totals = totals.groupBy(*span).agg(*(c for s in own for c in s.totals(point)))
+            names = [c for c in totals.columns if c not in span]
+            held = spans.unionByName(totals, allowMissingColumns=True).groupBy(*span).agg(*(F.first(c, ignorenulls=True).alias(c) for c in names))
+            held = held.withColumn("_ts", begin + F.lit(ahead).cast("long")).withColumn("_end", F.col("_ts") + F.col("_width"))
+            for s in own:
+                held = s.carried(held, before, by_key)
+            fixed = [F.lit(LONG_MAX).cast("long").alias("_off"), F.lit("").alias("_src"), F.lit(0).cast("long").alias("_ord"), F.lit(CARRY).alias("_kind"), F.lit(n).alias("_branch")]
+            held = held.select(*span, "_ts", begin.alias("_adj"), *fixed, *([_no_sub().alias("_sub")] if sub else []), *names)
+            union = union.unionByName(held, allowMissingColumns=True)
+        return union.drop("_begin", "_width"), [*by_key, "_z"]
+
+
+def _no_sub() -> Column:
+    return F.array().cast("array<int>")
+
 
 def _bases(tree, offset: Duration, after: bool) -> Iterator[tuple[Any, Duration, bool]]:
     if isinstance(tree, G.Label):
@@ -253,29 +328,6 @@ def _bases(tree, offset: Duration, after: bool) -> Iterator[tuple[Any, Duration,
             yield b, offset, after
 
 
-def _inputs(base, sub: bool) -> list[Column]:
-    """The input columns of all aggregates of a base state, as columns over its update rows."""
-    if isinstance(base, G.Latest):
-        return [F.struct(*(F.col(f"`{c}`") for c in base.columns))]
-    point = F.struct("_ts", "_src", "_ord", *(["_sub"] if sub else []))
-    return [point if e == "_point" else column(e) for _, m in base.aggs for e in m.inputs]
-
-
-def _folded(df: DataFrame, keys: tuple[str, ...], rows: Rows, base, j: int) -> tuple[DataFrame, list[Column]]:
-    """The inputs of a base state; those of a fold are replaced by its states, computed in order."""
-    columns = _inputs(base, rows.sub)
-    if isinstance(base, G.Summed):
-        at = 0
-        for i, (_, m) in enumerate(base.aggs):
-            if isinstance(m, M.Fold):
-                if base.within is not None and base.within != INFINITE:
-                    raise PlanError("a fold has no trailing window")
-                df = fold_states(df, [f"`{k}`" for k in keys], ["_ts", "_src", "_ord", *(["_sub"] if rows.sub else [])], columns[at], m, f"_fold{j}_{i}")
-                columns[at] = F.col(f"_fold{j}_{i}")
-            at += len(m.inputs)
-    return df, columns
-
-
 def fold_states(df: DataFrame, keys: list[str], order: list[str], value: Column, fold: M.Fold, name: str) -> DataFrame:
     """df with the state of a fold after each row. Rows stream through sorted; a task holds one
     batch and one state, whatever the size of a key."""
@@ -301,114 +353,175 @@ def fold_states(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return source.mapInPandas(run, schema)
 
 
-def _decay_state(df: DataFrame, j: int, i: int, weights: list[Column], length: Duration, mask: Column, frame, by_key, order) -> tuple[DataFrame, Column]:
-    """A struct of decayed sums (s0, s1, ...) and the time t of the last update, carried to each row."""
+def decay_scan(df: DataFrame, name: str, values: list[Column], at: Column, length: Duration, frame, by_key: list[str], order: list) -> DataFrame:
+    """df with the struct `name` as of the last row of the frame that has values: their sums
+    (s0, s1, ...) decayed to its time t. Null values take no part.
+
+    Time is cut into segments within which exp() stays finite; what came in the segment before
+    is added, and anything older has faded out of the range of a double.
+    """
     h = float(length.ms)
     segment = h * M.SEGMENT
-    seg, p = f"_g{j}_{i}", f"_d{j}_{i}_"
-    df = df.withColumn(seg, F.floor(F.col("_ts") / segment).cast("int"))
-    within = F.exp((F.col("_ts") - F.col(seg) * segment) / h)
-    in_segment = _also(by_key, seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seg = f"{name}g"
+    df = df.withColumns({seg: F.floor(at / segment).cast("int"), f"{name}t": at})
+    since = (F.col(f"{name}t") - F.col(seg) * segment) / h
+    in_segment = Window.partitionBy(*by_key, seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by_key).orderBy(seg).rangeBetween(-1, -1)
-    scaled = [F.when(mask, F.coalesce(w.cast("double"), F.lit(0.0)) * within) for w in weights]
-    df = df.withColumns({f"{p}a{k}": F.sum(a).over(in_segment) for k, a in enumerate(scaled)} | {f"{p}b{k}": F.sum(a).over(before) for k, a in enumerate(scaled)})
-    back = F.exp(-(F.col("_ts") - F.col(seg) * segment) / h)
-    far = math.exp(-M.SEGMENT)
-    sums = [((F.coalesce(F.col(f"{p}a{k}"), F.lit(0.0)) + F.coalesce(F.col(f"{p}b{k}"), F.lit(0.0)) * far) * back).alias(f"s{k}") for k in range(len(weights))]
-    carried = F.last(F.when(mask, F.struct(*sums, F.col("_ts").alias("t"))), ignorenulls=True).over(frame)
-    return df, carried
-
-
-def _also(keys: list[str], name: str):
-    """The window partitioned by the key and one more column; the key's shuffle serves it too."""
-    return Window.partitionBy(*keys, name)
-
-
-def _state(df: DataFrame, base, j: int, n: int, mask: Column, frame, by_key, order) -> DataFrame:
-    """df with the columns `_s<j>_<name>` of a base state as read at each row."""
-    v = f"_v{n}_{j}_"
-    if isinstance(base, G.Latest):
-        seen = F.last(F.when(mask, F.struct(F.col(f"{v}0").alias("v"), F.col("_ts").alias("t"))), ignorenulls=True).over(frame)
-        df = df.withColumn(f"_c{j}", seen)
-        got = F.col(f"_c{j}.v")
-        if base.within is not None and base.within != INFINITE:
-            got = F.when(F.col("_ts") - F.col(f"_c{j}.t") <= base.within.ms, got)
-        return df.withColumns({f"_s{j}_{c}": got[c] for c in base.columns})
-    at, out = 0, {}
-    trailing = base.within is not None and base.within != INFINITE
-    for i, (name, m) in enumerate(base.aggs):
-        x = [F.col(f"{v}{at + k}") for k in range(len(m.inputs))]
-        at += len(m.inputs)
-        if isinstance(m, (M.Decay, M.DecayedMoments, M.DecayedCorrelation)):
-            if trailing:
-                raise PlanError("a decayed sum has no trailing window")
-            weights = _weights(m, x)
-            df, carried = _decay_state(df, j, i, weights, m.length, mask, frame, by_key, order)
-            df = df.withColumn(f"_c{j}_{i}", carried)
-            fade = F.exp(-(F.col("_ts") - F.col(f"_c{j}_{i}.t")) / float(m.length.ms))
-            values = _decayed(m, [F.coalesce(F.col(f"_c{j}_{i}.s{k}") * fade, F.lit(0.0)) for k in range(len(weights))])
-        elif isinstance(m, M.Fold):
-            df = df.withColumn(f"_c{j}_{i}", F.last(F.when(mask, F.struct(x[0].alias("v"))), ignorenulls=True).over(frame))
-            values = [F.coalesce(F.col(f"_c{j}_{i}.v"), F.lit(m.zero).cast(m.kind)) if m.zero is not None else F.col(f"_c{j}_{i}.v")]
-        elif trailing:
-            early = Window.partitionBy(*by_key).orderBy("_ts").rangeBetween(-base.within.ms, -1)
-            same = _also(by_key, "_ts").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            e, s = f"_e{j}_{i}_", f"_q{j}_{i}_"
-            df = df.withColumns({f"{s}{k}": c for k, c in enumerate(m.over(x, mask, same))})
-            here = [F.col(f"{s}{k}") for k in range(len(m.fields))]
-            if base.within.ms:
-                df = df.withColumns({f"{e}{k}": c for k, c in enumerate(m.over(x, mask, early))})
-                here = m.merge([F.col(f"{e}{k}") for k in range(len(m.fields))], here)
-            held = F.last(F.when(mask, F.struct(*(c.alias(f"f{k}") for k, c in enumerate(here)))), ignorenulls=True).over(frame)
-            df = df.withColumn(f"_c{j}_{i}", held)
-            values = m.empty([F.col(f"_c{j}_{i}.f{k}") for k in range(len(m.fields))])
-        else:
-            df = df.withColumns({f"_c{j}_{i}_{k}": c for k, c in enumerate(m.over(x, mask, frame))})
-            values = m.empty([F.col(f"_c{j}_{i}_{k}") for k in range(len(m.fields))])
-        out |= {f"_s{j}_{name}{suffix}": value for suffix, value in zip(m.fields, values, strict=True)}
-    if base.bounds:
-        df = _bounds(df, base, j, mask, frame, by_key, order, trailing)
-        out |= {f"_s{j}_{c}": F.col(f"_w{j}.{c}") for c in ("time_min", "time_max")} | {f"_s{j}_size": F.coalesce(F.col(f"_w{j}.size"), F.lit(0))}
-    return df.withColumns(out)
-
-
-def _bounds(df: DataFrame, base, j: int, mask: Column, frame, by_key, order, trailing: bool) -> DataFrame:
-    """`_w<j>`: first and last time and number of events of the window."""
-    ts = F.when(mask, F.col("_ts"))
-    if trailing:
-        early = Window.partitionBy(*by_key).orderBy("_ts").rangeBetween(-base.within.ms, -1)
-        same = _also(by_key, "_ts").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({f"_wn{j}": F.count(ts).over(same)})
-        if base.within.ms:
-            df = df.withColumns({f"_wm{j}": F.min(ts).over(early), f"_wc{j}": F.count(ts).over(early)})
-        else:
-            df = df.withColumns({f"_wm{j}": F.lit(None).cast("long"), f"_wc{j}": F.lit(0)})
-        here = F.struct(F.coalesce(f"_wm{j}", "_ts").alias("time_min"), F.col("_ts").alias("time_max"), (F.col(f"_wn{j}") + F.col(f"_wc{j}")).alias("size"))
-        return df.withColumn(f"_w{j}", F.last(F.when(mask, here), ignorenulls=True).over(frame))
-    return df.withColumn(f"_w{j}", F.struct(F.min(ts).over(frame).alias("time_min"), F.max(ts).over(frame).alias("time_max"), F.count(ts).over(frame).alias("size")))
-
-
-def _weights(m, x: list[Column]) -> list[Column]:
-    d = [c.cast("double") for c in x]
-    if isinstance(m, M.Decay):
-        return d
-    if isinstance(m, M.DecayedMoments):
-        return [F.when(d[0].isNotNull(), F.lit(1.0)), d[0], d[0] * d[0]]
-    return [F.when((d[0] + d[1]).isNotNull(), F.lit(1.0)), *(F.when((d[0] + d[1]).isNotNull(), c) for c in (d[0], d[1], d[0] * d[0], d[0] * d[1]))] + [F.when((d[0] + d[1]).isNotNull(), d[1] * d[1])]
-
-
-def _decayed(m, s: list[Column]) -> list[Column]:
-    if isinstance(m, M.Decay):
-        return s
-    over = lambda a: F.try_divide(a, F.nullif(s[0], F.lit(0.0)))
-    if isinstance(m, M.DecayedMoments):
-        mean = over(s[1])
-        var = F.greatest(over(s[2]) - mean * mean, F.lit(0.0))
-        return [s[0], mean, F.when(mean.isNotNull(), var), F.when(mean.isNotNull(), F.sqrt(var))]
-    mx, my = over(s[1]), over(s[2])
-    vx, vy, cov = over(s[3]) - mx * mx, over(s[5]) - my * my, over(s[4]) - mx * my
-    slope = F.when(vx > 0, cov / vx)
-    return [cov, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)), slope, my - slope * mx]
+    scaled = [v * F.exp(since) for v in values]
+    df = df.withColumns({f"{name}a{k}": F.sum(a).over(in_segment) for k, a in enumerate(scaled)} | {f"{name}b{k}": F.sum(a).over(before) for k, a in enumerate(scaled)})
+    sums = []
+    for k in range(len(values)):
+        here, past = (F.coalesce(F.col(f"{name}{x}{k}"), F.lit(0.0)) for x in "ab")
+        sums.append(((here + past * math.exp(-M.SEGMENT)) * F.exp(-since)).alias(f"s{k}"))
+    some = reduce(Column.__or__, (v.isNotNull() for v in values))
+    return df.withColumn(name, F.last(F.when(some, F.struct(*sums, F.col(f"{name}t").alias("t"))), ignorenulls=True).over(frame))
+
+
+def faded(name: str, k: int, at: Column, length: Duration) -> Column:
+    """A decayed sum of decay_scan as read at a time; 0 where nothing has been seen."""
+    return F.coalesce(F.col(f"{name}.s{k}") * F.exp(-(at - F.col(f"{name}.t")) / float(length.ms)), F.lit(0.0))
+
+
+class _State:
+    """A base state of a lookup: its component columns, and how they are read."""
+
+    def __init__(self, number: int, base, branch: int, offset: Duration, split: bool = False):
+        self.number, self.base, self.branch, self.offset, self.split = number, base, branch, offset, split
+        latest = isinstance(base, G.Latest)
+        self.aggs: tuple = (("", M.Last("_")),) if latest else base.aggs
+        self.within = None if latest or base.within == INFINITE else base.within
+        if self.within is not None and any("decay" in m.ops or isinstance(m, M.Fold) for _, m in self.aggs):
+            raise PlanError("a decayed sum or a fold has no trailing window")
+
+    def column(self, i: int, k: int) -> str:
+        return f"_v{self.branch}_{self.number}_{i}_{k}"
+
+    def whole(self, i: int) -> str:
+        return f"_w{self.branch}_{self.number}_{i}"
+
+    def _stable(self, m: M.Monoid) -> bool:
+        return self.within is None and not self.split and type(m).stable is not M.Monoid.stable
+
+    def inputs(self, sub: bool) -> list[Column]:
+        """Component columns over the update rows."""
+        if isinstance(self.base, G.Latest):
+            return [F.struct(F.struct(*(F.col(f"`{c}`") for c in self.base.columns)).alias("v"), F.col("_ts").alias("t")).alias(self.column(0, 0))]
+        point = F.struct("_ts", "_src", "_ord", *(["_sub"] if sub else []))
+        out = []
+        for i, (_, m) in enumerate(self.aggs):
+            x = [point if e == "_point" else column(e) for e in m.inputs]
+            if isinstance(m, M.Fold):
+                x = [F.col(f"_fold{self.number}_{i}")]
+            lifted = x if self._stable(m) else m.lift(x)
+            out += [c.alias(self.column(i, k)) for k, c in enumerate(lifted)]
+        return out
+
+    def folded(self, df: DataFrame, keys: tuple[str, ...], rows: Rows) -> DataFrame:
+        """df with the states of folds, computed in point order."""
+        for i, (_, m) in enumerate(self.aggs):
+            if isinstance(m, M.Fold):
+                df = fold_states(df, [f"`{k}`" for k in keys], ["_ts", "_src", "_ord", *(["_sub"] if rows.sub else [])], column(m.value), m, f"_fold{self.number}_{i}")
+        return df
+
+    def _trailing(self, df: DataFrame, i: int, m: M.Monoid, mask: Column, by_key: list[str], order: list) -> tuple[DataFrame, Column]:
+        """The struct of components over the trailing window of each update row: earlier
+        milliseconds, and the row's own up to it. A plain range frame would add later peers."""
+        early = Window.partitionBy(*by_key).orderBy("_ts").rangeBetween(-self.within.ms, -1)
+        same = Window.partitionBy(*by_key, "_ts").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        point = F.struct("_ts", "_src", "_ord", *(["_sub"] if "_sub" in df.columns else []))
+
+        def over(op: str, k: int, frame) -> Column:
+            v = F.when(mask, F.col(self.column(i, k)))
+            by = {"first": F.min_by, "last": F.max_by}.get(op)
+            return by(v, F.when(v.isNotNull(), point)).over(frame) if by else M.over(op, v, frame)
+
+        late, old = f"{self.whole(i)}q", f"{self.whole(i)}e"
+        df = df.withColumns({f"{late}{k}": over(op, k, same) for k, op in enumerate(m.ops)})
+        if self.within.ms:
+            df = df.withColumns({f"{old}{k}": over(op, k, early) for k, op in enumerate(m.ops)})
+        parts = [M.merged(op, F.col(f"{old}{k}"), F.col(f"{late}{k}")) if self.within.ms else F.col(f"{late}{k}") for k, op in enumerate(m.ops)]
+        return df, F.struct(*(c.alias(f"f{k}") for k, c in enumerate(parts)))
+
+    def read(self, df: DataFrame, mask: Column, frame, by_key: list[str], order: list) -> DataFrame:
+        """df with the columns `_s<number>_<name>` of this state as it stands at each row."""
+        out = {}
+        for i, (name, m) in enumerate(self.aggs):
+            whole = self.whole(i)
+            x = [F.when(mask, F.col(self.column(i, k))) for k in range(len(m.inputs if self._stable(m) else m.ops))] if not (self.within and self.split) else []
+            if self.within is not None:
+                if self.split:
+                    here = F.col(whole)
+                else:
+                    df, here = self._trailing(df, i, m, mask, by_key, order)
+                df = df.withColumn(f"{whole}c", F.last(F.when(mask, here), ignorenulls=True).over(frame))
+                values = m.finish([F.col(f"{whole}c.f{k}") for k in range(len(m.ops))])
+            elif "decay" in m.ops:
+                df = decay_scan(df, f"{whole}c", x, F.col("_ts"), m.length, frame, by_key, order)
+                values = m.finish([faded(f"{whole}c", k, F.col("_ts"), m.length) for k in range(len(m.ops))])
+            elif self._stable(m):
+                df = df.withColumns({f"{whole}c{k}": c for k, c in enumerate(m.stable([F.col(self.column(i, k)) for k in range(len(m.inputs))], mask, frame))})
+                values = [F.col(f"{whole}c{k}") for k in range(len(m.fields))]
+                values[0] = F.coalesce(values[0], F.lit(0).cast("long")) if isinstance(m, M.Moments) else values[0]
+            else:
+                df = df.withColumns({f"{whole}c{k}": M.over(op, x[k], frame) for k, op in enumerate(m.ops)})
+                if isinstance(self.base, G.Latest):
+                    return self._latest(df, F.col(f"{whole}c0"))
+                values = m.finish([F.col(f"{whole}c{k}") for k in range(len(m.ops))])
+            out |= {f"_s{self.number}_{name}{suffix}": value for suffix, value in zip(m.fields, values, strict=True)}
+        return df.withColumns(out)
+
+    def _latest(self, df: DataFrame, seen: Column) -> DataFrame:
+        got = seen["v"]
+        if self.base.within is not None and self.base.within != INFINITE:
+            got = F.when(F.col("_ts") - seen["t"] <= self.base.within.ms, got)
+        return df.withColumns({f"_s{self.number}_{c}": got[c] for c in self.base.columns})
+
+    # --- keys cut into spans --------------------------------------------------------------
+
+    def trailing_on_spans(self, part: DataFrame, by_key: list[str], order: list, point: Column) -> DataFrame:
+        """Updates with the finished trailing window in `whole`; a row also helps the span after its own."""
+        if self.within is None:
+            return part
+        wide = F.greatest(F.col("_width"), F.lit(self.within.ms).cast("long"))
+        of = lambda at: F.when(F.col("_z") < 0, F.lit(-1).cast("long")).otherwise(F.floor((at - F.col("_begin")) / wide).cast("long"))
+        at = F.greatest("_adj", "_begin")
+        df = part.withColumn("_own", of(at))
+        df = df.withColumn("_zw", F.explode(F.sequence("_own", of(at + self.within.ms))))
+        for i, (_, m) in enumerate(self.aggs):
+            df, here = self._trailing(df, i, m, F.lit(True), [*by_key, "_zw"], order)
+            df = df.withColumn(self.whole(i), here)
+        return df.where(F.col("_zw") == F.col("_own")).select(*part.columns, *(self.whole(i) for i in range(len(self.aggs)))).drop(
+            *(self.column(i, k) for i, (_, m) in enumerate(self.aggs) for k in range(len(m.ops)))
+        )
+
+    def totals(self, point: Column) -> list[Column]:
+        """Aggregates of one span; decayed sums are brought to its end."""
+        out = []
+        for i, (_, m) in enumerate(self.aggs):
+            if self.within is not None:
+                out.append(M.total("last", F.col(self.whole(i)), point).alias(self.whole(i)))
+                continue
+            for k, op in enumerate(m.ops):
+                v = F.col(self.column(i, k))
+                if op == "decay":
+                    out.append(F.sum(v * F.exp(-(F.col("_end") - F.col("_ts")) / float(m.length.ms))).alias(self.column(i, k)))
+                else:
+                    out.append(M.total(op, v, point).alias(self.column(i, k)))
+        return out
+
+    def carried(self, held: DataFrame, before, by_key: list[str]) -> DataFrame:
+        """Totals per span replaced by what all spans before it come to."""
+        for i, (_, m) in enumerate(self.aggs):
+            if self.within is not None:
+                held = held.withColumn(self.whole(i), M.over("last", F.col(self.whole(i)), before))
+            elif "decay" in m.ops:
+                values = [F.col(self.column(i, k)) for k in range(len(m.ops))]
+                held = decay_scan(held, f"{self.whole(i)}c", values, F.col("_end"), m.length, before, by_key, ["_z"])
+                some = F.col(f"{self.whole(i)}c").isNotNull()
+                held = held.withColumns({self.column(i, k): F.when(some, faded(f"{self.whole(i)}c", k, F.col("_ts"), m.length)) for k in range(len(m.ops))})
+            else:
+                held = held.withColumns({self.column(i, k): M.over(op, F.col(self.column(i, k)), before) for k, op in enumerate(m.ops)})
+        return held
 
 
 def _read(df: DataFrame, tree, offset: Duration, after: bool, bases: list, keys: tuple[str, ...], name: str) -> tuple[DataFrame, tuple[str, ...]]:

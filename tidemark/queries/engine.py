@@ -17,9 +17,12 @@ CUSTOMERS = Source("customer", "cast(0 as long)", "c_custkey")
 BY_USER = EVENTS.map("event_id", "event_type", "user_id", "value", k="cast(get_json_object(props, '$.k') as int)").key_by("user_id")
 PURCHASES = EVENTS.filter("event_type = 'purchase'").map("user_id", "value").key_by("user_id")
 
+#: Keys with more rows are cut into spans of time.
+HOT_ROWS = 1_000_000
+
 
 def engine(spark: SparkSession, d: str, *names: str, bound: TimeBound | None = None) -> Engine:
-    return Engine(spark, {n: table(spark, d, n) for n in names or ("events",)}, bound)
+    return Engine(spark, {n: table(spark, d, n) for n in names or ("events",)}, bound, HOT_ROWS)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

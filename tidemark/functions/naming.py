@@ -27,7 +27,8 @@ def snake_case(name: str) -> str:
 
 def unique_names(names: list[str]) -> list[str]:
     """Names that occur more than once get 0, 1, ... appended, again where that clashes."""
-    while any(n > 1 for n in (count := Counter(names)).values()):
+    while len(set(names)) < len(names):
+        count = Counter(names)
         seen: Counter[str] = Counter()
         out = []
         for n in names:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 10
 
 _SPLIT = regex.compile(PATTERN)
@@ -57,8 +57,10 @@ def boundaries(text: str, start: int, is_end: bool) -> list[int]:
 
 
 def _plain(text: str, at: int) -> bool:
-    """A boundary that looks alike to every edition of the character tables: ASCII on both sides."""
-    return text[at - 1].isascii() and text[at].isascii()
+    """A boundary at which a text may be cut and each side split alone. It follows no white space,
+    whose split depends on what comes after it, and it has ASCII on both sides, which looks alike
+    to every edition of the character tables."""
+    return text[at - 1].isascii() and not text[at - 1].isspace() and text[at].isascii()
 
 
 def cut_chunks(text: str, size: int, overlap: int) -> list[tuple[int, str, bool]]:
@@ -87,6 +89,8 @@ def encode_chunk(start: int, chunk: str, is_end: bool, size: int, overlap: int,
         for e in boundaries(chunk[:stop], 0, True):
             if e > overlap:
                 break
+            if e < len(chunk) and not _plain(chunk, e):
+                continue
             ids += enc.encode_ordinary(chunk[done:e])
             done = e
             ends.append(start + e)

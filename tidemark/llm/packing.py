@@ -216,12 +216,12 @@ def pack(sizes: DataFrame, item: str, length: str, capacity: int = CAPACITY, sha
     its own.
     """
     rows = sizes.select(F.col(f"`{item}`").alias("item"), F.col(f"`{length}`").cast("long").alias("length")).where(F.col("length") >= 1)
-    cuts = F.floor((F.col("length") - 1) / capacity)
-    whole = rows.where(F.col("length") <= capacity).select("item", F.lit(0).alias("part"), F.col("length").alias("tokens"))
-    long = rows.where(F.col("length") > capacity).select("item", "length", F.posexplode(F.sequence(F.lit(0), cuts)).alias("part", "k"))
-    long = long.select("item", "part", F.least(F.lit(capacity), F.col("length") - F.col("part") * capacity).alias("tokens"))
+    # one pass over the lengths: all but the long items have a single part
+    cuts = F.floor((F.col("length") - 1) / capacity).cast("int")
+    parts = rows.select("item", "length", F.explode(F.sequence(F.lit(0), cuts)).alias("part"))
+    tokens = F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("part") * capacity).cast("int")
     share = F.pmod(F.xxhash64("item", "part"), F.lit(shares)).cast("int")
-    pieces = stage(whole.unionByName(long).select("item", F.col("part").cast("int"), F.col("tokens").cast("int"), share.alias("share")), "pieces")
+    pieces = stage(parts.select("item", "part", tokens.alias("tokens"), share.alias("share")), "pieces")
 
     # at most capacity * shares rows, whatever the corpus
     cells = pieces.groupBy("tokens", "share").agg(F.count("*").alias("n")).toPandas().sort_values(["tokens", "share"])

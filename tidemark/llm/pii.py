@@ -89,7 +89,7 @@ _BEFORE_PHONE, _BEFORE_ID, _NO_PERSON, _BEFORE_ADDRESS = set(PHONE_BEFORE), set(
 # One step between two parts of an item: a blank, or the break of a line.
 _GAP = r"(?:[  ]|\r?\n)"
 # Characters of a word, also of a garbled one: letters, apostrophe, and what wrong decoding leaves.
-_IN = r"[^\W\d_]|['’­�\u0080-¿‘-›ˆ˜ƒ€™Š‹ŒŽ]|\?(?=[a-zà-ÿ])"
+_IN = r"[^\W\d_]|['’­�\u0080-¿‘-›ˆ˜ƒ€™Š‹ŒŽ]|(?<=[ÃÅ])[^\s\w]|\?(?=[a-zà-ÿ])"
 _UPPER = r"[A-ZÀ-ÖØ-ÞĀŁŚŻŽŠČ]|�{1,2}(?=[A-Za-z])|\?(?=[a-z])"
 _CAP = rf"(?:{_UPPER})(?:{_IN})+"
 
@@ -174,7 +174,7 @@ def _known_given(word: str) -> bool:
         return True
     if "-" in w:
         return all(p in _GIVEN for p in w.split("-"))
-    if "�" in w or "?" in w:
+    if ("�" in w or "?" in w) and sum(c.isalpha() for c in w) >= 3:
         form = re.compile(re.sub(r"[�?]+", ".{1,2}", re.escape(w).replace("\\?", "?")) + r"\Z")
         return any(form.match(g) for g in _GIVEN)
     return False
@@ -228,7 +228,7 @@ def label_phone(text: str, a: int, b: int) -> tuple[int, ...]:
     bad = bool(near) and near[0] in _NO_PERSON
     after = _words_after(text, b, 2)
     return (
-        _vote(bool(_PLAN.fullmatch(s)), not _PLAN.fullmatch(s)),
+        _vote(n >= 9 and bool(_PLAN.fullmatch(s)), n < 9 or not _PLAN.fullmatch(s)),
         _vote(9 <= n <= 14, n < 9 or n > 15),
         _vote(any(w in _BEFORE_PHONE for w in before[:2]) and not bad, bad),
         _vote(s[0] in "+(" or bool(re.match("00[1-9]", s)), n < 9),
@@ -300,6 +300,8 @@ def _name_spans(text: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         ending = all(p.endswith(_FAMILY_END) for p in plain(family).split("-"))
         plausible = known or (ending and g not in _NO_NAME and not garbled)
         plausible &= plain(family) not in _NO_NAME and not (len(g) == 1 and _known_given(family))
+        # the letter may end a number such as "12 34 56 C."
+        plausible &= not (len(g) == 1 and re.search(r"\d[  ]\Z", text[max(0, m.start() - 2) : m.start()]))
         if plausible and not _ELIDED.match(family) and not _ELIDED.match(given):
             a, b = m.span()
             yield a, b, label_name(text, a, b, given, m.group("m"), family, False)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import code_of
 
-#: Events and versions are co-grouped per entity and span of so many milliseconds.
-BUCKET_MS = 6 * 3_600_000
+#: Events and versions of an average span of time, over all entities.
+BUCKET_ROWS = 100_000
+#: Least number of spans, so that a few entities still fill a cluster.
+BUCKETS = 16
 
 
 def known_at(
@@ -24,7 +26,7 @@ def known_at(
     valid_ms: str,
     known_ms: str,
     value: str,
-    bucket_ms: int = BUCKET_MS,
+    bucket_ms: int | None = None,
 ) -> DataFrame:
     """(event_id, event_ms, version_id, value): each event with its version, if it has one.
 
@@ -39,6 +41,8 @@ def known_at(
     spans of time, whatever share of the rows it holds: the maximum of each span is found with
     a partial aggregation, its prefix goes into the following spans as one extra version, and
     a span of events is co-grouped with its versions and searched in a sorted array.
+    bucket_ms: width of the spans; without it they are made so that BUCKET_ROWS rows of all
+    entities fall into one on average.
     """
     e = events.select(
         F.col(f"`{event_id}`").alias("event_id"),
@@ -53,6 +57,9 @@ def known_at(
         F.col(f"`{value}`").cast("double").alias("value"),
     ).dropna()
     v = v.withColumn("since", F.greatest("valid", "known"))
+    if bucket_ms is None:
+        n, first, last = e.agg(F.count("*"), F.min("at"), F.max("at")).first()
+        bucket_ms = max(1, (last - first) // max(BUCKETS, (n + versions.count()) // BUCKET_ROWS) + 1) if n else 1
     e = e.withColumn("span", F.floor(F.col("at") / bucket_ms))
     v = v.withColumn("span", F.floor(F.col("since") / bucket_ms))
     best = F.max(F.struct("valid", "known", "version", "value"))

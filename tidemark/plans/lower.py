@@ -212,7 +212,7 @@ class Engine:
         branches: dict[tuple, int] = {}
         for b, d, after in bases:
             branches.setdefault((b.event, d, after), len(branches))
-        states = [_State(j, b, branches[b.event, d, a], d, split) for j, (b, d, a) in enumerate(bases)]
+        states = [_State(j, b, branches[b.event, d, a], d, offset + d, split) for j, (b, d, a) in enumerate(bases)]
         sub = probe.sub
         if alone:
             union = probe.df.select(*fixed, *(v for s in states for v in s.inputs(probe.sub)))
@@ -243,11 +243,22 @@ class Engine:
                     union = union.unionByName(part, allowMissingColumns=True)
         order = ["_adj", F.desc("_off"), "_src", "_ord", "_kind", *(["_sub"] if sub else [])]
         point = Window.partitionBy(*by_key).orderBy(*order)
+        masks = [F.lit(True) if alone else F.col("_branch") == s.branch for s in states]
         df = union
-        for s, (_, _, after) in zip(states, bases, strict=True):
-            mask = F.lit(True) if alone else F.col("_branch") == s.branch
+        if by_key and any(s.prepares for s in states):
+            # one shuffle on the key serves all windows, also those over a part of a key
+            df = df.repartition(*by_key)
+        # windows in another order than that of the points come first, so that those in it share a sort
+        for s, mask in zip(states, masks, strict=True):
+            df = s.prepare(df, mask, by_key, order)
+        df = decay_links(df, [d for s, mask in zip(states, masks, strict=True) for d in s.decays(mask).values()], by_key, order)
+        windows, values = {}, {}
+        for s, mask, (_, _, after) in zip(states, masks, bases, strict=True):
             frame = point.rowsBetween(Window.unboundedPreceding, -1 if alone and not after else 0)
-            df = s.read(df, mask, frame, by_key, order)
+            seen, got = s.read(mask, frame)
+            windows |= seen
+            values |= got
+        df = df.withColumns(windows).withColumns(values) if windows else df
         if not alone:
             df = df.where(F.col("_kind") == PROBE)
         results = []
@@ -353,28 +364,68 @@ def fold_states(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return source.mapInPandas(run, schema)
 
 
-def decay_scan(df: DataFrame, name: str, values: list[Column], at: Column, length: Duration, frame, by_key: list[str], order: list) -> DataFrame:
-    """df with the struct `name` as of the last row of the frame that has values: their sums
-    (s0, s1, ...) decayed to its time t. Null values take no part.
+@dataclass(frozen=True)
+class _Decay:
+    """A decayed sum on its way: `values` are null on rows that take no part, and `at`, the time of a
+    row, does not fall in the order of the rows.
 
-    Time is cut into segments within which exp() stays finite; what came in the segment before
-    is added, and anything older has faded out of the range of a double.
+    Time is cut into segments, within which exp() stays finite. Only the running sums within
+    segments (`<name>a<k>`) are kept in the rows; all else is computed again where it is used,
+    as rows are sorted anew for each length.
     """
-    h = float(length.ms)
-    segment = h * M.SEGMENT
-    seg = f"{name}g"
-    df = df.withColumns({seg: F.floor(at / segment).cast("int"), f"{name}t": at})
-    since = (F.col(f"{name}t") - F.col(seg) * segment) / h
-    in_segment = Window.partitionBy(*by_key, seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by_key).orderBy(seg).rangeBetween(-1, -1)
-    scaled = [v * F.exp(since) for v in values]
-    df = df.withColumns({f"{name}a{k}": F.sum(a).over(in_segment) for k, a in enumerate(scaled)} | {f"{name}b{k}": F.sum(a).over(before) for k, a in enumerate(scaled)})
-    sums = []
-    for k in range(len(values)):
-        here, past = (F.coalesce(F.col(f"{name}{x}{k}"), F.lit(0.0)) for x in "ab")
-        sums.append(((here + past * math.exp(-M.SEGMENT)) * F.exp(-since)).alias(f"s{k}"))
-    some = reduce(Column.__or__, (v.isNotNull() for v in values))
-    return df.withColumn(name, F.last(F.when(some, F.struct(*sums, F.col(f"{name}t").alias("t"))), ignorenulls=True).over(frame))
+
+    name: str
+    values: list[Column]
+    at: Column
+    length: float
+
+    @property
+    def segment(self) -> Column:
+        return F.floor(self.at / (self.length * M.SEGMENT)).cast("int")
+
+    @property
+    def since(self) -> Column:
+        """Decay lengths since the segment began."""
+        return (self.at - self.segment * (self.length * M.SEGMENT)) / self.length
+
+    @property
+    def some(self) -> Column:
+        return reduce(Column.__or__, (v.isNotNull() for v in self.values))
+
+    def sums(self, by_key: list[str], order: list) -> dict[str, Column]:
+        """First step: running sums within segments."""
+        within = Window.partitionBy(*by_key, self.segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return {f"{self.name}a{k}": F.sum(v * F.exp(self.since)).over(within) for k, v in enumerate(self.values)}
+
+    def before(self, rows) -> Column:
+        """Second step: segment and sums of the row before."""
+        return F.lag(F.struct(self.segment.alias("g"), *(F.col(f"{self.name}a{k}").alias(f"a{k}") for k in range(len(self.values))))).over(rows)
+
+    def link(self, so_far) -> Column:
+        """Third step: what the segment before came to, carried through each segment."""
+        last = F.col(f"{self.name}l")
+        near = last["g"] == self.segment - 1
+        past = F.struct(*(F.when(near, last[f"a{k}"]).alias(f"b{k}") for k in range(len(self.values))))
+        return F.last(F.when(~self.segment.eqNullSafe(last["g"]), past), ignorenulls=True).over(so_far)
+
+    def state(self, frame) -> Column:
+        """Fourth step: the struct as of the last row of the frame that takes part, of the sums
+        (s0, s1, ...) decayed to its time t. What came in the segment before is added, and anything
+        older has faded out of the range of a double."""
+        sums = []
+        for k in range(len(self.values)):
+            here, past = F.coalesce(F.col(f"{self.name}a{k}"), F.lit(0.0)), F.coalesce(F.col(f"{self.name}b")[f"b{k}"], F.lit(0.0))
+            sums.append(((here + past * math.exp(-M.SEGMENT)) * F.exp(-self.since)).alias(f"s{k}"))
+        return F.last(F.when(self.some, F.struct(*sums, self.at.alias("t"))), ignorenulls=True).over(frame)
+
+
+def decay_links(df: DataFrame, decays: list[_Decay], by_key: list[str], order: list) -> DataFrame:
+    """The second and third step of several decayed sums at once; both are in the order of the rows."""
+    if not decays:
+        return df
+    rows = Window.partitionBy(*by_key).orderBy(*order)
+    df = df.withColumns({f"{d.name}l": d.before(rows) for d in decays})
+    return df.withColumns({f"{d.name}b": d.link(rows.rowsBetween(Window.unboundedPreceding, 0)) for d in decays})
 
 
 def faded(name: str, k: int, at: Column, length: Duration) -> Column:
@@ -385,8 +436,9 @@ def faded(name: str, k: int, at: Column, length: Duration) -> Column:
 class _State:
     """A base state of a lookup: its component columns, and how they are read."""
 
-    def __init__(self, number: int, base, branch: int, offset: Duration, split: bool = False):
+    def __init__(self, number: int, base, branch: int, offset: Duration, total: Duration, split: bool = False):
         self.number, self.base, self.branch, self.offset, self.split = number, base, branch, offset, split
+        self.total = total  # offset, together with those of the labels around the lookup
         latest = isinstance(base, G.Latest)
         self.aggs: tuple = (("", M.Last("_")),) if latest else base.aggs
         self.within = None if latest or base.within == INFINITE else base.within
@@ -442,39 +494,57 @@ class _State:
         parts = [M.merged(op, F.col(f"{old}{k}"), F.col(f"{late}{k}")) if self.within.ms else F.col(f"{late}{k}") for k, op in enumerate(m.ops)]
         return df, F.struct(*(c.alias(f"f{k}") for k, c in enumerate(parts)))
 
-    def read(self, df: DataFrame, mask: Column, frame, by_key: list[str], order: list) -> DataFrame:
-        """df with the columns `_s<number>_<name>` of this state as it stands at each row."""
-        out = {}
+    def _parts(self, i: int, m: M.Monoid, mask: Column) -> list[Column]:
+        return [F.when(mask, F.col(self.column(i, k))) for k in range(len(m.ops))]
+
+    @property
+    def prepares(self) -> bool:
+        return (self.within is not None and not self.split) or any("decay" in m.ops for _, m in self.aggs)
+
+    def decays(self, mask: Column) -> dict[int, _Decay]:
+        # the time at which each row would stand in this branch, which follows the order of the rows
+        at = F.col("_ts") if self.total == INFINITE else F.col("_adj") + self.total.ms
+        return {i: _Decay(f"{self.whole(i)}c", self._parts(i, m, mask), at, float(m.length.ms)) for i, (_, m) in enumerate(self.aggs) if "decay" in m.ops}
+
+    def prepare(self, df: DataFrame, mask: Column, by_key: list[str], order: list) -> DataFrame:
+        """df with the windows that are not in point order: trailing ones, and segments of decays."""
+        for i, (_, m) in enumerate(self.aggs):
+            if self.within is not None and not self.split:
+                df, here = self._trailing(df, i, m, mask, by_key, order)
+                df = df.withColumn(self.whole(i), here)
+        for d in self.decays(mask).values():
+            df = df.withColumns(d.sums(by_key, order))
+        return df
+
+    def read(self, mask: Column, frame) -> tuple[dict[str, Column], dict[str, Column]]:
+        """(windows in point order, the columns `_s<number>_<name>` made of them) of this state."""
+        windows, out = {}, {}
         for i, (name, m) in enumerate(self.aggs):
-            whole = self.whole(i)
-            x = [F.when(mask, F.col(self.column(i, k))) for k in range(len(m.inputs if self._stable(m) else m.ops))] if not (self.within and self.split) else []
+            c = f"{self.whole(i)}c"
             if self.within is not None:
-                if self.split:
-                    here = F.col(whole)
-                else:
-                    df, here = self._trailing(df, i, m, mask, by_key, order)
-                df = df.withColumn(f"{whole}c", F.last(F.when(mask, here), ignorenulls=True).over(frame))
-                values = m.finish([F.col(f"{whole}c.f{k}") for k in range(len(m.ops))])
+                windows[c] = F.last(F.when(mask, F.col(self.whole(i))), ignorenulls=True).over(frame)
+                values = m.finish([F.col(f"{c}.f{k}") for k in range(len(m.ops))])
             elif "decay" in m.ops:
-                df = decay_scan(df, f"{whole}c", x, F.col("_ts"), m.length, frame, by_key, order)
-                values = m.finish([faded(f"{whole}c", k, F.col("_ts"), m.length) for k in range(len(m.ops))])
+                windows[c] = self.decays(mask)[i].state(frame)
+                values = m.finish([faded(c, k, F.col("_ts"), m.length) for k in range(len(m.ops))])
             elif self._stable(m):
-                df = df.withColumns({f"{whole}c{k}": c for k, c in enumerate(m.stable([F.col(self.column(i, k)) for k in range(len(m.inputs))], mask, frame))})
-                values = [F.col(f"{whole}c{k}") for k in range(len(m.fields))]
+                x = [F.col(self.column(i, k)) for k in range(len(m.inputs))]
+                windows |= {f"{c}{k}": w for k, w in enumerate(m.stable(x, mask, frame))}
+                values = [F.col(f"{c}{k}") for k in range(len(m.fields))]
                 values[0] = F.coalesce(values[0], F.lit(0).cast("long")) if isinstance(m, M.Moments) else values[0]
             else:
-                df = df.withColumns({f"{whole}c{k}": M.over(op, x[k], frame) for k, op in enumerate(m.ops)})
+                windows |= {f"{c}{k}": M.over(op, v, frame) for k, (op, v) in enumerate(zip(m.ops, self._parts(i, m, mask), strict=True))}
                 if isinstance(self.base, G.Latest):
-                    return self._latest(df, F.col(f"{whole}c0"))
-                values = m.finish([F.col(f"{whole}c{k}") for k in range(len(m.ops))])
+                    return windows, self._latest(F.col(f"{c}0"))
+                values = m.finish([F.col(f"{c}{k}") for k in range(len(m.ops))])
             out |= {f"_s{self.number}_{name}{suffix}": value for suffix, value in zip(m.fields, values, strict=True)}
-        return df.withColumns(out)
+        return windows, out
 
-    def _latest(self, df: DataFrame, seen: Column) -> DataFrame:
+    def _latest(self, seen: Column) -> dict[str, Column]:
         got = seen["v"]
         if self.base.within is not None and self.base.within != INFINITE:
             got = F.when(F.col("_ts") - seen["t"] <= self.base.within.ms, got)
-        return df.withColumns({f"_s{self.number}_{c}": got[c] for c in self.base.columns})
+        return {f"_s{self.number}_{c}": got[c] for c in self.base.columns}
 
     # --- keys cut into spans --------------------------------------------------------------
 
@@ -515,8 +585,9 @@ class _State:
             if self.within is not None:
                 held = held.withColumn(self.whole(i), M.over("last", F.col(self.whole(i)), before))
             elif "decay" in m.ops:
-                values = [F.col(self.column(i, k)) for k in range(len(m.ops))]
-                held = decay_scan(held, f"{self.whole(i)}c", values, F.col("_end"), m.length, before, by_key, ["_z"])
+                d = _Decay(f"{self.whole(i)}c", [F.col(self.column(i, k)) for k in range(len(m.ops))], F.col("_end"), float(m.length.ms))
+                held = decay_links(held.withColumns(d.sums(by_key, ["_z"])), [d], by_key, ["_z"])
+                held = held.withColumn(d.name, d.state(before))
                 some = F.col(f"{self.whole(i)}c").isNotNull()
                 held = held.withColumns({self.column(i, k): F.when(some, faded(f"{self.whole(i)}c", k, F.col("_ts"), m.length)) for k in range(len(m.ops))})
             else:

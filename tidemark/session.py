@@ -20,6 +20,8 @@ def build_session(app: str = "tidemark", cpus: str | int = "*") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # rows of many windows make stage code too large for the JIT; operators that wide run better without it
+        .config("spark.sql.codegen.maxFields", "25")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -1,8 +1,8 @@
 """Rows that fail to parse: typed records and rejects with their first reason.
 
-Lines go in blocks through a columnar parse (one regular expression and three casts over a
-whole Arrow array). A block in which anything fails is cut in two, again and again; what is
-left of it at the size of a leaf is read line by line by a strict parser, which alone decides
+Lines go in blocks through a columnar parse (one regular expression and a cast of each column
+over a whole Arrow array). A block in which anything fails is cut in two, again and again; what
+is left of it at the size of a leaf is read line by line by a strict parser, which alone decides
 that a line is bad, and why. The operator is a narrow map: no shuffle, and a task holds one
 Arrow batch at a time.
 """
@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 
 from tidemark.session import carried
 
-BLOCK_LINES = 512
-LEAF_LINES = 8
+BLOCK_LINES = 4096
+LEAF_LINES = 16
 
 REASONS = ("quoting", "column_count", "date_time", "price", "volume")
 PRICES = ("open", "high", "low", "close")
@@ -41,6 +42,7 @@ _PRICE = re.compile(_NUMBER)
 _DIGITS = re.compile(r"[0-9]+")
 _LONG_MAX = 2**63 - 1
 _YEAR_1 = -62135596800
+_EPOCH, _MICROSECOND = datetime(1970, 1, 1), timedelta(microseconds=1)
 
 _ARROW = pa.schema(
     [("date_time", pa.timestamp("us")), *((p, pa.float64()) for p in PRICES), ("volume", pa.int64()), ("reason", pa.string())]
@@ -55,25 +57,37 @@ OUTPUT = T.StructType(
 )
 
 
-class BlockError(ValueError):
-    """Some line of a block is not plainly valid."""
-
-
-def parse_block(lines: pa.Array) -> pa.RecordBatch:
-    """All lines as typed columns, or BlockError. Accepts only what the strict parser accepts."""
-    parts = pc.extract_regex(lines, _BLOCK)
-    if parts.null_count:
-        raise BlockError("shape")
-    field = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
-    try:
-        stamp = pc.cast(field["date_time"], pa.timestamp("s"))
-        prices = [pc.cast(field[p], pa.float64()) for p in PRICES]
-        volume = pc.cast(field["volume"], pa.int64())
-    except pa.ArrowInvalid as e:
-        raise BlockError(str(e)) from e
-    if len(lines) and pc.min(pc.cast(stamp, pa.int64())).as_py() < _YEAR_1:
-        raise BlockError("year")
-    return pa.record_batch([pc.cast(stamp, pa.timestamp("us")), *prices, volume, pa.nulls(len(lines), pa.string())], schema=_ARROW)
+class _Block:
+    """A block of lines in columnar form: fields by one regular expression, prices and volumes by one
+    cast each. Null where a line has not the plain form."""
+
+    def __init__(self, lines: pa.Array):
+        self.lines = lines
+        parts = pc.extract_regex(lines, _BLOCK)
+        field = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
+        self.odd = np.concatenate([[0], np.cumsum(np.asarray(field["volume"].is_null()))])
+        self.stamp = field["date_time"]
+        self.texts = [field[c] for c in (*PRICES, "volume")]
+        self.numbers: list[np.ndarray] | None = None
+        try:
+            self.numbers = self._cast(0, len(lines))
+        except pa.ArrowInvalid:
+            pass  # some number is out of range: cast by part
+
+    def _cast(self, a: int, b: int) -> list[np.ndarray]:
+        kinds = (pa.float64(),) * len(PRICES) + (pa.int64(),)
+        return [np.asarray(pc.fill_null(pc.cast(t[a:b], k), 0)) for t, k in zip(self.texts, kinds, strict=True)]
+
+    def part(self, a: int, b: int) -> tuple[np.ndarray, list[np.ndarray]] | None:
+        """(microseconds, numbers) of lines a..b - 1, or None if any of them is not plainly valid."""
+        if self.odd[b] > self.odd[a]:
+            return None
+        try:
+            seconds = np.asarray(pc.cast(pc.cast(self.stamp[a:b], pa.timestamp("s")), pa.int64()))
+            numbers = self._cast(a, b) if self.numbers is None else [x[a:b] for x in self.numbers]
+        except pa.ArrowInvalid:
+            return None
+        return None if len(seconds) and seconds.min() < _YEAR_1 else (seconds * 1_000_000, numbers)
 
 
 def parse_line(line: str | None) -> tuple:
@@ -109,53 +123,67 @@ def parse_line(line: str | None) -> tuple:
     return (stamp, *map(float, fields[1:5]), int(digits), None)
 
 
-def _strict(lines: pa.Array) -> pa.RecordBatch:
-    rows = [parse_line(x) for x in lines.to_pylist()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-
+def parse_lines(lines: pa.Array, leaf: int = LEAF_LINES) -> pa.RecordBatch:
+    """A block as typed columns with the reasons of its bad lines.
 
-def parse_lines(lines: pa.Array, leaf: int = LEAF_LINES) -> Iterator[pa.RecordBatch]:
-    """Parts of the result in order: whole blocks where they parse, bisected where not."""
-    try:
-        yield parse_block(lines)
-    except BlockError:
-        if len(lines) <= leaf:
-            yield _strict(lines)
+    The block is taken as a whole if all of it is plainly valid; else it is cut in two, again and
+    again, down to `leaf` lines, which the strict parser reads.
+    """
+    n = len(lines)
+    block = _Block(lines)
+    stamp, valid = np.zeros(n, np.int64), np.zeros(n, bool)
+    numbers = [*(np.zeros(n) for _ in PRICES), np.zeros(n, np.int64)]
+    reasons: list[str | None] = [None] * n
+    todo = [(0, n)] if n else []
+    while todo:
+        a, b = todo.pop()
+        if (good := block.part(a, b)) is not None:
+            stamp[a:b], valid[a:b] = good[0], True
+            for to, x in zip(numbers, good[1], strict=True):
+                to[a:b] = x
+        elif b - a > leaf:
+            half = (a + b) // 2
+            todo += [(a, half), (half, b)]
         else:
-            half = len(lines) // 2
-            yield from parse_lines(lines[:half], leaf)
-            yield from parse_lines(lines[half:], leaf)
-
-
-def parse_records(df: DataFrame, text: str, block: int = BLOCK_LINES, leaf: int = LEAF_LINES) -> DataFrame:
+            for i, line in enumerate(lines[a:b].to_pylist(), a):
+                at, *values, reason = parse_line(line)
+                if reason is None:
+                    stamp[i], valid[i] = (at - _EPOCH) // _MICROSECOND, True
+                    for to, v in zip(numbers, values, strict=True):
+                        to[i] = v
+                reasons[i] = reason
+    bad = ~valid
+    columns = [pa.array(stamp, mask=bad).cast(pa.timestamp("us")), *(pa.array(x, mask=bad) for x in numbers), pa.array(reasons, pa.string())]
+    return pa.record_batch(columns, schema=_ARROW)
+
+
+def parse_records(df: DataFrame, text: str, block: int = BLOCK_LINES, leaf: int = LEAF_LINES, keep_text: bool = True) -> DataFrame:
     """df with date_time, open, high, low, close, volume and reason parsed from column `text`.
 
     reason is null for a valid line, and the typed columns are null for a bad one. A null line
     has no field and an empty one has one: both are `column_count`. Repeated lines are parsed
     each for itself. Numbers beyond the range of a double become infinite. Columns of df that
-    clash with the output names come out as `<name>_in`.
+    clash with the output names come out as `<name>_in`; without keep_text the lines themselves
+    are left out.
     """
     names = [f.name for f in OUTPUT]
-    kept = carried(df, names)
+    kept = carried(df if keep_text else df.drop(text), names)
     source = df.select(*kept, F.col(f"`{text}`").cast("string").alias("_tm_line"))
     schema = T.StructType([*source.schema.fields[:-1], *OUTPUT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = pc.cast(batch.column(batch.num_columns - 1), pa.string())
-            parts = [p for at in range(0, len(lines), block) for p in parse_lines(lines[at : at + block], leaf)]
-            if not parts:
-                continue
-            typed = pa.Table.from_batches(parts).combine_chunks()
-            columns = [*batch.columns[:-1], *(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in typed.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names])
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                typed = parse_lines(pc.cast(part.column(part.num_columns - 1), pa.string()), leaf)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *typed.columns], names=[*batch.schema.names[:-1], *names])
 
     return source.mapInArrow(run, schema)
 
 
-def rejects(df: DataFrame, text: str) -> DataFrame:
-    return parse_records(df, text).where(F.col("reason").isNotNull())
+def rejects(df: DataFrame, text: str, keep_text: bool = True) -> DataFrame:
+    return parse_records(df, text, keep_text=keep_text).where(F.col("reason").isNotNull())
 
 
-def records(df: DataFrame, text: str) -> DataFrame:
-    return parse_records(df, text).where(F.col("reason").isNull()).drop("reason")
+def records(df: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
+    return parse_records(df, text, keep_text=keep_text).where(F.col("reason").isNull()).drop("reason")

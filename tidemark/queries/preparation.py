@@ -11,7 +11,7 @@ from tidemark.session import table
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "raw_lines").select("raw_id", "line_text")
-    return bad_rows.rejects(lines, "line_text").select("raw_id", "reason")
+    return bad_rows.rejects(lines, "line_text", keep_text=False).select("raw_id", "reason")
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 
@@ -19,7 +20,7 @@ def plain(pdf: pd.DataFrame) -> list[tuple]:
     pdf = pdf[sorted(pdf.columns)]
     rows = []
     for r in pdf.itertuples(index=False, name=None):
-        rows.append(tuple("" if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        rows.append(tuple("" if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(rows, key=repr)
 
 

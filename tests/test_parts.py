@@ -129,6 +129,19 @@ def test_inputs_merge(spark):
     assert io.empty(spark, "a int").count() == 0
 
 
+def test_staged_tables_lie_in_the_shared_folder(spark):
+    from pathlib import Path
+
+    from tidemark.session import clear_stages, shared_dir, stage
+
+    df = stage(spark.range(5), "numbers")
+    folder = Path(shared_dir(spark)) / "tidemark" / spark.sparkContext.applicationId
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir") and list(folder.glob("numbers-*"))
+    assert df.count() == 5
+    clear_stages(spark)
+    assert not folder.exists()
+
+
 # --- tables -------------------------------------------------------------------------------
 
 

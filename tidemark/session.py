@@ -53,11 +53,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     table is columnar and compressed, and later scans prune its columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the tables this application has staged. Results that have not been written yet need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def code_of(col: Column) -> Column:
     """A currency code as it is compared: letter case and surrounding blanks do not matter."""
     return F.upper(F.trim(col))

@@ -489,9 +489,11 @@ class _State:
 
         late, old = f"{self.whole(i)}q", f"{self.whole(i)}e"
         df = df.withColumns({f"{late}{k}": over(op, k, same) for k, op in enumerate(m.ops)})
-        if self.within.ms:
-            df = df.withColumns({f"{old}{k}": over(op, k, early) for k, op in enumerate(m.ops)})
-        parts = [M.merged(op, F.col(f"{old}{k}"), F.col(f"{late}{k}")) if self.within.ms else F.col(f"{late}{k}") for k, op in enumerate(m.ops)]
+        # the last update of a window is the row's own one, so that only other operations look back
+        back = {k: op for k, op in enumerate(m.ops) if self.within.ms and op != "last"}
+        if back:
+            df = df.withColumns({f"{old}{k}": over(op, k, early) for k, op in back.items()})
+        parts = [M.merged(op, F.col(f"{old}{k}"), F.col(f"{late}{k}")) if k in back else F.col(f"{late}{k}") for k, op in enumerate(m.ops)]
         return df, F.struct(*(c.alias(f"f{k}") for k, c in enumerate(parts)))
 
     def _parts(self, i: int, m: M.Monoid, mask: Column) -> list[Column]:

@@ -210,6 +210,33 @@ def test_odd_texts(spark):
     assert pii.find(df.limit(0), "id", "body").count() == 0
 
 
+# Names that stand in no list of the module, and family names that are also words or given names.
+OUTSIDE = [
+    ("Thanks to Mrs Gillian Cooper and others", "Gillian Cooper"),
+    ("Applicant: Siobhan Kelly, SSN 666-20-2771.", "Siobhan Kelly"),
+    ("Contactez Cooper, Gillian au 01", "Cooper, Gillian"),
+    ("It was late. Desmond Murphy told the council", "Desmond Murphy"),
+    ("attention Roisin Walsh, who waits", "Roisin Walsh"),
+    ("Thanks to Mrs Anna Hall and others", "Anna Hall"),
+    ("Frau Renate West wohnt jetzt", "Renate West"),
+    ("Contactez J. Martin au 01", "J. Martin"),
+    ("You can reach Martin, Anna at noon", "Martin, Anna"),
+]
+
+
+@pytest.mark.parametrize("text,name", OUTSIDE)
+def test_every_pair_is_proposed(text, name):
+    assert name in {text[a:b] for a, b, k, _ in pii.candidates(text) if pii.KINDS[k] == "name"}
+
+
+def test_names_outside_the_lists(spark, small):
+    """Found by what stands around them, though the names of the corpus are in the lists."""
+    model = pii.train(pii.propose(spark.read.parquet(f"{small}/documents.parquet"), "doc_id", "text"))
+    for text, name in OUTSIDE:
+        assert [text[a:b] for a, b, k in pii.choose(pii.candidates(text), model) if pii.KINDS[k] == "name"] == [name], text
+    assert not [DECOYS[a:b] for a, b, k in pii.choose(pii.candidates(DECOYS), model) if pii.KINDS[k] == "name"]
+
+
 def test_votes_round_trip():
     for votes in [(1, 0, -1, 1, 1, 0), (0,) * 6, (-1,) * 6]:
         assert pii.decode_votes(pii.encode_votes(votes)) == votes

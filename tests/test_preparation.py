@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stamps import Place, StampParser
 from tidemark.functions.zones import ZoneTable
 from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, trailing
+from tidemark.queries import market
 
 GOOD = "2021-05-06 14:39:00,1.5,2,-3e2,4.25,76"
 
@@ -338,3 +339,33 @@ def test_known_at(spark, bucket):
     assert known_at.known_at(e.limit(0), v, **args).count() == 0
     assert known_at.known_at(e, v.limit(0), **args).count() == 0
     assert known_at.known_at(e.union(e), v, **args).count() == 2 * len(want)
+
+
+# --- dense table of bars --------------------------------------------------------------------
+
+
+def test_dense_bars_in_every_form(spark, small, tmp_path):
+    """Against brute force: each bar is kept whose start names an instant, in whatever form."""
+    h, at = 3_600_000, 1_435_795_200_000  # 2015-07-02 00:00 UTC
+    starts = [
+        ("2015-07-02 01:30:00 UTC", at + h * 3 // 2), ("2015-07-02T03:00:00Z", at + 3 * h), (str((at + 4 * h) // 1000), at + 4 * h),
+        (str(at + 5 * h), at + 5 * h), ("2015-07-02 2:00:00 PM HKT", at + 6 * h), ("02/07/2015 07:00 UTC", at + 7 * h), ("2015-07-02T09:30:00+08:00", at + h * 3 // 2),
+        ("2 Jul 2015 10:00:00 +0800", at + 2 * h), ("n/a", None), ("2015-07", None), ("2015-02-30 01:30:00 UTC", None), (None, None),
+    ]
+    rows = [(i, "AB"[i % 2], text, float(i), 10 * i) for i, (text, _) in enumerate(starts)] + [(90, None, "2015-07-02T08:00:00Z", 1.0, 1), (91, "A", "2015-07-02T08:00:00Z", None, 1)]
+    spark.createDataFrame(rows, "hk_id long, symbol string, bar_start_utc string, close double, volume long").write.parquet(f"{tmp_path}/hk_stocks.parquet")
+    spark.read.parquet(f"{small}/exchanges.parquet").write.parquet(f"{tmp_path}/exchanges.parquet")
+    bars: dict[tuple, tuple] = {}
+    for i, (_, ms) in enumerate(starts):
+        if ms is not None:
+            end = ms + (h // 2 if ms % (24 * h) // h == 1 else h)
+            bars["AB"[i % 2], end] = max(bars.get(("AB"[i % 2], end), (-1, 0)), (i, 10 * i))
+    want = set()
+    for s in "AB":
+        for end in {e for _, e in bars}:
+            if seen := [(e, *bars[k, e]) for k, e in bars if k == s and e <= end]:
+                last, i, volume = max(seen)
+                want.add((s, end, float(i), volume if last == end else 0))
+    got = market.dense_bars_all(spark, str(tmp_path)).select("symbol", "bar", "close", "volume")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert market.dense_bars(spark, str(tmp_path)).count() == 1

@@ -3,7 +3,7 @@ exchange rates, dense price tables, and the statistics of trades."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import monoids as M
@@ -64,13 +64,13 @@ def bar_history(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Engine(spark, {"finnhub_bar": bars}, hot_rows=HOT_ROWS).run(out), "m_mean", "d_mean")[["bar_id", "m_n", "m_mean", "d_mean", "c15", "c30"]]
 
 
-def dense_bars(spark: SparkSession, d: str) -> DataFrame:
+def _dense(spark: SparkSession, d: str, start_ms: Column) -> DataFrame:
     """Every symbol at every bar end since it was first seen, with its close so far and the bar's
-    volume, which is 0 where the symbol has no bar."""
+    volume, which is 0 where the symbol has no bar. Rows without start_ms are left out."""
     hk = table(spark, d, "hk_stocks").where("symbol is not null and close is not null")
-    start = F.try_to_timestamp("bar_start_utc", F.lit("yyyy-MM-dd HH:mm:ss 'UTC'"))
-    minutes = F.when(F.hour(start) == 1, 30).otherwise(60)
-    hk = hk.select("hk_id", "symbol", F.col("close").cast("double").alias("close"), "volume", (F.unix_millis(start) + minutes * 60_000).alias("bar_end"))
+    hk = hk.select("hk_id", "symbol", F.col("close").cast("double").alias("close"), "volume", start_ms.alias("start_ms"))
+    minutes = F.when(F.hour(F.timestamp_millis("start_ms")) == 1, 30).otherwise(60)
+    hk = hk.select("hk_id", "symbol", "close", "volume", (F.col("start_ms") + minutes * 60_000).alias("bar_end"))
     hk = hk.where("bar_end is not null")
     grid = tables.dense_grid(hk, "symbol", "bar_end", 1).withColumn("row", F.xxhash64("symbol", "bar"))
     latest = HK.map("symbol", "close", "volume", "bar_end").key_by("symbol").latest("close", "volume", "bar_end")
@@ -79,6 +79,22 @@ def dense_bars(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, {"hk_stocks": hk, "z_grid": grid}, hot_rows=HOT_ROWS).run(bars)
 
 
+def dense_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The dense table of the bars whose start is written `yyyy-MM-dd HH:mm:ss UTC`, as its SQL has it.
+
+    Rows in any other form are dropped: 3,681 of the 20,000 of sf0.1, though 3,386 of them name
+    an instant. `dense_bars_all` keeps those.
+    """
+    return _dense(spark, d, F.unix_millis(F.try_to_timestamp("bar_start_utc", F.lit("yyyy-MM-dd HH:mm:ss 'UTC'"))))
+
+
+def dense_bars_all(spark: SparkSession, d: str) -> DataFrame:
+    """The dense table of all bars, with starts read in any form as p5_found reads them; only rows
+    that name no instant are left out. Starts without zone are UTC."""
+    book = normalise_time.with_zone(normalise_time.place_book(table(spark, d, "exchanges")), "QHK", "UTC")
+    return _dense(spark, d, normalise_time.utc_millis(book, F.col("bar_start_utc"), F.lit("QHK")))
+
+
 def _trades(spark: SparkSession, d: str) -> DataFrame:
     """Trades made of events: the score is props.k / 100, the amount the value, the gain follows both."""
     e = table(spark, d, "events")
@@ -115,4 +131,4 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
     return tables.top_k(orders, 25, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
-QUERIES = {f.__name__: f for f in (ticks_candles, candles_usd, bar_history, dense_bars, threshold_stats, balance_sim, sort_inputs, diff_rows, top_values)}
+QUERIES = {f.__name__: f for f in (ticks_candles, candles_usd, bar_history, dense_bars, dense_bars_all, threshold_stats, balance_sim, sort_inputs, diff_rows, top_values)}

@@ -3,7 +3,7 @@
 All readings are range-partitioned by (source, time), so that a source of any share of the
 rows spreads over as many tasks as it fills, and each task streams its sorted rows through
 vectorised kernels with a small carry. Sources that lie inside one partition are finished
-there. Only the first and the last source of a partition may reach into the next one: of
+there, without a sketch, by the exact median of their measures in memory. Only the first and the last source of a partition may reach into the next one: of
 those, the readings near the edge are decided in a second small pass that has both sides, and
 their quantile sketches (log-spaced histograms, mergeable by addition) are merged across
 partitions to fences. Readings beyond the fence's upper bound are cases, readings below its

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -31,3 +35,14 @@ def test_every_statement_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "event_id"
+
+
+def test_a_missing_package_is_an_error():
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__; __spark_entry__.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=60)
+    assert done.returncode and ("ImportError" in done.stderr or "ModuleNotFoundError" in done.stderr)
+
+
+def test_an_absent_subpackage_is_none(monkeypatch):
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
+    assert set(entry.queries()) == set(QUERIES)

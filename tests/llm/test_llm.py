@@ -70,6 +70,13 @@ def test_chunks_give_the_ids_of_the_whole(size, overlap):
     assert encode.stitch([(a, *encode.encode_chunk(a, c, end, size, overlap, encode.VOCABULARY)) for a, c, end in encode.cut_chunks(text, size, overlap)]) == encode.encode_text(text)
 
 
+def test_long_text_without_ascii_is_stitched():
+    r = random.Random(6)
+    text = "".join(r.choice(["漢字", "かな", "。", "、", "市場", "жила", "４２", "“é”"]) for _ in range(900))
+    parts = [(a, *encode.encode_chunk(a, c, end, 300, 64, encode.VOCABULARY)) for a, c, end in encode.cut_chunks(text, 300, 64)]
+    assert len(parts) > 5 and encode.stitch(parts) == encode.encode_text(text)
+
+
 def test_encode(spark):
     texts = [None, *TEXTS, long_text(3, 2000), "word " * 300, "y" * 5000 + " end"]
     rows = [(i % 14, t) for i, t in enumerate(texts)]

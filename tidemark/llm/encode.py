@@ -10,6 +10,7 @@ encodes its pieces, and the pieces between the stitches are put together per tex
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,11 +57,23 @@ def boundaries(text: str, start: int, is_end: bool) -> list[int]:
     return ends if is_end else [e for e in ends if e < len(text)]
 
 
+def _class(c: str) -> str:
+    """L, N or P (all else that is visible) of a character that both the oldest and the present
+    edition of the character tables put there; empty where they differ or for white space."""
+    now, old = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]
+    return "" if now != old or now in "ZC" else now if now in "LN" else "P"
+
+
 def _plain(text: str, at: int) -> bool:
     """A boundary at which a text may be cut and each side split alone. It follows no white space,
-    whose split depends on what comes after it, and it has ASCII on both sides, which looks alike
-    to every edition of the character tables."""
-    return text[at - 1].isascii() and not text[at - 1].isspace() and text[at].isascii()
+    whose split depends on what comes after it, and looks alike to every edition of the character
+    tables: it has ASCII on both sides, or stands between two characters of old and different classes."""
+    before, after = text[at - 1], text[at]
+    if before.isspace():
+        return False
+    if before.isascii() and after.isascii():
+        return True
+    return bool(_class(before) and _class(after)) and _class(before) != _class(after)
 
 
 def cut_chunks(text: str, size: int, overlap: int) -> list[tuple[int, str, bool]]:
@@ -174,7 +187,7 @@ def encode(
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
         ids = stitch(list(pdf[["start", "ends", "upto", "ids", "stop"]].itertuples(index=False, name=None)))
-        if ids is None:  # some piece is longer than the overlap
+        if ids is None:  # no stitch in some overlap: the text is encoded again as a whole
             ids = load(path).encode_ordinary("".join(pdf["core"]))
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], name: [len(ids) if count_only else ids]})
 

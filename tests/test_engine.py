@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.interpreter import Point, run
 from tidemark.functions import monoids as M
@@ -176,28 +179,73 @@ def test_against_interpreter(spark, probe, update, offset, hot_rows):
     assert sorted(got, key=repr) == sorted(run(points, probe, update, offset, 9), key=repr)
 
 
-def _close(a, b):
-    return a == b or (a is not None and b is not None and abs(a - b) <= 1e-9 * max(1, abs(a)))
+def _same(x, y, tolerance):
+    for name in x.asDict():
+        u, v = x[name], y[name]
+        near = isinstance(u, float) and isinstance(v, float) and abs(u - v) <= tolerance * max(1, abs(u))
+        assert near or u == v, (name, u, v)
 
 
+@pytest.mark.parametrize("mean", [0, 10**8])
 @pytest.mark.parametrize("offset", [0, 6])
-def test_hot_keys_give_the_same(spark, offset):
+def test_hot_keys_give_the_same(spark, offset, mean):
     _, frames = _random_frames(spark, 3)
     src = {s: Source(s, "ts", "ord") for s in ("a", "b")}
-    k = {s: src[s].map("ord", "key", v="value", w="(value * 7) % 5").key_by("key") for s in src}
+    k = {s: src[s].map("ord", "key", v=f"value + {mean}", w=f"(value * 7) % 5 + {mean}").key_by("key") for s in src}
     decays = dict(d=M.Decay.of("v", "5ms"), dm=M.DecayedMoments.of("v", "3ms"), dc=M.DecayedCorrelation.of("v", "w", "9ms"))
-    trailing = {f"t_{n}": a for n, a in AGGS.items() if n not in "c"}
-    feature = k["b"].sum(**AGGS, **decays).zip(k["b"].window(8, **trailing)).zip(k["b"].latest_within(6, "v", enforce=True).map(near="v"))
+    trailing = {f"t_{n}": a for n, a in AGGS.items()}
+    sets = dict(u=M.SetUnion("v"))
+    feature = k["b"].sum(**AGGS, **decays, **sets).zip(k["b"].window(8, **trailing)).zip(k["b"].latest_within(6, "v", enforce=True).map(near="v"))
     node = k["a"].labeled(Label.of(feature).look_forward(offset)) if offset else k["a"].pre_lookup(feature)
     plain = Engine(spark, frames).run(node).orderBy("ord").collect()
-    split = Engine(spark, frames, hot_rows=5).run(node).orderBy("ord").collect()
-    assert len(plain) == len(split) == 60
-    for x, y in zip(plain, split, strict=True):
-        for name in plain[0].asDict():
-            u, v = x[name], y[name]
-            near = isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-6 * max(1, abs(u))
-            # a correlation over nearly nothing may be told from none by one rounding
-            assert near or _close(u, v) or name.split("_")[0] in ("c", "dc"), (name, u, v)
+    for hot_rows in (5, 25):
+        split = Engine(spark, frames, hot_rows=hot_rows).run(node).orderBy("ord").collect()
+        assert len(plain) == len(split) == 60
+        for x, y in zip(plain, split, strict=True):
+            _same(x, y, 1e-9)
+
+
+def _exact(pairs):
+    """Population moments and correlation in exact arithmetic."""
+    n = len(pairs)
+    mx, my = (Fraction(sum(p[i] for p in pairs), n) for i in (0, 1))
+    xx, yy, xy = (sum((p[i] - (mx, my)[i]) * (p[j] - (mx, my)[j]) for p in pairs) / n for i, j in ((0, 0), (1, 1), (0, 1)))
+    return float(mx), math.sqrt(xx), float(xy) / math.sqrt(xx * yy) if xx and yy else None
+
+
+@pytest.mark.parametrize("hot_rows", [None, 40, 333])
+def test_large_means_keep_their_digits(spark, hot_rows):
+    """Running, trailing, keyless and decayed moments of values around 1e8, against exact sums."""
+    data = [(i, 10**8 + i * 7919 % 7, 10**8 + i * 104729 % 5) for i in range(1000)]
+    df = spark.createDataFrame(data, "ts long, x long, y long")
+    num = Source("num", "ts", "ts").map("ts", "x", "y").key_by()
+    run = num.sum(m=M.Moments("x"), c=M.Correlation("x", "y"), dm=M.DecayedMoments.of("x", "50ms"), dc=M.DecayedCorrelation.of("x", "y", "50ms"))
+    node = num.post_lookup(run.zip(num.window_sum("100ms", w=M.Moments("x"), wc=M.Correlation("x", "y"))))
+    for r in Engine(spark, {"num": df}, hot_rows=hot_rows).run(node).collect():
+        i = r.ts
+        for pairs, m, c in ((data[: i + 1], "m", "c"), (data[max(0, i - 100) : i + 1], "w", "wc")):
+            mean, std, corr = _exact([p[1:] for p in pairs])
+            assert r[f"{m}_n"] == len(pairs) and abs(r[f"{m}_mean"] / mean - 1) < 1e-15
+            assert abs(r[f"{m}_std"] - std) < 1e-9 and (r[f"{c}_corr"] is None) == (corr is None) and (corr is None or abs(r[f"{c}_corr"] - corr) < 1e-9)
+        weights = [math.exp((t - i) / 50) for t, _, _ in data[: i + 1]]
+        w = sum(weights)
+        x, y = ([p[j] - 10**8 for p in data[: i + 1]] for j in (1, 2))
+        mx, my = (sum(a * b for a, b in zip(weights, v, strict=True)) / w for v in (x, y))
+        var = sum(a * (b - mx) ** 2 for a, b in zip(weights, x, strict=True)) / w
+        cov = sum(a * (b - mx) * (c - my) for a, b, c in zip(weights, x, y, strict=True)) / w
+        assert abs(r.dm_w - w) < 1e-9 * w and abs(r.dm_mean - 10**8 - mx) < 1e-6 and abs(r.dm_var - var) < 1e-7 and abs(r.dc_cov - cov) < 1e-7
+
+
+def test_a_hot_key_with_an_outlying_time_is_cut_into_even_spans(spark):
+    """Cuts lie at quantiles, so that one time far away does not leave all rows in one span."""
+    df = spark.range(20_000).selectExpr("if(id = 0, 4102444800000, id) as ts", "id", "1 as i")
+    one = Source("num", "ts", "id").map("i", "id", k="1").key_by("k")
+    out = Engine(spark, {"num": df}, hot_rows=100).run(one.post_lookup(one.count("n")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.agg(F.sum("n")).first()[0] == 20_000 * 20_001 // 2
+    assert len(parts) >= 3 and max(parts) < 12_000
 
 
 def test_fold_keeps_order(spark):

@@ -129,6 +129,38 @@ def test_inputs_merge(spark):
     assert io.empty(spark, "a int").count() == 0
 
 
+def test_staging_on_a_cluster_needs_a_shared_folder():
+    """A session that is not local and names no folder is an error, and clearing it is not."""
+    from types import SimpleNamespace
+
+    from tidemark.session import clear_stages, shared_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Folder:
+        def __init__(self, name):
+            self.name = name
+
+        def isDefined(self):  # noqa: N802
+            return self.name is not None
+
+        def get(self):
+            return self.name
+
+    def session(master, folder=None, **conf):
+        java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: Folder(folder)))
+        return SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master, _jsc=java, applicationId="a"), _jvm=None)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,4,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert shared_dir(session("yarn", "hdfs://x/shared")) == "hdfs://x/shared"
+    assert shared_dir(session("yarn", **{"spark.checkpoint.dir": "s3a://b/c"})) == "s3a://b/c"
+    assert "tidemark-" in shared_dir(session("local[4]"))
+
+
 def test_staged_tables_lie_in_the_shared_folder(spark):
     from pathlib import Path
 

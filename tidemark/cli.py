@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.tables import diff_rows, sort_rows
 from tidemark.plans import graph as G
 from tidemark.plans.lower import Engine, TimeBound
-from tidemark.session import build_session
+from tidemark.session import build_session, clear_stages
 from tidemark.sources.io import Inputs, write_csv
 
 
@@ -134,7 +134,9 @@ def execute(args: argparse.Namespace, spark: SparkSession) -> str:
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    print(execute(args, SparkSession.getActiveSession() or build_session()))
+    spark = SparkSession.getActiveSession() or build_session()
+    print(execute(args, spark))
+    clear_stages(spark)
     return 0
 
 

@@ -7,6 +7,7 @@ DataFrame.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -460,22 +461,74 @@ class LabeledEvent:
 
 
 def triggers_of(event: Keyed) -> Keyed:
-    """The key-change events of a keyed event: lookups, times and maps of values are stripped."""
-    e: Event = event
-    keys = event.keys_as_they_are()
+    """The key-change events of a keyed event: lookups, times and maps of values are stripped, on
+    both sides of a merge; equal sides of a merge are one."""
+    return Keyed(_stripped(event, event.key_names), event.keys_as_they_are()).map_values()
+
+
+def _stripped(e: Event, keys: tuple[str, ...]) -> Event:
+    """The events below with these columns, without what only adds to them."""
+    names = tuple((k, f"`{k}`") for k in keys)
     while True:
-        if isinstance(e, Lookup):
+        if isinstance(e, Lookup) or (isinstance(e, Keyed) and e.keys == names and set(keys) <= _columns(e.event, set(keys))):
             e = e.event
-        elif isinstance(e, Mapped) and isinstance(e.event, Keyed) and all((k, f"`{k}`") in e.exprs for k, _ in keys) and {k for k, _ in keys} <= set(e.event.key_names):
+        elif isinstance(e, Timed) and e.name not in keys:
             e = e.event
-        elif isinstance(e, Timed):
-            e = e.event
-        elif isinstance(e, Keyed) and e.keys == keys and isinstance(e.event, (Keyed, Mapped, Timed)):
+        elif isinstance(e, Mapped) and all(n in e.exprs for n in names) and set(keys) <= _columns(e.event, set(keys)):
             e = e.event
+        elif isinstance(e, Concat):
+            left, right = (_stripped(Mapped(side, names), keys) for side in (e.left, e.right))
+            left, right = (side if isinstance(side, Mapped) and side.exprs == names else Mapped(side, names) for side in (left, right))
+            return left if left == right else Concat(left, right)
+        elif isinstance(e, Mapped) and isinstance(e.event, Lookup) and not _named_in(e.exprs, e.event):
+            e = replace(e, exprs=tuple(x for x in e.exprs if x[0] in keys), event=_below(e.event))
+        elif isinstance(e, Mapped) and {n for n, _ in e.exprs} > set(keys):
+            e = replace(e, exprs=tuple(x for x in e.exprs if x[0] in keys))
+        elif isinstance(e, Keyed) and not isinstance(e, Lookup) and isinstance(e.event, Mapped) and {n for n, _ in e.event.exprs} > _needed(e.keys):
+            kept = tuple(x for x in e.event.exprs if x[0] in _needed(e.keys))
+            if not kept:
+                return e
+            e = replace(e, event=replace(e.event, exprs=kept))
+        elif isinstance(e, Keyed) and not isinstance(e, Lookup) and isinstance(e.event, Mapped) and isinstance(e.event.event, Lookup) and not _named_in(e.event.exprs, e.event.event):
+            e = replace(e, event=replace(e.event, event=_below(e.event.event)))
         else:
-            break
-    inner = e if isinstance(e, Keyed) else Keyed(e, keys)
-    return inner.map_values()
+            return e
+
+
+def _words(e: Expr) -> set[str]:
+    """All that may be a column's name in an expression; what a function builds is unknown."""
+    return set(re.findall(r"\w+", e)) if isinstance(e, str) else {"*"}
+
+
+def _needed(exprs: Named) -> set[str]:
+    return set().union(*(_words(e) for _, e in exprs)) if exprs else set()
+
+
+def _named_in(exprs: Named, lookup: Lookup) -> bool:
+    """Whether the expressions of key columns may read what a lookup adds."""
+    words = _needed(exprs)
+    return "*" in words or bool(words & set(lookup.feature.names()))
+
+
+def _below(lookup: Lookup) -> Event:
+    return lookup.event
+
+
+def _columns(e: Event, asked: set[str]) -> set[str]:
+    """Those of the columns asked for that an event surely has under these names."""
+    if isinstance(e, Lookup):
+        return _columns(e.event, asked)
+    if isinstance(e, Keyed):
+        return {n for n, _ in e.keys} & asked | _columns(e.event, asked - {n for n, _ in e.keys})
+    if isinstance(e, Mapped):
+        return {n for n, _ in e.exprs} & asked
+    if isinstance(e, Concat):
+        return _columns(e.left, asked) & _columns(e.right, asked)
+    if isinstance(e, (Filtered, Timed)):
+        return _columns(e.event, asked)
+    if isinstance(e, Source) and e.columns:
+        return set(e.columns) & asked
+    return set()
 
 
 def _walk(node, offset: Duration = ZERO) -> Iterator[tuple[object, Duration]]:

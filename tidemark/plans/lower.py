@@ -3,21 +3,22 @@
 Every event is a DataFrame of its columns and of hidden ones: `_ts` (epoch milliseconds),
 `_off` (how far a label looks ahead), `_src`, `_ord` (rank within the source) and, where one
 source row has several outputs, `_sub`. Points are ordered by (_ts - _off, larger _off first,
-_src, _ord). A lookup unions the events with the updates of all features it reads, whatever
-their offsets, and evaluates every window over one shuffle on the key. Where the updates are
-the events themselves there is no union either.
+_src, _ord). A lookup brings the events and the updates of all features it reads, whatever
+their offsets, under one shuffle on the key, and evaluates every window in one order. Updates
+that are the events themselves ride on the rows of the events, or are copies of these rows made
+in the same scan; only updates of other events are a union.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,11 @@ from tidemark.session import stage
 HIDDEN = ("_ts", "_off", "_src", "_ord")
 #: Order of the rows of one point: the state of earlier spans, updates seen after it, the event, updates seen before it.
 CARRY, POST, PROBE, PRE = -1, 0, 1, 2
+#: A hot key is cut into at most so many spans (a power of two), at quantiles of its times.
+SPANS = 256
+#: What a row of an input takes at least on average, for telling from Spark's size estimate that no key can be hot.
+ROW_BYTES = 8
+ALL_BEFORE = "rows between unbounded preceding and current row"
 
 
 class PlanError(ValueError):
@@ -48,42 +54,51 @@ class TimeBound:
             raise ValueError("the lower bound must lie below the upper one")
 
 
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
 @dataclass
 class Rows:
-    """A lowered event; `sub`: whether it has the column _sub."""
+    """A lowered event: its columns, and whether it has the column _sub."""
 
     df: DataFrame
+    payload: tuple[str, ...]
     sub: bool
-
-    @property
-    def payload(self) -> list[str]:
-        return [c for c in self.df.columns if not c.startswith("_")]
+    extra: tuple[str, ...] = ()  # components that rows carry up to a lookup further on
 
     @property
     def hidden(self) -> list[str]:
-        return [*HIDDEN, *(["_sub"] if self.sub else [])]
+        return [*HIDDEN, *(["_sub"] if self.sub else []), *self.extra]
 
     def with_sub(self) -> DataFrame:
-        return self.df if self.sub else self.df.withColumn("_sub", _no_sub())
+        return self.df if self.sub else self.df.select("*", F.expr(f"{_NO_SUB} as _sub"))
+
 
+_NO_SUB = "cast(array() as array<int>)"
 
-def adjusted(ts: Column, offset: Duration) -> Column:
-    return F.lit(LONG_MIN).cast("long") if offset == INFINITE else ts - F.lit(offset.ms).cast("long")
+
+def adjusted(offset: Duration) -> str:
+    return f"{LONG_MIN + 1}L - 1L" if offset == INFINITE else f"_ts - {offset.ms}L"
 
 
 class Engine:
     """Lowers graphs over bound inputs: a DataFrame for each source name.
 
-    hot_rows: keys with more rows than this in one lookup are cut into spans of time of about so
-    many rows each, which run as tasks of their own. Where the inputs have more rows than this,
-    finding such keys takes a count per key when the graph is lowered. None leaves each key to
-    one task, which sorts and spills; so do running sets and folds of unknown form, which are
-    not cut.
+    hot_rows: keys with more rows than this in one lookup are cut into spans of time, at
+    quantiles of the key's rows, which run as tasks of their own. Which keys are hot is found
+    in the plan itself; nothing runs while the graph is lowered, but that a lookup over the
+    result of another one first writes that result to the shared folder, as it is read more
+    than once. Where Spark's estimate of the inputs' size leaves room for no hot key, the plan
+    does not look for any. Results do not depend on where keys are cut. None leaves each key
+    to one task, which sorts and spills; so do folds of unknown form, which are not cut.
     """
 
     def __init__(self, spark: SparkSession, inputs: dict[str, DataFrame], bound: TimeBound | None = None, hot_rows: int | None = None):
         self.spark, self.inputs, self.bound, self.hot_rows = spark, inputs, bound or TimeBound(), hot_rows
-        self._rows: dict[str, int] = {}
+        self._sizes: dict[str, int] = {}
+        self._carried: list[tuple[G.Event, list[str], list[Column]]] = []
+        self._count = 0
 
     # --- running --------------------------------------------------------------------------
 
@@ -110,72 +125,81 @@ class Engine:
             df = df.orderBy("_ts", "_src", "_ord", *(["_sub"] if rows.sub else []))
         if limit is not None:
             df = df.limit(limit)
-        names = [F.col(f"`{c}`") for c in rows.payload]
-        return df.select(*([F.col("_ts").alias(time)] if time else []), *names)
+        return df.selectExpr(*([f"_ts as {quoted(time)}"] if time else []), *map(quoted, rows.payload))
 
     # --- events ---------------------------------------------------------------------------
 
     def event(self, node: G.Event, offset: Duration) -> Rows:
+        rows = self._event(node, offset)
+        for event, values, built in self._carried:
+            if event == node and not set(_names(values)) & set(rows.extra):
+                df = (rows.df.select("*", *built) if built else rows.df).selectExpr("*", *values)
+                rows = Rows(df, rows.payload, rows.sub, (*rows.extra, *_names(values)))
+        return rows
+
+    def _event(self, node: G.Event, offset: Duration) -> Rows:
         match node:
             case G.Empty(schema=schema):
                 df = self.spark.createDataFrame([], schema)
-                zero = F.lit(0).cast("long")
-                return Rows(df.select("*", zero.alias("_ts"), zero.alias("_off"), F.lit("").alias("_src"), zero.alias("_ord")), False)
+                return Rows(df.selectExpr("*", "0L as _ts", "0L as _off", "'' as _src", "0L as _ord"), tuple(df.columns), False)
             case G.Source():
                 return self._source(node, offset)
             case G.Lookup():
                 return self._lookup(node, offset)
             case G.Keyed(event=inner, keys=keys):
                 rows = self.event(inner, offset)
-                kept = [F.col(f"`{c}`") for c in rows.payload if c not in {n for n, _ in keys}]
-                return Rows(rows.df.select(*(column(e).alias(n) for n, e in keys), *kept, *rows.hidden), rows.sub)
+                names = [n for n, _ in keys]
+                kept = [c for c in rows.payload if c not in names]
+                return Rows(rows.df.select(*(column(e).alias(n) for n, e in keys), *map(quoted, kept), *rows.hidden), (*names, *kept), rows.sub, rows.extra)
             case G.Mapped(event=inner, exprs=exprs):
                 rows = self.event(inner, offset)
-                return Rows(rows.df.select(*(column(e).alias(n) for n, e in exprs), *rows.hidden), rows.sub)
+                return Rows(rows.df.select(*(column(e).alias(n) for n, e in exprs), *rows.hidden), tuple(n for n, _ in exprs), rows.sub, rows.extra)
             case G.Filtered(event=inner, condition=condition):
                 rows = self.event(inner, offset)
-                return Rows(rows.df.where(column(condition)), rows.sub)
+                return Rows(rows.df.where(column(condition)), rows.payload, rows.sub, rows.extra)
             case G.Timed(event=inner, name=name):
                 rows = self.event(inner, offset)
-                return Rows(rows.df.withColumn(name, F.col("_ts")), rows.sub)
+                kept = [c for c in rows.payload if c != name]
+                return Rows(rows.df.selectExpr(*map(quoted, kept), f"_ts as {quoted(name)}", *rows.hidden), (*kept, name), rows.sub, rows.extra)
             case G.Exploded(event=inner, items=items, name=name, position=position):
                 rows = self.event(inner, offset)
                 df = rows.with_sub().select("*", F.posexplode(column(items)).alias("_pos", "_item"))
-                kept = [F.col(f"`{c}`") for c in rows.payload if c not in (name, position)]
-                at = [F.col("_pos").alias(position)] if position else []
-                sub = F.concat("_sub", F.array("_pos")).alias("_sub")
-                return Rows(df.select(*kept, *at, F.col("_item").alias(name), *HIDDEN, sub), True)
+                kept = [c for c in rows.payload if c not in (name, position)]
+                at = [f"_pos as {quoted(position)}"] if position else []
+                df = df.selectExpr(*map(quoted, kept), *at, f"_item as {quoted(name)}", *HIDDEN, "concat(_sub, array(_pos)) as _sub")
+                return Rows(df, (*kept, *([position] if position else []), name), True)
             case G.Concat(left=left, right=right):
-                sides = []
+                sides, names = [], []
                 for k, side in enumerate((left, right)):
-                    df = self.event(side, offset).with_sub()
-                    sides.append(df.withColumn("_sub", F.concat(F.array(F.lit(k)), "_sub")))
-                if isinstance(left, G.Empty) or isinstance(right, G.Empty):
-                    return Rows(sides[0].unionByName(sides[1], allowMissingColumns=True), True)
-                return Rows(sides[0].unionByName(sides[1]), True)
+                    rows = self.event(side, offset)
+                    names.append(rows.payload)
+                    sides.append(rows.with_sub().selectExpr(*map(quoted, rows.payload), *HIDDEN, f"concat(array({k}), _sub) as _sub"))
+                lacking = isinstance(left, G.Empty) or isinstance(right, G.Empty)
+                return Rows(sides[0].unionByName(sides[1], allowMissingColumns=lacking), tuple(dict.fromkeys((*names[0], *names[1]))), True)
         raise TypeError(type(node))
 
     def _source(self, node: G.Source, offset: Duration) -> Rows:
         df = self.inputs[node.name]
         names = node.columns or tuple(c for c in df.columns if not c.startswith("_"))
         order = column(node.order).cast("long") if node.order is not None else F.monotonically_increasing_id()
-        off = F.lit(LONG_MAX if offset == INFINITE else offset.ms).cast("long")
-        df = df.select(*(F.col(f"`{c}`") for c in names), column(node.ts).cast("long").alias("_ts"), off.alias("_off"), F.lit(node.name).alias("_src"), order.alias("_ord"))
+        off = LONG_MAX if offset == INFINITE else offset.ms
+        source = node.name.replace("'", "\\'")
+        df = df.select(*map(quoted, names), column(node.ts).cast("long").alias("_ts"), F.expr(f"{off}L as _off"), F.expr(f"'{source}' as _src"), order.alias("_ord"))
         if self.bound.upper is not None:
             df = df.where(F.col("_ts") < self.bound.upper)
-        return Rows(df, False)
+        return Rows(df, tuple(names), False)
 
     # --- lookups --------------------------------------------------------------------------
 
     def _may_be_hot(self, below: G.Event, bases: list) -> bool:
-        """Whether the sources of a lookup have enough rows for a hot key (from file footers)."""
+        """Whether the sources of a lookup may have enough rows for a hot key, by Spark's estimate of
+        their size. This runs nothing."""
         if not self.hot_rows:
             return False
         names = {n for e in (below, *(b.event for b, _, _ in bases)) for n in G.sources_of(e)}
-        for n in names - set(self._rows):
-            self._rows[n] = self.inputs[n].count()
-        return sum(self._rows[n] for n in names) > self.hot_rows
-
+        for n in names - set(self._sizes):
+            self._sizes[n] = int(str(self.inputs[n]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return sum(self._sizes[n] for n in names) > self.hot_rows * ROW_BYTES
 
     def _chain(self, node: G.Event) -> tuple[G.Event, list[tuple[Any, Duration, bool]]]:
         """Lookups on one key that follow each other, as one: (event below, [(feature, offset, after)])."""
@@ -193,140 +217,422 @@ class Engine:
     def labeled(self, node: G.LabeledEvent) -> Rows:
         below, asked = self._chain(node.event)
         rows = self._attach(below, node.event.key_names, [*asked, (node.label, ZERO, True)], ZERO)
-        df = rows.df
+        df, payload = rows.df, rows.payload
         for kind, step in node.steps:
-            df = df.where(column(step)) if kind == "filter" else df.select(*(column(e).alias(n) for n, e in step), *rows.hidden)
-        return Rows(df, rows.sub)
+            if kind == "filter":
+                df = df.where(column(step))
+            else:
+                df, payload = df.select(*(column(e).alias(n) for n, e in step), *rows.hidden), tuple(n for n, _ in step)
+        return Rows(df, payload, rows.sub, rows.extra)
 
     def _attach(self, below: G.Event, keys: tuple[str, ...], asked: list, offset: Duration) -> Rows:
         bases = list(dict.fromkeys(b for tree, d, after in asked for b in _bases(tree, d, after)))
-        probe = self.event(below, offset)
-        folds = any(isinstance(m, M.Fold) for b, _, _ in bases if isinstance(b, G.Summed) for _, m in b.aggs)
-        sets = any(s == "set" for b, _, _ in bases if isinstance(b, G.Summed) for _, m in b.aggs for s in m.ops)
-        split = bool(keys) and not folds and not sets and self._may_be_hot(below, bases)
-        alone = not split and not folds and below.amplification.at_most_one and all(b.event == below and d == ZERO for b, d, _ in bases)
-        packed = F.struct(*(F.col(f"`{c}`") for c in probe.payload)).alias("_p")
-        own_keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
-        by_key = [f"_k{i}" for i in range(len(keys))]
-        fixed = [packed, *own_keys, *probe.hidden, adjusted(F.col("_ts"), offset).alias("_adj"), F.lit(PROBE).alias("_kind"), F.lit(-1).alias("_branch")]
+        plan = _Lookup(self, below, keys, bases, offset)
+        df = plan.rows()
+        df = df.where(f"_kind = {PROBE}") if plan.mixed else df
+        return _results(df, plan, asked, plan.probe, keys)
+
+
+class _Lookup:
+    """The rows and windows of one lookup on the way."""
+
+    def __init__(self, engine: Engine, below: G.Event, keys: tuple[str, ...], bases: list, offset: Duration):
+        self.engine, self.below, self.keys, self.bases, self.offset = engine, below, keys, bases, offset
         branches: dict[tuple, int] = {}
         for b, d, after in bases:
             branches.setdefault((b.event, d, after), len(branches))
-        states = [_State(j, b, branches[b.event, d, a], d, offset + d, split) for j, (b, d, a) in enumerate(bases)]
-        sub = probe.sub
-        if alone:
-            union = probe.df.select(*fixed, *(v for s in states for v in s.inputs(probe.sub)))
-        else:
-            parts, lowered = [], {}
-            for (event, d, after), n in branches.items():
-                if (event, d) not in lowered:
-                    lowered[event, d] = self.event(event, offset + d)
-                rows = lowered[event, d]
-                sub |= rows.sub
-                if len(event.key_names) != len(keys):
-                    raise PlanError(f"a feature keyed by {event.key_names} is read by events keyed by {keys}")
-                df, values = rows.df, []
-                for s in (s for s in states if s.branch == n):
-                    df = s.folded(df, event.key_names, rows)
-                    values += s.inputs(rows.sub)
-                own_k = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(event.key_names)]
-                off = adjusted(F.col("_ts"), offset + d).alias("_adj")
-                parts.append((n, rows.sub, df.select(*own_k, *rows.hidden, off, F.lit(POST if after else PRE).alias("_kind"), F.lit(n).alias("_branch"), *values)))
-            union = probe.df.select(*fixed)
-            if sub and not probe.sub:
-                union = union.withColumn("_sub", _no_sub())
-            parts = [(n, part if has or not sub else part.withColumn("_sub", _no_sub())) for n, has, part in parts]
-            if split:
-                union, by_key = self._spread(union, parts, states, by_key, sub)
+        self.states = [_State(j, b, branches[b.event, d, a], d, offset + d) for j, (b, d, a) in enumerate(bases)]
+        folds = {s.branch for s in self.states if s.folds}
+        self.split = not folds and engine._may_be_hot(below, bases)
+        self.by_key = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+        # how the updates of each branch come: on the events' own rows, as copies of them, or as rows of their own
+        self.own: dict[int, list] = {}
+        self.copies: dict[int, tuple[list, Duration, bool]] = {}
+        self.others: dict[int, tuple[G.Keyed, Duration, bool]] = {}
+        self.carried: dict[int, G.Keyed] = {}  # branches of events that the events of the lookup are made of
+        self.after = {n: after for (_, _, after), n in branches.items()}
+        for (event, d, after), n in branches.items():
+            if len(event.key_names) != len(keys):
+                raise PlanError(f"a feature keyed by {event.key_names} is read by events keyed by {keys}")
+            conditions = None if n in folds else _riding(event, below)
+            if conditions is None and n not in folds and _derived(below, keys, event):
+                conditions = []
+                self.carried[n] = event
+            if conditions is None:
+                self.others[n] = (event, d, after)
+            elif d == ZERO and below.amplification.at_most_one:
+                self.own[n] = conditions
             else:
-                for _, part in parts:
-                    union = union.unionByName(part, allowMissingColumns=True)
-        order = ["_adj", F.desc("_off"), "_src", "_ord", "_kind", *(["_sub"] if sub else [])]
-        point = Window.partitionBy(*by_key).orderBy(*order)
-        masks = [F.lit(True) if alone else F.col("_branch") == s.branch for s in states]
-        df = union
-        if by_key and any(s.prepares for s in states):
+                self.copies[n] = (conditions, d, after)
+        self.mixed = bool(self.copies or self.others or self.split)
+        engine._count += 1
+        self.prefix = f"_y{engine._count}"
+        self.sources: dict[str, str] = {}
+        own = []
+        for n, event in self.carried.items():
+            values: list[str] = []
+            for s in (s for s in self.states if s.branch == n):
+                for x in s.inputs(False):
+                    text, name = x.rsplit(" as ", 1)
+                    values.append(f"{text} as {self.prefix}{name}")
+            own.append((event, values, [c for s in self.states if s.branch == n for c in s.built()]))
+        engine._carried += own
+        probe = engine.event(below, offset)
+        for x in own:
+            engine._carried.remove(x)
+        brought = {name for _, values, _ in own for name in _names(values)}
+        self.probe = Rows(probe.df, probe.payload, probe.sub, tuple(c for c in probe.extra if c not in brought))
+        self.sub = probe.sub
+
+    def mask(self, s: _State) -> str:
+        """Which rows are updates of a state."""
+        if s.branch in self.own:
+            conditions = [f"_kind = {PROBE}"] if self.mixed else []
+            conditions += [f"_c{s.branch}"] if self.own[s.branch] else []
+            return " and ".join(conditions) or "true"
+        return f"_branch = {s.branch}"
+
+    def condition(self, s: _State) -> str:
+        """Which of the events are updates of a state, before there are other rows."""
+        return f"_c{s.branch}" if self.conditions(s.branch) else "true"
+
+    def conditions(self, n: int) -> list:
+        return self.own[n] if n in self.own else self.copies[n][0]
+
+    # --- rows -----------------------------------------------------------------------------
+
+    def rows(self) -> DataFrame:
+        self.order = ["_adj", "_off desc", "_src", "_ord", "_kind"]
+        df, cols = self._events()
+        prepared = any(s.within is not None or s.decays for s in self.states)
+        if not self.others:
+            # what an update amounts to does not depend on other rows, so it is told before copies are made
+            self.order += ["_sub"] if self.sub else []
+            df = df.repartition(*self.by_key) if prepared and not self.split else df
+            df, cols = self._trailing(df, cols, self.condition)
+            if not self.split:
+                order = self.order
+                df, cols = self._decayed(df, cols, self.condition)
+                if self.copies and order != self.order:  # copies stand in other segments
+                    cols, self.order = [c for c in cols if c in order or c not in self.order], order
+        df, cols = self._copied(df, cols)
+        if self.others:
+            df, cols = self._union(df, cols)
+            self.order += ["_sub"] if self.sub else []
             # one shuffle on the key serves all windows, also those over a part of a key
-            df = df.repartition(*by_key)
-        # windows in another order than that of the points come first, so that those in it share a sort
-        for s, mask in zip(states, masks, strict=True):
-            df = s.prepare(df, mask, by_key, order)
-        df = decay_links(df, [d for s, mask in zip(states, masks, strict=True) for d in s.decays(mask).values()], by_key, order)
-        windows, values = {}, {}
-        for s, mask, (_, _, after) in zip(states, masks, bases, strict=True):
-            frame = point.rowsBetween(Window.unboundedPreceding, -1 if alone and not after else 0)
-            seen, got = s.read(mask, frame)
-            windows |= seen
-            values |= got
-        df = df.withColumns(windows).withColumns(values) if windows else df
-        if not alone:
-            df = df.where(F.col("_kind") == PROBE)
-        results = []
-        for i, (tree, d, after) in enumerate(asked):
-            df, names = _read(df, tree, d, after, bases, keys, f"_r{i}")
-            results.append((f"_r{i}", names))
-        all_names = [*probe.payload, *(n for _, names in results for n in names)]
-        if len(set(all_names)) < len(all_names):
-            raise PlanError(f"columns of one name (rename some with map): {sorted({n for n in all_names if all_names.count(n) > 1})}")
-        hidden = [*HIDDEN, *(["_sub"] if probe.sub else [])]
-        out = [F.col(f"_p.`{c}`").alias(c) for c in probe.payload]
-        out += [F.col(f"{r}.`{n}`").alias(n) for r, names in results for n in names]
-        return Rows(df.select(*out, *hidden), probe.sub)
+            df = df.repartition(*self.by_key) if prepared and not self.split else df
+            df, cols = self._trailing(df, cols, self.mask)
+            if not self.split:
+                df, cols = self._decayed(df, cols, self.mask)
+        if self.split:
+            df, cols = self._spread(df, cols)
+            df, cols = self._decayed(df, cols, self.mask)
+        so_far = f"partition by {', '.join(self.by_key)} order by {', '.join(self.order)} {ALL_BEFORE}"
+        if centres := list(dict.fromkeys(c for s in self.states for c in s.centres(self.mask(s), so_far))):
+            df = df.selectExpr(*cols, *centres)
+            cols = [*cols, *_names(centres)]
+        windows = [w for s in self.states for w in s.windows(self.mask(s), self.frame(s), self.split)]
+        if windows:
+            df = df.selectExpr(*cols, *windows)
+            cols = [*cols, *_names(windows)]
+        if self.split and (merges := [m for s in self.states for m in s.merges()]):
+            df = df.selectExpr(*cols, *merges)
+        return df
+
+    def frame(self, s: _State) -> str:
+        to = "1 preceding" if s.branch in self.own and not self.after[s.branch] else "current row"
+        return f"partition by {', '.join(self.by_key)} order by {', '.join(self.order)} rows between unbounded preceding and {to}"
+
+    def _events(self) -> tuple[DataFrame, list[str]]:
+        """The events, with the components of the updates that they are."""
+        p = self.probe
+        riding = [*self.own, *self.copies]
+        packed = "named_struct(" + ", ".join(f"'{c}', {quoted(c)}" for c in p.payload) + ")" if p.payload else "named_struct('_', 0)"
+        keys = [f"{quoted(k)} as _k{i}" for i, k in enumerate(self.keys)] or ["0 as _k0"]
+        conditions = []
+        for n in riding:
+            if found := self.conditions(n):
+                both = column(found[0])
+                for c in found[1:]:
+                    both = both & column(c)
+                conditions.append(F.coalesce(both, F.lit(False)).alias(f"_c{n}"))
+        values, built = self._values(riding, p.sub)
+        fixed = [f"{packed} as _p", *keys, *p.hidden, f"{adjusted(self.offset)} as _adj", f"{PROBE} as _kind", "-1 as _branch"]
+        df = (p.df.select("*", *built) if built else p.df).select(*map(F.expr, fixed), *conditions, *map(F.expr, values))
+        return df, ["_p", *self.by_key, *p.hidden, "_adj", "_kind", "_branch", *(f"_c{n}" for n in riding if self.conditions(n)), *_names(values)]
+
+    def _values(self, branches: list[int], sub: bool) -> tuple[list[str], list[Column]]:
+        """The components of the updates of branches, one column for each expression, and what they are built from."""
+        seen: dict[str, str] = {}
+        own = [s for n in branches for s in self.states if s.branch == n]
+        for s in own:
+            for x in s.inputs(sub):
+                text, name = x.rsplit(" as ", 1)
+                if self.split:  # each state keeps totals under its own names
+                    seen[f"{self.prefix}{name}" if s.branch in self.carried else f"{text} /* {name} */"] = name
+                elif s.branch in self.carried:
+                    of = f"{self.carried[s.branch].key_names} {list(self.carried.values()).index(self.carried[s.branch])} {text}"
+                    s.known[name] = seen.setdefault(of, name)
+                    self.sources.setdefault(of, f"{self.prefix}{name}")
+                else:
+                    s.known[name] = seen.setdefault(text, name)
+        return [f"{self.sources.get(text, text)} as {name}" for text, name in seen.items()], [c for s in own if s.branch not in self.carried for c in s.built()]
+
+    def _copied(self, df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+        """The events together with copies of them at the times from which labels see them."""
+        if not self.copies:
+            return df, cols
+        kinds = [f"named_struct('k', {PROBE}, 'b', -1, 'o', {self._off(self.offset)}, 'a', 0L)"]
+        for n, (_, d, after) in self.copies.items():
+            o = self.offset + d
+            kinds.append(f"named_struct('k', {POST if after else PRE}, 'b', {n}, 'o', {self._off(o)}, 'a', {'null' if o == INFINITE else f'{o.ms}L'})")
+        df = df.selectExpr(*cols, f"explode(array({', '.join(kinds)})) as _e")
+        wanted = " or ".join(["_e.b = -1", *(f"(_e.b = {n} and _c{n})" if self.copies[n][0] else f"_e.b = {n}" for n in self.copies)])
+        adj = f"case when _e.b = -1 then _adj when _e.a is null then {adjusted(INFINITE)} else _ts - _e.a end as _adj"
+        new = {"_p": "if(_e.b = -1, _p, null) as _p", "_off": "_e.o as _off", "_adj": adj, "_kind": "_e.k as _kind", "_branch": "_e.b as _branch"}
+        return df.where(wanted).selectExpr(*(new.get(c, c) for c in cols)), cols
+
+    def _union(self, df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+        """The events together with the updates that are other events."""
+        lowered: dict[tuple, Rows] = {}
+        parts = []
+        for n, (event, d, after) in self.others.items():
+            if (event, d) not in lowered:
+                lowered[event, d] = self.engine.event(event, self.offset + d)
+            rows = lowered[event, d]
+            self.sub |= rows.sub
+            part = rows.df
+            for s in (s for s in self.states if s.branch == n):
+                part = s.folded(part, event.key_names, rows)
+            values, built = self._values([n], rows.sub)
+            keys = [f"{quoted(k)} as _k{i}" for i, k in enumerate(event.key_names)] or ["0 as _k0"]
+            fixed = [*keys, *rows.hidden, f"{adjusted(self.offset + d)} as _adj", f"{POST if after else PRE} as _kind", f"{n} as _branch"]
+            part = (part.select("*", *built) if built else part).selectExpr(*fixed, *values)
+            parts.append((part, rows.sub))
+            cols = [*cols, *_names(values)]
+        if self.sub:
+            if not self.probe.sub:
+                df = df.selectExpr("*", f"{_NO_SUB} as _sub")
+                cols = [*cols, "_sub"]
+            parts = [(part if has else part.selectExpr("*", f"{_NO_SUB} as _sub"), True) for part, has in parts]
+        for part, _ in parts:
+            df = df.unionByName(part, allowMissingColumns=True)
+        return df, cols
+
+    @staticmethod
+    def _off(d: Duration) -> str:
+        return f"{LONG_MAX if d == INFINITE else d.ms}L"
+
+    # --- trailing windows -----------------------------------------------------------------
+
+    def _trailing(self, df: DataFrame, cols: list[str], mask_of: Callable) -> tuple[DataFrame, list[str]]:
+        """The components over the trailing window of each update, in a struct per aggregate.
+
+        Time is cut into blocks as wide as the window. A window is the end of the block before
+        its own, from its first update on, and the start of its own block up to the update. The
+        starts are running aggregates in point order. For the ends each update also stands in
+        the next block, at the time at which it leaves a window; running aggregates against
+        the order of time over these give, at each update, all of them that have not left.
+        So a row costs the same however many rows its window has; nothing is subtracted; and a
+        key is cut at the blocks.
+        """
+        widths: dict[int, list[_State]] = {}
+        for s in self.states:
+            if s.within is not None:
+                widths.setdefault(s.within.ms, []).append(s)
+        for w, states in widths.items():
+            used = {s.column(i, k) for s in self.states if s not in states for i, (_, m) in enumerate(s.aggs) for k in range(len(m.ops))}
+            dead = {s.column(i, k) for s in states for i, (_, m) in enumerate(s.aggs) for k in range(len(m.ops))} - used
+            masks = {s.number: mask_of(s) for s in states}
+            point = "named_struct('t', _ts, 's', _src, 'o', _ord" + (", 'u', _sub)" if self.sub else ")")
+            if w:
+                some = " or ".join(sorted(set(masks.values())))
+                df = df.selectExpr(*cols, f"explode(if({some}, array(0, 1), array(0))) as _m")
+                blank = lambda c: f"if(_m = 0, {c}, null) as {c}" if c == "_p" else c
+                df = df.selectExpr(*map(blank, cols), "_m", f"(_ts - pmod(_ts, {w}L)) div {w}L + _m as _blk", f"_ts + _m * {w}L as _at")
+                cols = [*cols, "_m"]
+                block = ", ".join((*self.by_key, "_blk"))
+            else:
+                df = df.selectExpr(*cols, "0 as _m", "_ts as _at")
+                cols = [*cols, "_m"]
+                block = ", ".join((*self.by_key, "_at"))
+            rank = ["_at", "_m", "_src", "_ord", *(["_sub"] if self.sub else [])]
+            late = f"partition by {block} order by {', '.join(rank)} {ALL_BEFORE}"
+            early = f"partition by {block} order by {', '.join(f'{c} desc' for c in rank)} {ALL_BEFORE}"
+            turned = {"first": "last", "last": "first"}
+            steps: list[list[str]] = [[], [], [], []]  # centres and aggregates of the starts, then of the ends
+            wholes = []
+            for s in states:
+                for i, (_, m) in enumerate(s.aggs):
+                    parts = []
+                    for k, op in enumerate(m.ops):
+                        v = s.column(i, k)
+                        # the last update of a window is the row's own one, so that only other operations look back
+                        sides = [(0, "q", late, op)] + ([(1, "e", early, turned.get(op, op))] if w and op != "last" else [])
+                        for side, letter, frame, own in sides:
+                            x, c = f"if(_m = {side} and {masks[s.number]}, {v}, null)", f"{s.whole(i)}{letter}{k}"
+                            centre = [f"{c}k{j}" for j in range(len(M.centred(op, x)))]
+                            steps[2 * side] += [f"first({y}, true) over ({frame}) as {n}" for y, n in zip(M.centred(op, x), centre, strict=True)]
+                            steps[2 * side + 1].append(f"{M.over(own, x, frame, centre)} as {c}")
+                        q, e = f"{s.whole(i)}q{k}", f"{s.whole(i)}e{k}"
+                        parts.append(f"'f{k}', {M.merged(op, e, q) if len(sides) > 1 else q}")
+                    wholes.append(f"if({masks[s.number]}, named_struct({', '.join(parts)}, 'p', {point}), null) as {s.whole(i)}")
+            kept = [c for c in cols if c not in dead and c != "_m"]
+            for step in steps:
+                if step:
+                    df = df.selectExpr("*", *step)
+            df = df.where("_m = 0").selectExpr(*kept, *wholes)
+            cols = [*kept, *_names(wholes)]
+        return df, cols
+
+    # --- decayed sums ---------------------------------------------------------------------
+
+    def _decayed(self, df: DataFrame, cols: list[str], mask_of: Callable) -> tuple[DataFrame, list[str]]:
+        """The state of every decayed sum at each of its updates, in the struct `<whole>d`.
+
+        Time is cut into segments, within which exp() stays finite; a state is what its segment
+        has so far and what the one before came to. Segments of longer decays are made of those
+        of shorter ones, so that one sort is in the order of all of them and of the points.
+        """
+        found = [(s, i, m) for s in self.states for i, m in s.decays]
+        if not found:
+            return df, cols
+        lengths = sorted({m.length.ms for _, _, m in found})
+        width: dict[int, int] = {}
+        last = None
+        for n in lengths:
+            last = n * M.SEGMENT if last is None else last * max(1, n * M.SEGMENT // last)
+            width[n] = last
+        # the time of rows that all come before any event is that of the updates themselves
+        ends = self.offset == INFINITE or any(s.total == INFINITE for s, _, _ in found)
+        at = f"if(_adj = {adjusted(INFINITE)}, _ts, _adj)" if ends else "_adj"
+        wide = sorted(set(width.values()), reverse=True)
+        seg = {w: f"_g{j}" for j, w in enumerate(wide)}
+        df = df.selectExpr(*cols, *(f"({at} - pmod({at}, {w}L)) div {w}L as {seg[w]}" for w in wide))
+        plain, cols = cols, [*cols, *seg.values()]
+        key = ", ".join(self.by_key)
+        order = [*seg.values(), *self.order]
+        self.order = order
+        if any(m.centred for _, _, m in found):
+            # windows without an order of their own are met by this sort too
+            df = df.sortWithinPartitions(*self.by_key, *(F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o) for o in order))
+
+        def within(m: M.Decay) -> tuple[str, str]:
+            upto = wide.index(width[m.length.ms]) + 1
+            return ", ".join((key, *order[:upto])), ", ".join(order[upto:])
+
+        centres, sums, befores, links, states = [], [], [], [], []
+        for s, i, m in found:
+            x, mask, w = s.whole(i), mask_of(s), width[m.length.ms]
+            g, length = seg[w], f"{float(m.length.ms)!r}D"
+            if self.split:
+                mask = f"({mask} or _kind = {CARRY})"
+            part, rest = within(m)
+            raw = [f"if({mask}, {s.column(i, k)}, null)" for k in range(len(m.ops))]
+            c = [f"{x}m{k}" for k in range(len(m.centred))]
+            centres += [f"avg({raw[j]}) over (partition by {part}) as {n}" for j, n in zip(m.centred, c, strict=True)]
+            since = f"(({at} - {g} * {w}L) / {length})"
+            a = [f"{x}a{k}" for k in range(len(m.ops) - len(m.centred))]
+            sums += [f"sum(({t}) * exp({since})) over (partition by {part} order by {rest} {ALL_BEFORE}) as {n}" for t, n in zip(m.terms(raw, c), a, strict=True)]
+            held = ", ".join([f"'g', {g}", *(f"'{n.removeprefix(x)}', {n}" for n in (*a, *c))])
+            befores.append(f"lag(named_struct({held})) over (partition by {key} order by {', '.join(order)}) as {x}l")
+            near = f"{x}l.g = {g} - 1 and {x}l.a0 is not null"
+            links.append(f"last(if(not {g} <=> {x}l.g, if({near}, {x}l, null), null), true) over (partition by {part} order by {rest} {ALL_BEFORE}) as {x}b")
+            by = [f"coalesce({x}b.m{k} - {n}, 0D)" for k, n in enumerate(c)]
+            past = m.moved([f"coalesce({x}b.a{k}, 0D)" for k in range(len(a))], by)
+            both = [f"({n} + {p} * {math.exp(-w / m.length.ms)!r}D)" for n, p in zip(a, past, strict=True)]
+            numbers = m.of_sums(both, c)
+            fields = [f"'{n}', {f'({v}) * exp(-{since})' if fades else v}" for n, v, fades in zip(m.state, numbers, m.fading(), strict=True)]
+            time = f"if(_kind = {CARRY}, _adj + {s.total.ms or 0}L, _ts)" if self.split else "_ts"
+            states.append(f"if({mask} and {s.column(i, 0)} is not null, named_struct({', '.join(fields)}, 't', {time}), null) as {x}d")
+        for step in (centres, sums, befores, links):
+            if step:
+                df = df.selectExpr(*cols, *step)
+                cols = [*cols, *_names(step)]
+        used = {s.column(i, k) for s in self.states for i, (_, m) in enumerate(s.aggs) for k in range(len(m.ops)) if not isinstance(m, M.Decay)}
+        dead = {s.column(i, k) for s, i, m in found for k in range(len(m.ops))} - used
+        kept = [*(c for c in plain if c not in dead), *seg.values()]
+        df = df.selectExpr(*kept, *states)
+        return df, [*kept, *_names(states)]
 
     # --- hot keys -------------------------------------------------------------------------
 
-    def _spread(self, probes: DataFrame, parts: list, states: list[_State], by_key: list[str], sub: bool) -> tuple[DataFrame, list[str]]:
-        """The union of probes and updates with keys of more than hot_rows rows cut into spans of time.
+    def _spread(self, df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+        """The rows with keys of more than hot_rows rows cut into spans of time, column `_z`.
 
-        Each span begins with one more update per branch: the state after all spans before it,
-        from totals per span, which are made with partial aggregation. Trailing windows are
-        finished before, on spans at least as wide as they are. The table of hot keys has at
-        most one row in hot_rows of the data, and Spark decides by its size how to join it.
+        A span begins with one more row: the state after all spans before it, from totals per
+        span that are made with partial aggregation. There are at most rows / hot_rows hot keys,
+        and Spark decides by the size of their table how to join it.
         """
-        adj = F.when(F.col("_adj") > LONG_MIN, F.col("_adj")).alias("_adj")
-        narrow = probes.select(*by_key, adj)
-        for _, part in parts:
-            narrow = narrow.unionByName(part.select(*by_key, adj))
-        hot = narrow.groupBy(*by_key).agg(F.count("*").alias("_n"), F.min("_adj").alias("_begin"), F.max("_adj").alias("_until"))
-        hot = hot.where((F.col("_n") > self.hot_rows) & F.col("_begin").isNotNull())
-        width = F.greatest(F.ceil((F.col("_until") - F.col("_begin") + 1) * (self.hot_rows / F.col("_n"))), F.lit(1)).cast("long")
-        hot = stage(hot.select(*(F.col(k).alias(f"{k}h") for k in by_key), "_begin", width.alias("_width")), "hot")
-
-        def spanned(df: DataFrame) -> DataFrame:
-            same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}h")) for k in by_key))
-            out = df.join(hot, on=same, how="left")
-            z = F.floor((F.greatest("_adj", "_begin") - F.col("_begin")) / F.col("_width")).cast("long")
-            return out.withColumn("_z", F.when(F.col("_begin").isNull(), F.lit(-1).cast("long")).otherwise(z)).drop(*(f"{k}h" for k in by_key))
-
-        union = spanned(probes)
-        span = [*by_key, "_z", "_begin", "_width"]
-        spans = union.where(F.col("_z") >= 0).select(*span).distinct()
-        order = ["_adj", F.desc("_off"), "_src", "_ord", "_kind", *(["_sub"] if sub else [])]
-        point = F.struct("_adj", (-F.col("_off")).alias("_near"), "_src", "_ord", *(["_sub"] if sub else []))
-        before = Window.partitionBy(*by_key).orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
-        begin = F.col("_begin") + F.col("_z") * F.col("_width")
-        for n, part in parts:
-            own = [s for s in states if s.branch == n]
-            ahead = 0 if own[0].offset == INFINITE else own[0].offset.ms
-            part = spanned(part)
-            for s in own:
-                part = s.trailing_on_spans(part, by_key, order, point)
-            union = union.unionByName(part, allowMissingColumns=True)
-            totals = part.where(F.col("_z") >= 0).withColumn("_end", begin + F.col("_width") + F.lit(ahead).cast("long"))
-            totals = totals.groupBy(*span).agg(*(c for s in own for c in s.totals(point)))
-            names = [c for c in totals.columns if c not in span]
-            held = spans.unionByName(totals, allowMissingColumns=True).groupBy(*span).agg(*(F.first(c, ignorenulls=True).alias(c) for c in names))
-            held = held.withColumn("_ts", begin + F.lit(ahead).cast("long")).withColumn("_end", F.col("_ts") + F.col("_width"))
-            for s in own:
-                held = s.carried(held, before, by_key)
-            fixed = [F.lit(LONG_MAX).cast("long").alias("_off"), F.lit("").alias("_src"), F.lit(0).cast("long").alias("_ord"), F.lit(CARRY).alias("_kind"), F.lit(n).alias("_branch")]
-            held = held.select(*span, "_ts", begin.alias("_adj"), *fixed, *([_no_sub().alias("_sub")] if sub else []), *names)
-            union = union.unionByName(held, allowMissingColumns=True)
-        return union.drop("_begin", "_width"), [*by_key, "_z"]
-
-
-def _no_sub() -> Column:
-    return F.array().cast("array<int>")
+        if any(G.lookups_of(e) for e in (self.below, *(b.event for b, _, _ in self.bases))):
+            df = stage(df, "lookup")
+        same = " and ".join(f"{k} <=> {k}h" for k in self.by_key)
+        named = [f"{k} as {k}h" for k in self.by_key]
+        key = ", ".join(self.by_key)
+        counts = df.groupBy(*self.by_key).count().where(f"count > {self.engine.hot_rows}").selectExpr(*named)
+        cuts = ", ".join(f"{n}D / {SPANS}" for n in range(1, SPANS))
+        hot = df.selectExpr(*self.by_key, "_adj").join(counts, F.expr(same), "left_semi").groupBy(*self.by_key)
+        hot = hot.agg(F.expr(f"percentile_approx(if(_adj > {adjusted(INFINITE)}, _adj, null), array({cuts}), {SPANS * 16}) as _cuts")).selectExpr(*named, "_cuts")
+        steps = ", ".join(str(SPANS >> n) for n in range(1, SPANS.bit_length()))
+        z = f"if(_cuts is null, -1, aggregate(array({steps}), 0, (z, n) -> if(_adj >= _cuts[z + n - 1], z + n, z))) as _z"
+        spanned = df.join(hot, F.expr(same), "left").selectExpr(*cols, "_cuts", z)
+        begin, end = "if(_z > 0, _cuts[_z - 1], null) as _begin", f"if(_z >= 0 and _z < {SPANS - 1}, _cuts[_z], null) as _end"
+        spanned = spanned.selectExpr(*cols, "_z", begin, end)
+        cols = [*cols, "_z"]
+        point = "named_struct('a', _adj, 'n', -_off, 's', _src, 'o', _ord" + (", 'u', _sub)" if self.sub else ")")
+        inside = spanned.where("_z >= 0")
+        if centres := [c for s in self.states for c in s.span_centres(self.mask(s), f"partition by {key}, _z")]:
+            inside = inside.selectExpr("*", *centres)
+        totals = [t for s in self.states for t in s.totals(self.mask(s), point)]
+        held = inside.groupBy(*self.by_key, "_z", "_begin", "_end").agg(*map(F.expr, totals))
+        before = f"partition by {key} order by _z rows between unbounded preceding and 1 preceding"
+        held = held.selectExpr(*self.by_key, "_z", "_begin", *(c for s in self.states for c in s.carried(before)))
+        carried = [c for s in self.states for c in s.carries()]
+        fixed = ["_begin as _adj", "_begin as _ts", f"{LONG_MAX}L as _off", "'' as _src", "0L as _ord", f"{CARRY} as _kind", "-1 as _branch"]
+        held = held.where("_z > 0").selectExpr(*self.by_key, "_z", *fixed, *([f"{_NO_SUB} as _sub"] if self.sub else []), *carried)
+        cols = list(dict.fromkeys((*cols, *_names(carried))))
+        out = spanned.drop("_begin", "_end").unionByName(held, allowMissingColumns=True).selectExpr(*cols)
+        self.by_key = [*self.by_key, "_z"]
+        return out.repartition(*self.by_key), cols
+
+
+def _names(exprs: list[str]) -> list[str]:
+    return [e.rsplit(" as ", 1)[1] for e in exprs]
+
+
+def _riding(event: G.Keyed, below: G.Event) -> list | None:
+    """The conditions under which rows of `below` are events of `event`; None if they are not the same."""
+    conditions: list = []
+    while event != below:
+        same = isinstance(event, G.Keyed) and not isinstance(event, G.Lookup) and event.keys == event.keys_as_they_are()
+        if not (same and isinstance(event.event, G.Filtered) and isinstance(event.event.event, G.Keyed)):
+            return None
+        conditions.insert(0, event.event.condition)
+        if event.event.event.key_names != event.key_names:
+            return None
+        event = event.event.event
+    return conditions
+
+
+def _derived(below: G.Event, keys: tuple[str, ...], event: G.Keyed) -> bool:
+    """Whether each row of `below` is made of one of `event`, and has its key."""
+    at, names = below, list(keys)
+    while at != event:
+        if isinstance(at, G.Lookup):
+            if set(names) & set(at.feature.names()):
+                return False
+        elif isinstance(at, (G.Mapped, G.Keyed)):
+            exprs = dict(at.exprs if isinstance(at, G.Mapped) else at.keys)
+            if isinstance(at, G.Mapped) and not set(names) <= set(exprs):
+                return False
+            given = [exprs.get(n, n) for n in names]
+            if not all(isinstance(e, str) and re.fullmatch(r"`[^`]+`|[A-Za-z]\w*", e) for e in given):
+                return False
+            names = [e.strip("`") for e in given]
+        elif not isinstance(at, G.Timed) or at.name in names:
+            return False
+        at = at.event
+    return names == list(event.key_names)
 
 
 def _bases(tree, offset: Duration, after: bool) -> Iterator[tuple[Any, Duration, bool]]:
@@ -364,264 +670,244 @@ def fold_states(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return source.mapInPandas(run, schema)
 
 
-@dataclass(frozen=True)
-class _Decay:
-    """A decayed sum on its way: `values` are null on rows that take no part, and `at`, the time of a
-    row, does not fall in the order of the rows.
-
-    Time is cut into segments, within which exp() stays finite. Only the running sums within
-    segments (`<name>a<k>`) are kept in the rows; all else is computed again where it is used,
-    as rows are sorted anew for each length.
-    """
-
-    name: str
-    values: list[Column]
-    at: Column
-    length: float
-
-    @property
-    def segment(self) -> Column:
-        return F.floor(self.at / (self.length * M.SEGMENT)).cast("int")
-
-    @property
-    def since(self) -> Column:
-        """Decay lengths since the segment began."""
-        return (self.at - self.segment * (self.length * M.SEGMENT)) / self.length
-
-    @property
-    def some(self) -> Column:
-        return reduce(Column.__or__, (v.isNotNull() for v in self.values))
-
-    def sums(self, by_key: list[str], order: list) -> dict[str, Column]:
-        """First step: running sums within segments."""
-        within = Window.partitionBy(*by_key, self.segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return {f"{self.name}a{k}": F.sum(v * F.exp(self.since)).over(within) for k, v in enumerate(self.values)}
-
-    def before(self, rows) -> Column:
-        """Second step: segment and sums of the row before."""
-        return F.lag(F.struct(self.segment.alias("g"), *(F.col(f"{self.name}a{k}").alias(f"a{k}") for k in range(len(self.values))))).over(rows)
-
-    def link(self, so_far) -> Column:
-        """Third step: what the segment before came to, carried through each segment."""
-        last = F.col(f"{self.name}l")
-        near = last["g"] == self.segment - 1
-        past = F.struct(*(F.when(near, last[f"a{k}"]).alias(f"b{k}") for k in range(len(self.values))))
-        return F.last(F.when(~self.segment.eqNullSafe(last["g"]), past), ignorenulls=True).over(so_far)
-
-    def state(self, frame) -> Column:
-        """Fourth step: the struct as of the last row of the frame that takes part, of the sums
-        (s0, s1, ...) decayed to its time t. What came in the segment before is added, and anything
-        older has faded out of the range of a double."""
-        sums = []
-        for k in range(len(self.values)):
-            here, past = F.coalesce(F.col(f"{self.name}a{k}"), F.lit(0.0)), F.coalesce(F.col(f"{self.name}b")[f"b{k}"], F.lit(0.0))
-            sums.append(((here + past * math.exp(-M.SEGMENT)) * F.exp(-self.since)).alias(f"s{k}"))
-        return F.last(F.when(self.some, F.struct(*sums, self.at.alias("t"))), ignorenulls=True).over(frame)
-
-
-def decay_links(df: DataFrame, decays: list[_Decay], by_key: list[str], order: list) -> DataFrame:
-    """The second and third step of several decayed sums at once; both are in the order of the rows."""
-    if not decays:
-        return df
-    rows = Window.partitionBy(*by_key).orderBy(*order)
-    df = df.withColumns({f"{d.name}l": d.before(rows) for d in decays})
-    return df.withColumns({f"{d.name}b": d.link(rows.rowsBetween(Window.unboundedPreceding, 0)) for d in decays})
-
-
-def faded(name: str, k: int, at: Column, length: Duration) -> Column:
-    """A decayed sum of decay_scan as read at a time; 0 where nothing has been seen."""
-    return F.coalesce(F.col(f"{name}.s{k}") * F.exp(-(at - F.col(f"{name}.t")) / float(length.ms)), F.lit(0.0))
-
-
 class _State:
     """A base state of a lookup: its component columns, and how they are read."""
 
-    def __init__(self, number: int, base, branch: int, offset: Duration, total: Duration, split: bool = False):
-        self.number, self.base, self.branch, self.offset, self.split = number, base, branch, offset, split
+    def __init__(self, number: int, base, branch: int, offset: Duration, total: Duration):
+        self.number, self.base, self.branch, self.offset = number, base, branch, offset
         self.total = total  # offset, together with those of the labels around the lookup
         latest = isinstance(base, G.Latest)
         self.aggs: tuple = (("", M.Last("_")),) if latest else base.aggs
         self.within = None if latest or base.within == INFINITE else base.within
-        if self.within is not None and any("decay" in m.ops or isinstance(m, M.Fold) for _, m in self.aggs):
+        if self.within is not None and any(isinstance(m, (M.Decay, M.Fold)) for _, m in self.aggs):
             raise PlanError("a decayed sum or a fold has no trailing window")
+        self.decays = [(i, m) for i, (_, m) in enumerate(self.aggs) if isinstance(m, M.Decay)]
+        self.folds = any(isinstance(m, M.Fold) for _, m in self.aggs)
+        self.known: dict[str, str] = {}  # columns that stand for equal ones
 
     def column(self, i: int, k: int) -> str:
-        return f"_v{self.branch}_{self.number}_{i}_{k}"
+        name = f"_v{self.branch}_{self.number}_{i}_{k}"
+        return self.known.get(name, name)
 
     def whole(self, i: int) -> str:
         return f"_w{self.branch}_{self.number}_{i}"
 
-    def _stable(self, m: M.Monoid) -> bool:
-        return self.within is None and not self.split and type(m).stable is not M.Monoid.stable
+    def built(self) -> list[Column]:
+        """Inputs that functions build, as columns for `inputs` to name."""
+        if isinstance(self.base, G.Latest):
+            return []
+        return [column(e).alias(f"_i{self.number}_{i}_{j}") for i, (_, m) in enumerate(self.aggs) for j, e in enumerate(m.inputs) if not isinstance(e, str)]
 
-    def inputs(self, sub: bool) -> list[Column]:
+    def inputs(self, sub: bool) -> list[str]:
         """Component columns over the update rows."""
+        name = lambda i, k: f"_v{self.branch}_{self.number}_{i}_{k}"
         if isinstance(self.base, G.Latest):
-            return [F.struct(F.struct(*(F.col(f"`{c}`") for c in self.base.columns)).alias("v"), F.col("_ts").alias("t")).alias(self.column(0, 0))]
-        point = F.struct("_ts", "_src", "_ord", *(["_sub"] if sub else []))
-        out = []
+            fields = ", ".join(f"'{c}', {quoted(c)}" for c in self.base.columns)
+            return [f"named_struct('v', named_struct({fields}), 't', _ts) as {name(0, 0)}"]
+        point = "named_struct('t', _ts, 's', _src, 'o', _ord" + (", 'u', _sub)" if sub else ")")
+        out: list[str] = []
         for i, (_, m) in enumerate(self.aggs):
-            x = [point if e == "_point" else column(e) for e in m.inputs]
             if isinstance(m, M.Fold):
-                x = [F.col(f"_fold{self.number}_{i}")]
-            lifted = x if self._stable(m) else m.lift(x)
-            out += [c.alias(self.column(i, k)) for k, c in enumerate(lifted)]
+                lifted = m.lift([f"_fold{self.number}_{i}"])
+            else:
+                lifted = m.lift([point if e == "_point" else f"({e})" if isinstance(e, str) else f"_i{self.number}_{i}_{j}" for j, e in enumerate(m.inputs)])
+            out += [f"{c} as {name(i, k)}" for k, c in enumerate(lifted)]
         return out
 
     def folded(self, df: DataFrame, keys: tuple[str, ...], rows: Rows) -> DataFrame:
         """df with the states of folds, computed in point order."""
         for i, (_, m) in enumerate(self.aggs):
             if isinstance(m, M.Fold):
-                df = fold_states(df, [f"`{k}`" for k in keys], ["_ts", "_src", "_ord", *(["_sub"] if rows.sub else [])], column(m.value), m, f"_fold{self.number}_{i}")
+                df = fold_states(df, [quoted(k) for k in keys], ["_ts", "_src", "_ord", *(["_sub"] if rows.sub else [])], column(m.value), m, f"_fold{self.number}_{i}")
         return df
 
-    def _trailing(self, df: DataFrame, i: int, m: M.Monoid, mask: Column, by_key: list[str], order: list) -> tuple[DataFrame, Column]:
-        """The struct of components over the trailing window of each update row: earlier
-        milliseconds, and the row's own up to it. A plain range frame would add later peers."""
-        early = Window.partitionBy(*by_key).orderBy("_ts").rangeBetween(-self.within.ms, -1)
-        same = Window.partitionBy(*by_key, "_ts").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        point = F.struct("_ts", "_src", "_ord", *(["_sub"] if "_sub" in df.columns else []))
-
-        def over(op: str, k: int, frame) -> Column:
-            v = F.when(mask, F.col(self.column(i, k)))
-            by = {"first": F.min_by, "last": F.max_by}.get(op)
-            return by(v, F.when(v.isNotNull(), point)).over(frame) if by else M.over(op, v, frame)
-
-        late, old = f"{self.whole(i)}q", f"{self.whole(i)}e"
-        df = df.withColumns({f"{late}{k}": over(op, k, same) for k, op in enumerate(m.ops)})
-        # the last update of a window is the row's own one, so that only other operations look back
-        back = {k: op for k, op in enumerate(m.ops) if self.within.ms and op != "last"}
-        if back:
-            df = df.withColumns({f"{old}{k}": over(op, k, early) for k, op in back.items()})
-        parts = [M.merged(op, F.col(f"{old}{k}"), F.col(f"{late}{k}")) if k in back else F.col(f"{late}{k}") for k, op in enumerate(m.ops)]
-        return df, F.struct(*(c.alias(f"f{k}") for k, c in enumerate(parts)))
-
-    def _parts(self, i: int, m: M.Monoid, mask: Column) -> list[Column]:
-        return [F.when(mask, F.col(self.column(i, k))) for k in range(len(m.ops))]
-
-    @property
-    def prepares(self) -> bool:
-        return (self.within is not None and not self.split) or any("decay" in m.ops for _, m in self.aggs)
+    def centre(self, i: int, k: int) -> list[str]:
+        op = self.aggs[i][1].ops[k]
+        return [f"{self.column(i, k)}k{j}" for j in range(len(M.centred(op, "_")))]
 
-    def decays(self, mask: Column) -> dict[int, _Decay]:
-        # the time at which each row would stand in this branch, which follows the order of the rows
-        at = F.col("_ts") if self.total == INFINITE else F.col("_adj") + self.total.ms
-        return {i: _Decay(f"{self.whole(i)}c", self._parts(i, m, mask), at, float(m.length.ms)) for i, (_, m) in enumerate(self.aggs) if "decay" in m.ops}
+    def centres(self, mask: str, frame: str) -> list[str]:
+        """The first value so far, which second moments are measured from."""
+        out = []
+        for i, (_, m) in enumerate(self.aggs if self.within is None else ()):
+            for k, op in enumerate(m.ops):
+                for x, n in zip(M.centred(op, f"if({mask}, {self.column(i, k)}, null)"), self.centre(i, k), strict=True):
+                    out.append(f"first({x}, true) over ({frame}) as {n}")
+        return out
 
-    def prepare(self, df: DataFrame, mask: Column, by_key: list[str], order: list) -> DataFrame:
-        """df with the windows that are not in point order: trailing ones, and segments of decays."""
+    def windows(self, mask: str, frame: str, split: bool) -> list[str]:
+        """Windows in point order, as columns `<whole>c<k>`."""
+        out = []
+        seen = f"({mask} or _kind = {CARRY})" if split else mask
+        masked = lambda c, by: c if by == "true" else f"if({by}, {c}, null)"
         for i, (_, m) in enumerate(self.aggs):
-            if self.within is not None and not self.split:
-                df, here = self._trailing(df, i, m, mask, by_key, order)
-                df = df.withColumn(self.whole(i), here)
-        for d in self.decays(mask).values():
-            df = df.withColumns(d.sums(by_key, order))
-        return df
+            c = self.whole(i)
+            if self.within is not None:
+                out.append(f"{M.over('last', masked(c, seen), frame)} as {c}c0")
+            elif isinstance(m, M.Decay):
+                out.append(f"{M.over('last', masked(f'{c}d', seen), frame)} as {c}c0")
+            else:
+                for k, op in enumerate(m.ops):
+                    v = self.column(i, k)
+                    if split and op in M.STATEFUL:
+                        out.append(f"{M.over(op, masked(v, mask), frame, self.centre(i, k))} as {c}c{k}i")
+                        out.append(f"{M.over('last', f'{v}s', frame)} as {c}c{k}o")
+                    else:
+                        out.append(f"{M.over(op, masked(v, seen), frame, self.centre(i, k))} as {c}c{k}")
+        return out
 
-    def read(self, mask: Column, frame) -> tuple[dict[str, Column], dict[str, Column]]:
-        """(windows in point order, the columns `_s<number>_<name>` made of them) of this state."""
-        windows, out = {}, {}
+    def merges(self) -> list[str]:
+        """What earlier spans came to, merged into the running states."""
+        return [
+            f"{M.merged(op, f'{self.whole(i)}c{k}o', f'{self.whole(i)}c{k}i')} as {self.whole(i)}c{k}"
+            for i, (_, m) in enumerate(self.aggs) if self.within is None for k, op in enumerate(m.ops) if op in M.STATEFUL
+        ]
+
+    def results(self) -> dict[str, str]:
+        """The columns of the base as expressions over the windows."""
+        out: dict[str, str] = {}
         for i, (name, m) in enumerate(self.aggs):
-            c = f"{self.whole(i)}c"
+            c = self.whole(i)
+            if isinstance(self.base, G.Latest):
+                got = f"{c}c0.v"
+                if self.base.within is not None and self.base.within != INFINITE:
+                    got = f"if(_ts - {c}c0.t <= {self.base.within.ms}L, {got}, null)"
+                return {n: f"({got}).{quoted(n)}" for n in self.base.columns}
             if self.within is not None:
-                windows[c] = F.last(F.when(mask, F.col(self.whole(i))), ignorenulls=True).over(frame)
-                values = m.finish([F.col(f"{c}.f{k}") for k in range(len(m.ops))])
-            elif "decay" in m.ops:
-                windows[c] = self.decays(mask)[i].state(frame)
-                values = m.finish([faded(c, k, F.col("_ts"), m.length) for k in range(len(m.ops))])
-            elif self._stable(m):
-                x = [F.col(self.column(i, k)) for k in range(len(m.inputs))]
-                windows |= {f"{c}{k}": w for k, w in enumerate(m.stable(x, mask, frame))}
-                values = [F.col(f"{c}{k}") for k in range(len(m.fields))]
-                values[0] = F.coalesce(values[0], F.lit(0).cast("long")) if isinstance(m, M.Moments) else values[0]
+                values = m.finish([f"{c}c0.f{k}" for k in range(len(m.ops))])
+            elif isinstance(m, M.Decay):
+                fade = f"exp(({c}c0.t - _ts) / {float(m.length.ms)!r}D)"
+                values = m.finish([f"({c}c0.{n} * {fade})" if fades else f"{c}c0.{n}" for n, fades in zip(m.state, m.fading(), strict=True)])
             else:
-                windows |= {f"{c}{k}": M.over(op, v, frame) for k, (op, v) in enumerate(zip(m.ops, self._parts(i, m, mask), strict=True))}
-                if isinstance(self.base, G.Latest):
-                    return windows, self._latest(F.col(f"{c}0"))
-                values = m.finish([F.col(f"{c}{k}") for k in range(len(m.ops))])
-            out |= {f"_s{self.number}_{name}{suffix}": value for suffix, value in zip(m.fields, values, strict=True)}
-        return windows, out
-
-    def _latest(self, seen: Column) -> dict[str, Column]:
-        got = seen["v"]
-        if self.base.within is not None and self.base.within != INFINITE:
-            got = F.when(F.col("_ts") - seen["t"] <= self.base.within.ms, got)
-        return {f"_s{self.number}_{c}": got[c] for c in self.base.columns}
+                values = m.finish([f"{c}c{k}" for k in range(len(m.ops))])
+            out |= {f"{name}{suffix}": v for suffix, v in zip(m.fields, values, strict=True)}
+        return out
 
     # --- keys cut into spans --------------------------------------------------------------
 
-    def trailing_on_spans(self, part: DataFrame, by_key: list[str], order: list, point: Column) -> DataFrame:
-        """Updates with the finished trailing window in `whole`; a row also helps the span after its own."""
-        if self.within is None:
-            return part
-        wide = F.greatest(F.col("_width"), F.lit(self.within.ms).cast("long"))
-        of = lambda at: F.when(F.col("_z") < 0, F.lit(-1).cast("long")).otherwise(F.floor((at - F.col("_begin")) / wide).cast("long"))
-        at = F.greatest("_adj", "_begin")
-        df = part.withColumn("_own", of(at))
-        df = df.withColumn("_zw", F.explode(F.sequence("_own", of(at + self.within.ms))))
-        for i, (_, m) in enumerate(self.aggs):
-            df, here = self._trailing(df, i, m, F.lit(True), [*by_key, "_zw"], order)
-            df = df.withColumn(self.whole(i), here)
-        return df.where(F.col("_zw") == F.col("_own")).select(*part.columns, *(self.whole(i) for i in range(len(self.aggs)))).drop(
-            *(self.column(i, k) for i, (_, m) in enumerate(self.aggs) for k in range(len(m.ops)))
-        )
+    def span_centres(self, mask: str, span: str) -> list[str]:
+        """Means over a span of the values that second moments are measured from."""
+        out = [f"avg(if({mask}, {self.column(i, j)}, null)) over ({span}) as {self.whole(i)}z{k}" for i, m in self.decays for k, j in enumerate(m.centred)]
+        for i, (_, m) in enumerate(self.aggs if self.within is None else ()):
+            for k, op in enumerate(m.ops):
+                out += [f"avg({x}) over ({span}) as {n}" for x, n in zip(M.centred(op, f"if({mask}, {self.column(i, k)}, null)"), self.centre(i, k), strict=True)]
+        return out
 
-    def totals(self, point: Column) -> list[Column]:
+    def totals(self, mask: str, point: str) -> list[str]:
         """Aggregates of one span; decayed sums are brought to its end."""
         out = []
         for i, (_, m) in enumerate(self.aggs):
             if self.within is not None:
-                out.append(M.total("last", F.col(self.whole(i)), point).alias(self.whole(i)))
+                out.append(f"{M.total('last', f'if({mask}, {self.whole(i)}, null)', point)} as {self.whole(i)}")
                 continue
-            for k, op in enumerate(m.ops):
-                v = F.col(self.column(i, k))
-                if op == "decay":
-                    out.append(F.sum(v * F.exp(-(F.col("_end") - F.col("_ts")) / float(m.length.ms))).alias(self.column(i, k)))
-                else:
-                    out.append(M.total(op, v, point).alias(self.column(i, k)))
+            raw = [f"if({mask}, {self.column(i, k)}, null)" for k in range(len(m.ops))]
+            if isinstance(m, M.Decay):
+                centre = [f"{self.whole(i)}z{k}" for k in range(len(m.centred))]
+                fade = f"exp((_adj - _end) / {float(m.length.ms)!r}D)"
+                sums = [f"sum(({t}) * {fade})" for t in m.terms(raw, centre)]
+                firsts = [f"first({c})" for c in centre]
+                out += [f"{v} as {self.column(i, k)}" for k, v in enumerate(m.of_sums(sums, firsts))]
+                if i == self.decays[0][0]:
+                    out.append(f"first(_end) as {self.whole(i)}t")
+            else:
+                out += [f"{M.total(op, v, point, self.centre(i, k))} as {self.column(i, k)}" for k, (op, v) in enumerate(zip(m.ops, raw, strict=True))]
+        return out
+
+    def carried(self, before: str) -> list[str]:
+        """What all spans before a span come to; of states that merge in pairs, their list."""
+        out = []
+        for i, (_, m) in enumerate(self.aggs):
+            if self.within is not None:
+                out.append(f"{M.over('last', self.whole(i), before)} as {self.whole(i)}")
+            elif isinstance(m, M.Decay):
+                fields = ", ".join(f"'{n}', {self.column(i, k)}" for k, n in enumerate(m.state))
+                some, t = f"{self.column(i, 0)} is not null", f"{self.whole(self.decays[0][0])}t"
+                out.append(f"collect_list(if({some}, named_struct({fields}, 't', {t}), null)) over ({before}) as {self.whole(i)}l")
+            else:
+                for k, op in enumerate(m.ops):
+                    v = self.column(i, k)
+                    out.append(f"collect_list({v}) over ({before}) as {v}l" if op in M.STATEFUL else f"{M.over(op, v, before)} as {v}")
         return out
 
-    def carried(self, held: DataFrame, before, by_key: list[str]) -> DataFrame:
-        """Totals per span replaced by what all spans before it come to."""
+    def carries(self) -> list[str]:
+        """The columns of the row that a span begins with."""
+        out = []
         for i, (_, m) in enumerate(self.aggs):
             if self.within is not None:
-                held = held.withColumn(self.whole(i), M.over("last", F.col(self.whole(i)), before))
-            elif "decay" in m.ops:
-                d = _Decay(f"{self.whole(i)}c", [F.col(self.column(i, k)) for k in range(len(m.ops))], F.col("_end"), float(m.length.ms))
-                held = decay_links(held.withColumns(d.sums(by_key, ["_z"])), [d], by_key, ["_z"])
-                held = held.withColumn(d.name, d.state(before))
-                some = F.col(f"{self.whole(i)}c").isNotNull()
-                held = held.withColumns({self.column(i, k): F.when(some, faded(f"{self.whole(i)}c", k, F.col("_ts"), m.length)) for k in range(len(m.ops))})
+                out.append(f"{self.whole(i)} as {self.whole(i)}")
+            elif isinstance(m, M.Decay):
+                # states are brought to the time of the next one and merged, the last one to the begin of the span
+                fade = lambda v, t, m=m: [f"{v}.{n} * exp(({v}.t - {t}) / {float(m.length.ms)!r}D)" if f else f"{v}.{n}" for n, f in zip(m.state, m.fading(), strict=True)]
+                both = m.merge(fade("s", "x.t"), [f"x.{n}" for n in m.state])
+                step = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in zip(m.state, both, strict=True)) + ", 't', x.t)"
+                end = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in zip(m.state, fade("s", "_begin"), strict=True)) + ")"
+                seen = f"{self.whole(i)}l"
+                all_of = f"if(size({seen}) = 0, null, aggregate(slice({seen}, 2, greatest(size({seen}) - 1, 0)), {seen}[0], (s, x) -> {step}, s -> {end}))"
+                out += [f"({all_of}).{n} as {self.column(i, k)}" for k, n in enumerate(m.state)]
             else:
-                held = held.withColumns({self.column(i, k): M.over(op, F.col(self.column(i, k)), before) for k, op in enumerate(m.ops)})
-        return held
-
-
-def _read(df: DataFrame, tree, offset: Duration, after: bool, bases: list, keys: tuple[str, ...], name: str) -> tuple[DataFrame, tuple[str, ...]]:
-    """df with the struct `name` of the columns of a feature or label as the probes read it."""
-    names = tree.names()
-    match tree:
-        case G.Summed() | G.Latest():
-            j = bases.index((tree, offset, after))
-            return df.withColumn(name, F.struct(*(F.col(f"`_s{j}_{n}`").alias(n) for n in names))), names
-        case G.FeatureLabel(feature=feature):
-            return _read(df, feature, offset, True, bases, keys, name)
-        case G.Forward(label=label, by=by):
-            return _read(df, label, offset + by, True, bases, keys, name)
-        case G.Zipped(left=left, right=right) | G.ZippedLabel(left=left, right=right):
-            df, a = _read(df, left, offset, after, bases, keys, f"{name}l")
-            df, b = _read(df, right, offset, after, bases, keys, f"{name}r")
-            both = [F.col(f"{name}l.`{n}`").alias(n) for n in a] + [F.col(f"{name}r.`{n}`").alias(n) for n in b]
-            return df.withColumn(name, F.struct(*both)), names
-        case G.Constant(exprs=exprs):
-            inner: tuple[str, ...] = ()
-        case G.MappedFeature(feature=below, exprs=exprs) | G.MappedLabel(label=below, exprs=exprs):
-            df, inner = _read(df, below, offset, after, bases, keys, f"{name}i")
-        case _:
-            raise TypeError(type(tree))
-    # the expressions see the feature's columns and the key, and nothing else of the event
-    hidden = [F.col(f"`{c}`") for c in df.columns]
-    scope = [F.col(f"{name}i.`{n}`").alias(n) for n in inner] + [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys) if k not in inner]
-    df = df.select(*hidden, *scope)
-    df = df.withColumn(name, F.struct(*(column(e).alias(n) for n, e in exprs)))
-    return df.drop(*(n for n in inner), *(k for k in keys if k not in inner)), names
+                for k, op in enumerate(m.ops):
+                    v = self.column(i, k)
+                    if op == "set":
+                        out.append(f"array_distinct(flatten({v}l)) as {v}s")
+                    elif op in M.STATEFUL:
+                        out.append(f"if(size({v}l) = 0, null, aggregate(slice({v}l, 2, greatest(size({v}l) - 1, 0)), {v}l[0], (s, x) -> {M.paired(op, 's', 'x')})) as {v}s")
+                    else:
+                        out.append(f"{v} as {v}")
+        return out
+
+
+def _results(df: DataFrame, plan: _Lookup, asked: list, probe: Rows, keys: tuple[str, ...]) -> Rows:
+    """The events with the columns of all features and labels asked for."""
+    places = {}
+    for (b, d, a), s in zip(plan.bases, plan.states, strict=True):
+        places[b, d, a] = s.results()
+    cols = ["_p", *(f"_k{i}" for i in range(len(keys))), *probe.hidden, *(w for s in plan.states for w in _window_names(s))]
+    count = 0
+
+    def read(tree, offset: Duration, after: bool) -> dict[str, str]:
+        """Expressions of the columns of a feature or label as the events read it."""
+        nonlocal df, cols, count
+        match tree:
+            case G.Summed() | G.Latest():
+                return places[tree, offset, after]
+            case G.FeatureLabel(feature=feature):
+                return read(feature, offset, True)
+            case G.Forward(label=label, by=by):
+                return read(label, offset + by, True)
+            case G.Zipped(left=left, right=right) | G.ZippedLabel(left=left, right=right):
+                return read(left, offset, after) | read(right, offset, after)
+            case G.Constant(exprs=exprs):
+                inner: dict[str, str] = {}
+            case G.MappedFeature(feature=below, exprs=exprs) | G.MappedLabel(label=below, exprs=exprs):
+                inner = read(below, offset, after)
+            case _:
+                raise TypeError(type(tree))
+        # columns that only change their names need no scope of their own
+        names = [e.strip("`") if isinstance(e, str) else "" for _, e in exprs]
+        if all(n in inner for n in names):
+            return {n: inner[e] for (n, _), e in zip(exprs, names, strict=True)}
+        # the expressions see the feature's columns and the key, and nothing else of the event
+        scope = [f"{v} as {quoted(n)}" for n, v in inner.items()] + [f"_k{i} as {quoted(k)}" for i, k in enumerate(keys) if k not in inner]
+        out = {n: f"_x{count}_{j}" for j, (n, _) in enumerate(exprs)}
+        count += 1
+        df = df.selectExpr(*cols, *scope).select(*cols, *(column(e).alias(out[n]) for n, e in exprs))
+        cols = [*cols, *out.values()]
+        return out
+
+    found: list[tuple[str, str]] = []
+    for tree, d, after in asked:
+        names = tree.names()
+        got = read(tree, d, after)
+        found += [(n, got[n]) for n in names]
+    all_names = [*probe.payload, *(n for n, _ in found)]
+    if len(set(all_names)) < len(all_names):
+        raise PlanError(f"columns of one name (rename some with map): {sorted({n for n in all_names if all_names.count(n) > 1})}")
+    out = [f"_p.{quoted(c)} as {quoted(c)}" for c in probe.payload] + [f"{v} as {quoted(n)}" for n, v in found]
+    return Rows(df.selectExpr(*out, *probe.hidden), tuple(all_names), probe.sub, probe.extra)
+
+
+def _window_names(s: _State) -> list[str]:
+    out = []
+    for i, (_, m) in enumerate(s.aggs):
+        one = s.within is not None or isinstance(m, M.Decay)
+        out += [f"{s.whole(i)}c{k}" for k in range(1 if one else len(m.ops))]
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import duration as D
 from tidemark.functions import monoids as M
 from tidemark.plans.graph import Constant, Event, Label, Source
+from tidemark.plans.graph import lookups_of as node_lookups
 from tidemark.plans.lower import Engine, TimeBound
 from tidemark.session import table
 
@@ -17,12 +18,12 @@ CUSTOMERS = Source("customer", "cast(0 as long)", "c_custkey")
 BY_USER = EVENTS.map("event_id", "event_type", "user_id", "value", k="cast(get_json_object(props, '$.k') as int)").key_by("user_id")
 PURCHASES = EVENTS.filter("event_type = 'purchase'").map("user_id", "value").key_by("user_id")
 
-#: Keys with more rows are cut into spans of time.
+#: Keys with more rows are cut into spans of time. Results do not depend on it.
 HOT_ROWS = 1_000_000
 
 
-def engine(spark: SparkSession, d: str, *names: str, bound: TimeBound | None = None) -> Engine:
-    return Engine(spark, {n: table(spark, d, n) for n in names or ("events",)}, bound, HOT_ROWS)
+def engine(spark: SparkSession, d: str, *names: str, bound: TimeBound | None = None, hot_rows: int = HOT_ROWS) -> Engine:
+    return Engine(spark, {n: table(spark, d, n) for n in names or ("events",)}, bound, hot_rows)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -216,13 +217,13 @@ def zscore(spark: SparkSession, d: str) -> DataFrame:
 def corr_running(spark: SparkSession, d: str) -> DataFrame:
     keys = BY_USER.map_values("event_id", "value", "k")
     out = engine(spark, d).run(keys.post_lookup(keys.sum(c=M.Correlation("k", "value"))).values("event_id", "c_cov", "c_corr"))
-    return rounded(out.where("c_corr is not null"), "c_cov", "c_corr")
+    return rounded(out, "c_cov", "c_corr")
 
 
 def least_squares(spark: SparkSession, d: str) -> DataFrame:
     keys = BY_USER.map_values("event_id", "value", "k")
     out = engine(spark, d).run(keys.post_lookup(keys.sum(c=M.Correlation("k", "value"))).values("event_id", "c_slope", "c_intercept"))
-    return rounded(out.where("c_slope is not null"), "c_slope", "c_intercept")
+    return rounded(out, "c_slope", "c_intercept")
 
 
 def decay_1h(spark: SparkSession, d: str) -> DataFrame:
@@ -241,8 +242,8 @@ def decays_6(spark: SparkSession, d: str) -> DataFrame:
 def decayed_moments(spark: SparkSession, d: str) -> DataFrame:
     keys = BY_USER.map_values("event_id", "value")
     m = keys.sum(m=M.DecayedMoments.of("value", "1d"))
-    out = engine(spark, d).run(keys.post_lookup(m).values("event_id", "m_w", "m_mean"))
-    return rounded(out, "m_w", "m_mean")
+    out = engine(spark, d).run(keys.post_lookup(m).values("event_id", "m_w", "m_mean", "m_var", "m_std"))
+    return rounded(out, "m_w", "m_mean", "m_var", "m_std")
 
 
 def decayed_label(spark: SparkSession, d: str) -> DataFrame:
@@ -251,6 +252,70 @@ def decayed_label(spark: SparkSession, d: str) -> DataFrame:
     return rounded(engine(spark, d).run(_label(label).map("event_id", "heat")), "heat")
 
 
+def decayed_corr(spark: SparkSession, d: str) -> DataFrame:
+    keys = EVENTS.map("event_id", "event_type", "value", k="cast(get_json_object(props, '$.k') as int)").key_by("event_type")
+    names = ("c_cov", "c_corr", "c_slope", "c_intercept", "c_var_x", "c_var_y")
+    out = engine(spark, d).run(keys.post_lookup(keys.sum(c=M.DecayedCorrelation.of("k", "value", "1d"))).values("event_id", *names))
+    return rounded(out, *names)
+
+
+def corr_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A correlation with its sides swapped, one negated and both scaled, and as a distance."""
+    keys = BY_USER.map_values("event_id", "value", "k")
+    c = M.Correlation("k", "value")
+    forms = keys.sum(c=c, s=c.swap(), n=c.negate(), t=c.scaled(3.0, 0.5)).map(
+        "c_corr", "s_slope", "n_corr", "t_cov", "t_slope", distance=lambda: M.distance_metric(F.col("c_corr"))
+    )
+    names = ("c_corr", "s_slope", "n_corr", "t_cov", "t_slope", "distance")
+    return rounded(engine(spark, d).run(keys.post_lookup(forms).values("event_id", *names)), *names)
+
+
+def least_event(spark: SparkSession, d: str) -> DataFrame:
+    keys = BY_USER.map_values("event_id", "k", top="event_id")
+    return engine(spark, d).run(keys.post_lookup(keys.min("top", "k").map(least="top")).values("event_id", "least"))
+
+
+def timed_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values with their time, through a pipe of steps."""
+    late = lambda e: e.filter("at_ms % 2 = 1").map("event_id", "at_ms", x="value + 1")
+    out = BY_USER.map_values("event_id", "value").value_with_time("at_ms").through(late)
+    return rounded(engine(spark, d).run(out), "x")
+
+
+def triggers_merged(spark: SparkSession, d: str) -> DataFrame:
+    """When a merge of two logs, each with a lookup, can say something about a key."""
+    events = BY_USER.pre_lookup(BY_USER.count("n")).map(who="user_id", id="event_id", x="n").key_by("who")
+    orders = ORDERS.map(who="o_custkey", id="o_orderkey", x="cast(0 as long)").key_by("who")
+    both = (events + orders).key_by("who")
+    node = both.triggers()
+    assert not node_lookups(node)
+    return engine(spark, d, "events", "orders").run(node, time="ts_ms")
+
+
+#: Rows of a key from which the queries `*_split` cut it, so that small tables are cut too.
+SPLIT_ROWS = 200
+
+
+def moments_split(spark: SparkSession, d: str) -> DataFrame:
+    """Moments and correlation of keys that are cut into spans, and of all rows without a key."""
+    keys = EVENTS.map("event_id", "event_type", "value", k="cast(get_json_object(props, '$.k') as int)").key_by("event_type")
+    every = keys.map("event_id", "event_type", "value", "k").key_by()
+    by_type = keys.sum(m=M.Moments("value"), c=M.Correlation("k", "value"), types=M.SetUnion("k")).map("m_n", "m_mean", "m_std", "c_corr", kinds="size(types)")
+    rows = keys.post_lookup(by_type).map("event_id", "value", "m_n", "m_mean", "m_std", "c_corr", "kinds").key_by()
+    out = rows.pre_lookup(every.sum(a=M.Moments("value"), f=M.First("event_id"), l=M.Last("event_id")).map("a_n", "a_mean", first="f", last="l"))
+    out = engine(spark, d, hot_rows=SPLIT_ROWS).run(out)
+    return rounded(out.drop("value"), "m_mean", "m_std", "c_corr", "a_mean")
+
+
+def windows_split(spark: SparkSession, d: str) -> DataFrame:
+    """Trailing windows, decayed sums and a label of keys that are cut into spans."""
+    keys = EVENTS.map("event_id", "event_type", "value").key_by("event_type")
+    day = keys.window_sum("1d", total=M.Sum("value"), high=M.Max("value"), m=M.Moments("value")).map("total", "high", "m_std")
+    label = Label.of(keys.sum(later=M.Sum("value"))).look_forward("6h")
+    node = keys.post_lookup(day, keys.sum(heat=M.Decay.of("value", "1h"))).labeled(label).map("event_id", "total", "high", "m_std", "heat", "later")
+    return rounded(engine(spark, d, hot_rows=SPLIT_ROWS).run(node), "total", "m_std", "heat", "later")
+
+
 def set_union_running(spark: SparkSession, d: str) -> DataFrame:
     keys = BY_USER.map_values("event_id", "event_type")
     types = keys.sum(types=M.SetUnion("event_type")).map(types="array_join(types, ',')")
@@ -310,6 +375,7 @@ QUERIES = {
         with_time_calendar, dedup_first, cross_source_lookup, purchases_before_event, cross_key_lookup, changes_max, zip_features, const_fn_feature,
         window_sum_1d, window_max_1d, window_count_1h, window_read_by_others, label_latest_1h, label_sum_1d, label_zip_15_30, label_nested,
         sum_forward_1h, moments_running, zscore, corr_running, least_squares, decay_1h, decays_6, decayed_moments, decayed_label,
+        decayed_corr, corr_forms, least_event, timed_values, triggers_merged, moments_split, windows_split,
         set_union_running, any_refund, fold_custom, latest_within, time_bounds_limit, flagship_labeled,
     )
 }

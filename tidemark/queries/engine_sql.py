@@ -93,14 +93,41 @@ select e.event_id, {_r('one.v', 'total')} from e asof join one on e.event_type =
     "zscore": f"""{_E}, m as (select event_id, value, avg(value) over {_USER} a, stddev_pop(value) over {_USER} s from e)
 select event_id, {_r('case when value = a then 0 else (value - a) / nullif(s, 0) end', 'z')} from m""",
     "corr_running": f"""{_E}, m as (select event_id, covar_pop(k, value) over {_USER} c, var_pop(k) over {_USER} x, var_pop(value) over {_USER} y from e)
-select event_id, {_r('c', 'c_cov')}, {_r('c / sqrt(x * y)', 'c_corr')} from m where x > 0 and y > 0""",
+select event_id, {_r('c', 'c_cov')}, {_r('case when x > 0 and y > 0 then c / sqrt(x * y) end', 'c_corr')} from m""",
     "least_squares": f"""{_E}, m as (select event_id, covar_pop(k, value) over {_USER} c, var_pop(k) over {_USER} x, avg(k) over {_USER} mx, avg(value) over {_USER} my from e)
-select event_id, {_r('c / x', 'c_slope')}, {_r('my - c / x * mx', 'c_intercept')} from m where x > 0""",
+select event_id, {_r('case when x > 0 then c / x end', 'c_slope')}, {_r('case when x > 0 then my - c / x * mx end', 'c_intercept')} from m""",
+    "corr_forms": f"""{_E}, m as (select event_id, covar_pop(k, value) over {_USER} c, var_pop(k) over {_USER} x, var_pop(value) over {_USER} y from e),
+n as (select *, case when x > 0 and y > 0 then c / sqrt(x * y) end r from m)
+select event_id, {_r('r', 'c_corr')}, {_r('case when y > 0 then c / y end', 's_slope')}, {_r('-r', 'n_corr')}, {_r('c * 1.5', 't_cov')},
+{_r('case when x > 0 then c / x / 6 end', 't_slope')}, {_r('sqrt(greatest(0, (1 - r) / 2))', 'distance')} from n""",
+    "decayed_corr": f"""{_E}, p as (select a.event_id i, b.k x, b.value y, exp(-(a.t - b.t) / {_DAY}.0) w from e a join e b on a.event_type = b.event_type
+  and (b.t < a.t or b.t = a.t and b.event_id <= a.event_id) where b.k is not null and b.value is not null),
+m as (select i, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my from p group by i),
+q as (select p.i, any_value(mx) mx, any_value(my) my, sum(w * (x - mx) * (x - mx)) / sum(w) xx, sum(w * (y - my) * (y - my)) / sum(w) yy, sum(w * (x - mx) * (y - my)) / sum(w) xy
+  from p join m on p.i = m.i group by p.i)
+select event_id, {_r('xy', 'c_cov')}, {_r('case when xx > 1e-12 and yy > 1e-12 then xy / sqrt(xx * yy) end', 'c_corr')}, {_r('case when xx > 1e-12 then xy / xx end', 'c_slope')},
+{_r('case when xx > 1e-12 then my - xy / xx * mx end', 'c_intercept')}, {_r('xx', 'c_var_x')}, {_r('yy', 'c_var_y')} from e left join q on event_id = i""",
+    "least_event": f"{_E} select event_id, (min(struct_pack(k := k, t := -t, i := -event_id)) over {_USER}).i * -1 least from e",
+    "timed_values": f"{_E} select event_id, t at_ms, {_r('value + 1', 'x')} from e where t % 2 = 1",
+    "triggers_merged": f"{_E} select t ts_ms, user_id who from e union all select epoch_us(o_orderdate) // 1000, o_custkey from orders",
+    "moments_split": f"""{_E}, m as (select event_id, t, count(value) over w m_n, avg(value) over w a, stddev_pop(value) over w s, covar_pop(k, value) over w c, var_pop(k) over w x, var_pop(value) over w y,
+  count(distinct k) over w kinds from e window w as (partition by event_type order by t, event_id rows unbounded preceding)),
+g as (select event_id, count(value) over w a_n, avg(value) over w a_mean, first_value(event_id) over w "first", last_value(event_id) over w "last"
+  from e window w as (order by t, event_id rows between unbounded preceding and 1 preceding))
+select event_id, m_n, {_r('a', 'm_mean')}, {_r('s', 'm_std')}, {_r('case when x > 0 and y > 0 then c / sqrt(x * y) end', 'c_corr')}, cast(kinds as int) kinds,
+a_n, {_r('a_mean', 'a_mean')}, "first", "last" from m join g using (event_id)""",
+    "windows_split": f"""{_E}, w as (select event_id, {_sum_trailing('value', 'event_type', _DAY)} total, {_both('max(value)', 'greatest', 'event_type', _DAY)} high,
+  {_trailing('sum(value * value)', 'event_type', _DAY)[0]} s0, {_trailing('sum(value * value)', 'event_type', _DAY)[1]} s1, {_sum_trailing('1', 'event_type', _DAY)} n,
+  sum(value) over (partition by event_type order by t range between unbounded preceding and {6 * _HOUR} following) later from e),
+h as (select a.event_id, {_decayed('event_type', _HOUR, False)} heat from e a join e b on a.event_type = b.event_type and b.t <= a.t group by a.event_id, a.t)
+select event_id, {_r('total', 'total')}, high, {_r('sqrt(greatest(0, (coalesce(s0, 0) + s1) / n - (total / n) * (total / n)))', 'm_std')}, {_r('heat', 'heat')}, {_r('later', 'later')} from w join h using (event_id)""",
     "decay_1h": f"{_E} select a.event_id, {_r(_decayed('event_type', _HOUR, False), 'heat')} from e a join e b on a.event_type = b.event_type and b.t <= a.t group by a.event_id, a.t",
     "decays_6": f"{_E} select a.event_id, {_SIX} from e a join e b on a.user_id = b.user_id and b.t <= a.t group by a.event_id, a.t",
-    "decayed_moments": f"""{_E}, s as (select a.event_id, {_decayed('user_id', _DAY, False, 0, '1')} w, {_decayed('user_id', _DAY, False)} x
-from e a join e b on a.user_id = b.user_id and b.t <= a.t group by a.event_id, a.t)
-select event_id, {_r('w', 'm_w')}, {_r('x / w', 'm_mean')} from s""",
+    "decayed_moments": f"""{_E}, p as (select a.event_id i, b.value x, exp(-(a.t - b.t) / {_DAY}.0) w from e a join e b on a.user_id = b.user_id
+  and (b.t < a.t or b.t = a.t and b.event_id <= a.event_id)),
+m as (select i, sum(w) w, sum(w * x) / sum(w) a from p group by i),
+q as (select p.i, any_value(m.w) w, any_value(a) a, sum(p.w * (x - a) * (x - a)) / any_value(m.w) v from p join m on p.i = m.i group by p.i)
+select i event_id, {_r('w', 'm_w')}, {_r('a', 'm_mean')}, {_r('v', 'm_var')}, {_r('sqrt(v)', 'm_std')} from q""",
     "decayed_label": f"{_E} select a.event_id, {_r(_decayed('user_id', _DAY, False, _HOUR), 'heat')} from e a join e b on a.user_id = b.user_id and b.t <= a.t + {_HOUR} group by a.event_id, a.t",
     "set_union_running": f"{_E} select event_id, array_to_string(list_sort(list_distinct(list(event_type) over {_USER})), ',') types from e",
     "any_refund": f"{_E} select event_id, coalesce(max(value > 90) over {_USER_BEFORE}, false) had from e",

@@ -48,7 +48,7 @@ def candles_usd(spark: SparkSession, d: str) -> DataFrame:
     future = Label.of(rows.filter("close is not null").latest("close").map(next_close="close")).look_forward("1d")
     labeled = rows.pre_lookup(past).post_lookup(recent).labeled(future).map("candle_id", "rate", "usd_3d", "n_3d", "last_close", gain="next_close / nullif(close, 0) - 1")
     out = Engine(spark, {"stock_candles": candles, "exchange_rates": rates}, hot_rows=HOT_ROWS).run(labeled)
-    return out.withColumns({"usd_3d": F.round("usd_3d", 2), "gain": F.round(F.col("gain") + 1.234e-8, 6) + 0.0})
+    return out.withColumns({"usd_3d": F.round(F.col("usd_3d") + 1.234e-5, 2), "gain": F.round(F.col("gain") + 1.234e-8, 6) + 0.0})
 
 
 def bar_history(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def bar_history(spark: SparkSession, d: str) -> DataFrame:
     label = later.look_forward("15min").map(c15="close").zip(later.look_forward("30min").map(c30="close"))
     z = lambda: M.zscore(F.col("log_close"), F.col("m_mean"), F.col("m_std"))
     out = rows.post_lookup(history).labeled(label).map("bar_id", "m_n", "m_mean", "d_mean", "c15", "c30", z=z)
-    return rounded(Engine(spark, {"finnhub_bar": bars}, hot_rows=HOT_ROWS).run(out), "m_mean", "d_mean")[["bar_id", "m_n", "m_mean", "d_mean", "c15", "c30"]]
+    return rounded(Engine(spark, {"finnhub_bar": bars}, hot_rows=HOT_ROWS).run(out), "m_mean", "d_mean", "z")
 
 
 def _dense(spark: SparkSession, d: str, start_ms: Column) -> DataFrame:

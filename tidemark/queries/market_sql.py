@@ -40,16 +40,16 @@ l as (select symbol, t, arg_max("close", candle_id) next_close from e where "clo
 w as (select candle_id, symbol, t, rate, "close", coalesce({_two('sum(usd)', 'symbol', 'candle_id', _THREE)[0]}, 0) + coalesce({_two('sum(usd)', 'symbol', 'candle_id', _THREE)[1]}, 0) usd_3d,
 {_two('count(*)', 'symbol', 'candle_id', _THREE)[0]} + {_two('count(*)', 'symbol', 'candle_id', _THREE)[1]} n_3d,
 lag("close") over (partition by symbol order by t, candle_id) last_close from e)
-select candle_id, rate, round(usd_3d, 2) usd_3d, n_3d, last_close, round(next_close / nullif("close", 0) - 1 + {_SHIFT}, 6) + 0.0 gain
+select candle_id, rate, round(usd_3d + 1.234e-5, 2) usd_3d, n_3d, last_close, round(next_close / nullif("close", 0) - 1 + {_SHIFT}, 6) + 0.0 gain
 from w asof left join l on w.symbol = l.symbol and w.t + 86400000 >= l.t""",
     "bar_history": f"""with b as (select *, {_SECONDS} * 1000 t, ln("close") lc from finnhub_bar where symbol is not null and resolution is not null and "close" > 0),
 e as (select * from b where t is not null),
-m as (select bar_id, symbol, resolution, t, count(lc) over w m_n, avg(lc) over w a from e window w as (partition by symbol, resolution order by t, bar_id rows unbounded preceding)),
+m as (select bar_id, symbol, resolution, t, count(lc) over w m_n, avg(lc) over w a, stddev_pop(lc) over w s, lc from e window w as (partition by symbol, resolution order by t, bar_id rows unbounded preceding)),
 l as (select symbol, resolution, t, arg_max("close", bar_id) c from e group by all),
 d as (select x.bar_id, sum(y.lc * exp(-(x.t - y.t) / 86400000.0)) / sum(exp(-(x.t - y.t) / 86400000.0)) v from e x join e y
   on x.symbol = y.symbol and x.resolution = y.resolution and (y.t < x.t or y.t = x.t and y.bar_id <= x.bar_id) group by x.bar_id),
 f as (select m.*, l.c c15 from m asof left join l on m.symbol = l.symbol and m.resolution = l.resolution and m.t + 900000 >= l.t)
-select f.bar_id, m_n, {_r('f.a', 'm_mean')}, {_r('d.v', 'd_mean')}, c15, l.c c30 from f join d using (bar_id)
+select f.bar_id, m_n, {_r('f.a', 'm_mean')}, {_r('d.v', 'd_mean')}, {_r('case when abs(lc - f.a) <= 1e-13 * abs(f.a) then 0 else (lc - f.a) / nullif(f.s, 0) end', 'z')}, c15, l.c c30 from f join d using (bar_id)
 asof left join l on f.symbol = l.symbol and f.resolution = l.resolution and f.t + 1800000 >= l.t""",
     "dense_bars": r"""with s as (select *, strptime(bar_start_utc, '%Y-%m-%d %H:%M:%S UTC') ts from hk_stocks where symbol is not null and "close" is not null
   and regexp_full_match(bar_start_utc, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} UTC')),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,11 @@ def build_session(app: str = "tidemark", cpus: str | int = "*") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
-        # rows of many windows make stage code too large for the JIT; operators that wide run better without it
-        .config("spark.sql.codegen.maxFields", "25")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # the place in the code of every column is noted for error messages at three calls to the JVM each
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 
@@ -34,13 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one.
+    """The folder all executors share: spark.checkpoint.dir of the session, or the folder given to
+    SparkContext.setCheckpointDir.
 
-    Only where it is unset (tests, a single machine) a temporary folder is made and remembered
-    in the session.
+    Only a session that runs in one process (master `local`) makes a temporary folder where
+    neither is set, and remembers it. On a cluster that would be another folder on each machine,
+    and tables staged in it would be lost without an error: there it is an error at once.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.sharedDir", None)
     if not named:
+        set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_by_code.get() if set_by_code.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"no folder that all executors share: set spark.checkpoint.dir (master {master})")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.tidemark.sharedDir", named)
     return named
@@ -63,8 +72,13 @@ def _stages(spark: SparkSession) -> str:
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Delete the tables this application has staged. Results that have not been written yet need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    """Delete the tables this application has staged, once all results that read them are written.
+
+    The command line and the benchmark do so after each result."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    except ValueError:
+        return  # nowhere to stage, so that nothing has been
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

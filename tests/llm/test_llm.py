@@ -23,15 +23,16 @@ def test_query(spark, small, name):
 # --- nearest time -------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("part_rows", [9, 500_000])
 @pytest.mark.parametrize("span", [2, 5, 32])
-def test_nearest(spark, span):
+def test_nearest(spark, span, part_rows):
     r = random.Random(span)
     left = [(i, r.choice(["usd", " USD ", "EUR", None, "GBP"]), r.choice([None, *range(-300, 1500)])) for i in range(400)]
     right = [(i, r.choice(["USD", "eur", None]), r.choice([None, *range(-300, 1500)]), r.choice([None, 1.0, 2.0])) for i in range(150)]
     right += [(i + 1000, *right[i][1:]) for i in range(30)]
     a = spark.createDataFrame(left, "id long, k string, at long").withColumn("part", F.lit("clash"))
     b = spark.createDataFrame(right, "rid long, k string, t long, v double").withColumn("id", F.lit(0))
-    args = dict(left_id="id", left_key="k", left_ms="at", right_id="rid", right_key="k", right_ms="t", right_value="v", tolerance_ms=20, span=span)
+    args = dict(left_id="id", left_key="k", left_ms="at", right_id="rid", right_key="k", right_ms="t", right_value="v", tolerance_ms=20, span=span, part_rows=part_rows)
     got = {tuple(x) for x in nearest.match_nearest(a, b, **args).collect()}
     want = set()
     for i, k, at in left:

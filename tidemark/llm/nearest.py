@@ -9,6 +9,8 @@ from tidemark.session import code_of
 
 #: Width of an index partition in tolerances: one in 16 intervals then also lies in a neighbour.
 SPAN = 32
+#: Left rows of one part of the index that one task merges.
+PART_ROWS = 500_000
 
 
 def interval_index(points: DataFrame, tolerance: int, span: int = SPAN) -> DataFrame:
@@ -49,6 +51,7 @@ def match_nearest(
     right_value: str,
     tolerance_ms: int = 600_000,
     span: int = SPAN,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """(left_id, right_id): each left row with the right row of its key nearest in time.
 
@@ -60,6 +63,9 @@ def match_nearest(
     The right side becomes a partitioned index of disjoint intervals. The range join is a
     merge inside each part: intervals and left times in one order, where the last interval
     begun is the only candidate. There is no row per pair of candidates.
+    Parts are counted first: where many left rows meet in one (they may share an instant), they
+    are salted into about part_rows each, and the part's intervals go to all of these. Its
+    intervals are at most a few for each distinct time of the right side.
     """
     points = right.select(
         code_of(F.col(f"`{right_key}`")).alias("key"),
@@ -74,11 +80,16 @@ def match_nearest(
         F.col(f"`{left_ms}`").cast("long").alias("at"),
         F.col(f"`{left_id}`").alias("left_id"),
     ).where(F.col("key").isNotNull() & F.col("at").isNotNull())
-    merged = probes.withColumn("probe", F.lit(1)).unionByName(
-        index.select("key", "part", F.col("low").alias("at"), F.lit(0).alias("probe"), F.struct("high", "id").alias("interval")),
+    # a row for each part that is too dense, one in part_rows of the data at most
+    dense = probes.groupBy("key", "part").count().where(F.col("count") > part_rows)
+    dense = dense.select("key", "part", F.ceil(F.col("count") / part_rows).cast("int").alias("salts"))
+    probes = probes.join(dense, ["key", "part"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("left_id", "at"), F.col("salts")).cast("int"), F.lit(0)))
+    index = index.join(dense, ["key", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    merged = probes.select("key", "part", "salt", "at", "left_id", F.lit(1).alias("probe")).unionByName(
+        index.select("key", "part", "salt", F.col("low").alias("at"), F.lit(0).alias("probe"), F.struct("high", "id").alias("interval")),
         allowMissingColumns=True,
     )
-    order = Window.partitionBy("key", "part").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("key", "part", "salt").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
     out = merged.withColumn("last", F.last("interval", ignorenulls=True).over(order))
     out = out.where((F.col("probe") == 1) & (F.col("last.high") >= F.col("at")))
     return out.select(F.col("left_id").alias(left_id), F.col("last.id").alias(right_id))

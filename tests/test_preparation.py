@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import Place, StampParser
@@ -15,6 +16,15 @@ from tidemark.functions.zones import ZoneTable
 from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, trailing
 from tidemark.queries import market
 
+
+class _Most(AccumulatorParam):
+    def zero(self, value):
+        return [0]
+
+    def addInPlace(self, a, b):  # noqa: N802
+        return [max(a[0], b[0])]
+
+
 GOOD = "2021-05-06 14:39:00,1.5,2,-3e2,4.25,76"
 
 
@@ -81,12 +91,20 @@ def test_records_keep_other_columns(spark):
 
 # --- spikes -------------------------------------------------------------------------------
 
-RULES = (spikes.Rule(0, True, True, 15), spikes.Rule(0, False, False, 20))
+RULES = (spikes.Rule(0, True, True, 14, None, 0.5, False), spikes.Rule(0, False, False, 19, None, 0.5, False))
+HOURLY = (spikes.Rule(0, True, True, 6), spikes.Rule(0, False, False, 1.5, 0.25, 0.75, True, True))
 
 
-def brute_spikes(rows: list[tuple]) -> set[tuple]:
+def brute_fence(rule: spikes.Rule, m: np.ndarray) -> tuple[float, float]:
+    s = np.sort(m)
+    q = [(s[int(np.floor((len(s) - 1) * p))] + s[int(np.ceil((len(s) - 1) * p))]) / 2 for p in rule.quantiles]
+    low = q[0] if len(q) > 1 else 0.0
+    return low - rule.expand * (q[-1] - low), q[-1] + rule.expand * (q[-1] - low)
+
+
+def brute_spikes(rows: list[tuple], rules=RULES) -> set[tuple]:
     out = set()
-    for f, rule in enumerate(RULES):
+    for f, rule in enumerate(rules):
         for source in {r[0] for r in rows if r[0] is not None}:
             own = sorted(r for r in rows if r[0] == source and r[1] is not None and r[3 + f] is not None)
             times = sorted({r[1] for r in own})
@@ -95,7 +113,11 @@ def brute_spikes(rows: list[tuple]) -> set[tuple]:
                 continue
             level = np.array([np.median(x[max(0, i - 10) : i + 11]) for i in range(len(x))])
             m = np.abs(x - level) / np.abs(level) if rule.relative else x
-            case = m > rule.times * np.median(m)
+            hour = np.array(times) // 3_600_000 % 24 if rule.by_hour else np.zeros(len(x))
+            case = np.zeros(len(x), bool)
+            for h in set(hour):
+                low, high = brute_fence(rule, m[hour == h])
+                case |= (hour == h) & ((m > high) | (rule.both_sides & (m < low)))
             case |= (x < rule.least) | (rule.barred & (x == rule.least))
             run = 0
             for i in range(1, len(x) + 1):
@@ -108,8 +130,9 @@ def brute_spikes(rows: list[tuple]) -> set[tuple]:
     return out
 
 
+@pytest.mark.parametrize("rules", [RULES, HOURLY])
 @pytest.mark.parametrize("partitions", [1, 3, 7])
-def test_spikes(spark, partitions):
+def test_spikes(spark, partitions, rules):
     r = random.Random(4)
     rows, n = [], 0
     for source, size in (("hot", 1500), ("b", 90), ("c", 13), ("d", 1), ("e", 25), (None, 5)):
@@ -121,18 +144,18 @@ def test_spikes(spark, partitions):
             if source in ("hot", "b") and 40 <= t < 58:
                 p = 77.0
             for _ in range(r.choice((1, 1, 1, 2))):
-                rows.append((source, t, n, p, v))
+                rows.append((source, t * 700_000, n, p, v))
                 n += 1
     df = spark.createDataFrame(rows, "source string, t long, rec_id long, price double, volume double")
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(x.source, x.field, x.rec_id) for x in spikes.implausible(df, RULES).collect()}
+        got = {(x.source, x.field, x.rec_id) for x in spikes.implausible(df, rules).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert got == brute_spikes(rows)
+    assert got == brute_spikes(rows, rules)
     assert spikes.implausible(df.limit(0), RULES).count() == 0
 
 
@@ -320,14 +343,14 @@ def test_epoch_units(spark):
 # --- attributes as known at event time ----------------------------------------------------
 
 
-@pytest.mark.parametrize("bucket", [10, 1000])
-def test_known_at(spark, bucket):
+@pytest.mark.parametrize("bucket,rows", [(10, 7), (1000, 40), (60_000, 100_000)])
+def test_known_at(spark, bucket, rows):
     r = random.Random(6)
     events = [(i, r.choice(["usd", " USD", "EUR", None, "GBP", ""]), r.choice([None, *range(100)])) for i in range(200)]
     versions = [(i, r.choice(["USD", "eur ", None, ""]), r.choice([None, *range(90)]), r.choice([None, *range(120)]), r.choice([None, 1.0, 2.0])) for i in range(150)]
     e = spark.createDataFrame(events, "id long, k string, at long").withColumn("key", F.lit("clash")).withColumn("value", F.lit(1))
     v = spark.createDataFrame(versions, "vid long, k string, valid long, known long, x double").withColumn("span", F.lit(0))
-    args = dict(event_id="id", event_key="k", event_ms="at", version_id="vid", version_key="k", valid_ms="valid", known_ms="known", value="x", bucket_ms=bucket)
+    args = dict(event_id="id", event_key="k", event_ms="at", version_id="vid", version_key="k", valid_ms="valid", known_ms="known", value="x", bucket_ms=bucket, span_rows=rows)
     got = {(x.id, x.vid, x.x) for x in known_at.known_at(e, v, **args).collect()}
     code = lambda s: s.strip().upper()
     want = set()
@@ -341,6 +364,28 @@ def test_known_at(spark, bucket):
     assert known_at.known_at(e.union(e), v, **args).count() == 2 * len(want)
 
 
+def test_known_at_is_cut_by_density(spark, monkeypatch):
+    """One outlying time and one instant with half of all events: no part holds more than twice what it should."""
+    seen = spark.sparkContext.accumulator([0], _Most())
+    real = np.searchsorted
+
+    def counted(a, v, side="left"):
+        seen.add([len(v)])
+        return real(a, v, side)
+
+    events = spark.range(20_000).selectExpr("id", "'USD' as k", "case when id = 0 then 4102444800000 when id % 2 = 0 then 500000000 else id * 50000 end as at")
+    versions = spark.range(400).selectExpr("id as vid", "'usd' as k", "id * 2500000 as valid", "id * 2500000 + 7 as known", "1.0D as x")
+    args = dict(event_id="id", event_key="k", event_ms="at", version_id="vid", version_key="k", valid_ms="valid", known_ms="known", value="x")
+    monkeypatch.setattr(known_at.np, "searchsorted", counted)
+    cut = known_at.known_at(events, versions, **args, span_rows=500)
+    sizes = cut.groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.sum("count")).first()[0] == 20_000
+    monkeypatch.undo()
+    whole = known_at.known_at(events, versions, **args)
+    assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
+    assert 0 < seen.value[0] <= 1000
+
+
 # --- dense table of bars --------------------------------------------------------------------
 
 

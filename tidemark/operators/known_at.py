@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import code_of
 
-#: Events and versions of an average span of time, over all entities.
-BUCKET_ROWS = 100_000
-#: Least number of spans, so that a few entities still fill a cluster.
-BUCKETS = 16
+#: Events and versions that a span of time of one entity is made of, and events of a salted part.
+SPAN_ROWS = 100_000
+#: Width of the buckets of time that spans are made of.
+BUCKET_MS = 60_000
 
 
 def known_at(
@@ -26,7 +26,8 @@ def known_at(
     valid_ms: str,
     known_ms: str,
     value: str,
-    bucket_ms: int | None = None,
+    span_rows: int = SPAN_ROWS,
+    bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
     """(event_id, event_ms, version_id, value): each event with its version, if it has one.
 
@@ -41,8 +42,10 @@ def known_at(
     spans of time, whatever share of the rows it holds: the maximum of each span is found with
     a partial aggregation, its prefix goes into the following spans as one extra version, and
     a span of events is co-grouped with its versions and searched in a sorted array.
-    bucket_ms: width of the spans; without it they are made so that BUCKET_ROWS rows of all
-    entities fall into one on average.
+
+    Spans follow the rows, not the clock: rows are counted by key and bucket of bucket_ms, and a
+    span ends once span_rows rows have come. A bucket in which more events than that lie is
+    salted: its events go to parts of about so many, each with all its versions.
     """
     e = events.select(
         F.col(f"`{event_id}`").alias("event_id"),
@@ -57,18 +60,25 @@ def known_at(
         F.col(f"`{value}`").cast("double").alias("value"),
     ).dropna()
     v = v.withColumn("since", F.greatest("valid", "known"))
-    if bucket_ms is None:
-        n, first, last = e.agg(F.count("*"), F.min("at"), F.max("at")).first()
-        bucket_ms = max(1, (last - first) // max(BUCKETS, (n + versions.count()) // BUCKET_ROWS) + 1) if n else 1
-    e = e.withColumn("span", F.floor(F.col("at") / bucket_ms))
-    v = v.withColumn("span", F.floor(F.col("since") / bucket_ms))
+    e = e.withColumn("bucket", F.floor(F.col("at") / bucket_ms))
+    v = v.withColumn("bucket", F.floor(F.col("since") / bucket_ms))
+    counted = e.select("key", "bucket", F.lit(1).alias("e")).unionByName(v.select("key", "bucket", F.lit(0).alias("e")))
+    counted = counted.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / span_rows)
+    spans = counted.select("key", "bucket", "e", cut.alias("span"))
+    together = Window.partitionBy("key", "span")
+    spans = spans.select("key", "bucket", "span", F.ceil(F.sum("e").over(together) / span_rows).alias("parts"), F.min("bucket").over(together).alias("begin"))
+    spans = spans.withColumn("parts", F.greatest("parts", F.lit(1)).cast("int"))
+    e = e.join(spans, ["key", "bucket"]).withColumn("part", F.pmod(F.xxhash64("event_id", "at"), F.col("parts")).cast("int"))
+    v = v.join(spans, ["key", "bucket"])
     best = F.max(F.struct("valid", "known", "version", "value"))
-    spans = v.groupBy("key", "span").agg(best.alias("best")).unionByName(e.select("key", "span").distinct(), allowMissingColumns=True)
-    spans = spans.groupBy("key", "span").agg(F.max("best").alias("best"))
+    whole = spans.groupBy("key", "span").agg(F.max("parts").alias("parts"), F.min("begin").alias("begin"))
+    tops = whole.join(v.groupBy("key", "span").agg(best.alias("best")), ["key", "span"], "left")
     before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carry = spans.select("key", "span", F.max("best").over(before).alias("best")).where(F.col("best").isNotNull())
-    carry = carry.select("key", "span", "best.*", (F.col("span") * bucket_ms - 1).cast("long").alias("since"))
-    usable = v.unionByName(carry)
+    carry = tops.select("key", "span", "parts", "begin", F.max("best").over(before).alias("best")).where(F.col("best").isNotNull())
+    carry = carry.select("key", "span", "parts", "best.*", (F.col("begin") * bucket_ms - 1).cast("long").alias("since"))
+    usable = v.drop("bucket", "begin").unionByName(carry).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["since"], kind="stable", ignore_index=True)
@@ -84,9 +94,12 @@ def known_at(
         )
 
     kind = dict(e.dtypes)["event_id"]
+    # both sides have columns of one origin, which aliases tell apart
+    usable = usable.select(*(F.col(c).alias(c) for c in ("key", "span", "part", "valid", "known", "version", "value", "since")))
     out = (
-        e.groupBy("key", "span")
-        .cogroup(usable.groupBy("key", "span"))
+        e.select(*(F.col(c).alias(c) for c in ("event_id", "at", "key", "span", "part")))
+        .groupBy("key", "span", "part")
+        .cogroup(usable.groupBy("key", "span", "part"))
         .applyInPandas(match, f"event_id {kind}, at long, version long, value double")
     )
     return out.select(

@@ -2,13 +2,15 @@
 
 All readings are range-partitioned by (source, time), so that a source of any share of the
 rows spreads over as many tasks as it fills, and each task streams its sorted rows through
-vectorised kernels with a small carry. Sources that lie inside one partition are finished
-there, without a sketch, by the exact median of their measures in memory. Only the first and the last source of a partition may reach into the next one: of
-those, the readings near the edge are decided in a second small pass that has both sides, and
-their quantile sketches (log-spaced histograms, mergeable by addition) are merged across
-partitions to fences. Readings beyond the fence's upper bound are cases, readings below its
-lower bound are none, and between the bounds the exact order statistic decides, which is
-looked up in the one sketch bucket that holds it.
+vectorised kernels with a small carry. The normal of a source is a quantile sketch of its
+measures for every hour of the day (a log-spaced histogram); sketches merge by adding their
+counts: over the hours where a rule has one context for all of them, and over partitions.
+A fence lies a multiple of the distance of two quantiles beyond the upper (or below the lower)
+one. Sketches tell the buckets that hold these quantiles, and the exact order statistics are
+looked up in these buckets alone. A source inside one partition has its sketches merged there;
+only the first and the last source of a partition may reach into the next one: of those, the
+readings near the edge are decided in a second small pass that has both sides, and the
+sketches of all partitions are merged by Spark.
 """
 
 from __future__ import annotations
@@ -45,9 +47,11 @@ _OUT = pa.schema(
         ("m", pa.float64()),
         ("sure", pa.bool_()),
         ("first", pa.bool_()),
+        ("hour", pa.int8()),
     ]
 )
-_OUT_SQL = "kind byte, source string, field byte, rec_id long, t long, x double, m double, sure boolean, first boolean"
+_OUT_SQL = "kind byte, source string, field byte, rec_id long, t long, x double, m double, sure boolean, first boolean, hour byte"
+HOUR_MS = 3_600_000
 
 
 @dataclass(frozen=True)
@@ -55,14 +59,69 @@ class Rule:
     """How readings of one field are judged.
 
     least: values below it, or equal to it if it is barred, are impossible. relative: the
-    measure is the departure from the local level, else the reading itself. times: a measure
-    of more than so many times the median of all measures of the source is a case.
+    measure is the departure from the local level (the rate at which a reading leaves its
+    neighbours), else the reading itself. A measure is a case if it lies more than `expand`
+    times the distance of the quantiles low and high above the high one (or, with both_sides,
+    below the low one). Without low the distance is taken from zero: high = 0.5 and expand = 14
+    is a fence at 15 medians. Low = 0.25, high = 0.75 and by_hour are expanded interquartile
+    fences of each hour of the day.
     """
 
     least: float
     barred: bool
     relative: bool
-    times: float
+    expand: float
+    low: float | None = 0.25
+    high: float = 0.75
+    by_hour: bool = True
+    both_sides: bool = False
+
+    @property
+    def quantiles(self) -> tuple[float, ...]:
+        return (self.high,) if self.low is None else (self.low, self.high)
+
+    def bounds(self, q):
+        """(lower, upper) bound of measures from the quantiles, of numbers or columns."""
+        low = q[0] if len(q) > 1 else 0.0
+        reach = (q[-1] - low) * self.expand
+        return low - reach, q[-1] + reach
+
+
+def ranks(n, q: float):
+    """The two order statistics whose mean is a quantile (floor and ceiling of (n - 1) q)."""
+    at = (n - 1) * q
+    return np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+
+
+def buckets(m: np.ndarray) -> np.ndarray:
+    """Sketch bucket: order-preserving, and PER_OCTAVE to a power of two for positive measures."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        b = np.floor(np.log2(m) * PER_OCTAVE)
+    return np.where(m <= 0, -(10**8), np.where(np.isinf(m), 10**8, b)).astype(np.int64)
+
+
+def sketch(m: np.ndarray, hour: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hour, bucket, count) of measures: a sketch for each hour."""
+    code, counts = np.unique(hour.astype(np.int64) << 40 | buckets(m) + (1 << 39), return_counts=True)
+    return code >> 40, (code & (1 << 40) - 1) - (1 << 39), counts
+
+
+def merge_hours(bucket: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch of several together."""
+    both, at = np.unique(bucket, return_inverse=True)
+    return both, np.bincount(at, count).astype(np.int64)
+
+
+def exact_quantile(bucket: np.ndarray, count: np.ndarray, m: np.ndarray, of: np.ndarray, q: float) -> float:
+    """A quantile of m, whose buckets are `of`: the sketch tells the buckets, their own values the rest."""
+    upto = np.cumsum(count)
+    values = []
+    for r in ranks(upto[-1], q):
+        k = int(np.searchsorted(upto, r, side="right"))
+        inside = m[of == bucket[k]]
+        at = int(r - (upto[k] - count[k]))
+        values.append(inside[0] if len(inside) == 1 else np.partition(inside, at)[at])
+    return float((values[0] + values[1]) / 2)
 
 
 def local_level(x: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = LEVEL_READINGS) -> np.ndarray:
@@ -172,24 +231,39 @@ class _FieldStream:
                 none if m is None else pa.array(m),
                 pa.nulls(n, pa.bool_()) if sure is None else pa.array(sure),
                 pa.array(s.first[rows]),
+                pa.array((s.t[rows] // HOUR_MS % 24).astype(np.int8)),
             ],
             schema=_OUT,
         )
 
+    def _fenced(self, m: np.ndarray, first: np.ndarray, hour: np.ndarray) -> np.ndarray:
+        """Which measures of one source lie beyond the fences of its merged sketches."""
+        rule = self.rule
+        own, own_hour = m[first], hour[first]
+        hours, bucket, count = sketch(own, own_hour)
+        of, case = buckets(own), np.zeros(len(m), bool)
+        for h in np.unique(own_hour) if rule.by_hour else (None,):
+            here = slice(None) if h is None else own_hour == h
+            b, c = merge_hours(bucket, count) if h is None else (bucket[hours == h], count[hours == h])
+            with np.errstate(invalid="ignore"):
+                low, high = rule.bounds([exact_quantile(b, c, own[here], of[here], q) for q in rule.quantiles])
+            beyond = (m > high) | (rule.both_sides & (m < low))
+            case |= beyond if h is None else beyond & (hour == h)
+        return case
+
     def _finish(self) -> Iterator[pa.RecordBatch]:
-        """All instants of a source that lies in this partition are done: the fence is exact here."""
+        """All instants of a source that lies in this partition are done: its sketches are whole."""
         if not self.parts:
             return
         parts, self.parts = self.parts, []
         s = parts[0][0]
-        rec, first, m, sure = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
-        fence = self.rule.times * np.median(m[first])
-        case = np.flatnonzero(sure | (m > fence))
+        rec, first, m, sure, hour = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+        case = np.flatnonzero(sure | self._fenced(m, first, hour))
         if len(case):
             n = len(case)
             none = pa.nulls(n, pa.float64())
             yield pa.record_batch(
-                [pa.array(np.full(n, CASE, np.int8)), pa.array([s] * n, pa.string()), pa.array(np.full(n, self.number, np.int8)), pa.array(rec[case]), pa.nulls(n, pa.int64()), none, none, pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_())],
+                [pa.array(np.full(n, CASE, np.int8)), pa.array([s] * n, pa.string()), pa.array(np.full(n, self.number, np.int8)), pa.array(rec[case]), pa.nulls(n, pa.int64()), none, none, pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int8())],
                 schema=_OUT,
             )
 
@@ -234,15 +308,15 @@ class _FieldStream:
             for g in np.unique(group):
                 own = inner[group == g] if len(cuts) > 1 else inner
                 k = by_row[own]
-                self.parts.append((s.source[int(own[0])].as_py(), s.rec[own], s.first[own], m[k], sure[k]))
+                self.parts.append((s.source[int(own[0])].as_py(), s.rec[own], s.first[own], m[k], sure[k], (s.t[own] // HOUR_MS % 24).astype(np.int8)))
                 if g < len(cuts) - 1:
                     yield from self._finish()
         if final:
             # the last source may go on in the next partition
-            for name, rec, first, mm, ss in self.parts:
+            for name, rec, first, mm, ss, hh in self.parts:
                 k = len(rec)
                 yield pa.record_batch(
-                    [pa.array(np.full(k, PART, np.int8)), pa.array([name] * k, pa.string()), pa.array(np.full(k, self.number, np.int8)), pa.array(rec), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(mm), pa.array(ss), pa.array(first)],
+                    [pa.array(np.full(k, PART, np.int8)), pa.array([name] * k, pa.string()), pa.array(np.full(k, self.number, np.int8)), pa.array(rec), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(mm), pa.array(ss), pa.array(first), pa.array(hh)],
                     schema=_OUT,
                 )
             self.parts, self.rest = [], None
@@ -311,36 +385,57 @@ def _settle_edges(rules: tuple[Rule, ...]):
 
 
 def bucket_of(m: Column) -> Column:
-    """Sketch bucket: order-preserving, and PER_OCTAVE to a power of two for positive measures."""
+    """The same as `buckets`."""
     log = F.floor(F.log2(F.when((m > 0) & (m < float("inf")), m)) * PER_OCTAVE)
     return F.when(m <= 0, F.lit(-(10**8))).when(m == float("inf"), F.lit(10**8)).otherwise(log).cast("int")
 
 
-def fences(parts: DataFrame) -> DataFrame:
-    """(source, field, n, low, high): the buckets of the lower and upper middle measure, with the
-    ranks within each. Sketches of partitions are merged by adding their counts."""
-    sketch = parts.where("first").groupBy("source", "field", bucket_of(F.col("m")).alias("bucket")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("source", "field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("source", "field")
-    s = sketch.select("*", F.sum("n").over(up).alias("upto"), F.sum("n").over(total).alias("all"))
-    lower, upper = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
-    return s.groupBy("source", "field").agg(
-        F.max(F.when(holds(lower), F.col("bucket"))).alias("low"),
-        F.max(F.when(holds(lower), lower - (F.col("upto") - F.col("n")))).alias("low_rank"),
-        F.max(F.when(holds(upper), F.col("bucket"))).alias("high"),
-        F.max(F.when(holds(upper), upper - (F.col("upto") - F.col("n")))).alias("high_rank"),
-    )
-
-
-def exact_fences(parts: DataFrame, fence: DataFrame) -> DataFrame:
-    """fence with the exact median: the two order statistics are taken from their buckets alone."""
-    inside = parts.where("first").join(F.broadcast(fence), ["source", "field"]).withColumn("bucket", bucket_of(F.col("m")))
-    inside = inside.where((F.col("bucket") == F.col("low")) | (F.col("bucket") == F.col("high")))
-    rank = Window.partitionBy("source", "field", "bucket").orderBy("m")
-    ranked = inside.withColumn("rank", F.row_number().over(rank) - 1)
-    at = lambda b, r: F.max(F.when((F.col("bucket") == F.col(b)) & (F.col("rank") == F.col(r)), F.col("m")))
-    return ranked.groupBy("source", "field").agg(((at("low", "low_rank") + at("high", "high_rank")) / 2).alias("median"))
+def _by_field(rules: tuple[Rule, ...], of) -> Column:
+    return F.element_at(F.array(*(F.lit(of(r)) for r in rules)), F.col("field") + 1)
+
+
+def _context(rules: tuple[Rule, ...]) -> Column:
+    return F.when(_by_field(rules, lambda r: r.by_hour), F.col("hour")).otherwise(F.lit(-1)).cast("int").alias("context")
+
+
+def fences(parts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(source, field, context, bucket, rank, which): where the order statistics of the quantiles lie,
+    by bucket and rank within it. Sketches of hours and partitions are merged by adding their counts."""
+    sketches = parts.where("first").groupBy("source", "field", "hour", bucket_of(F.col("m")).alias("bucket")).agg(F.count("*").alias("n"))
+    merged = sketches.groupBy("source", "field", _context(rules), "bucket").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("source", "field", "context").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy("source", "field", "context")
+    s = merged.select("*", F.sum("n").over(up).alias("upto"), F.sum("n").over(total).alias("all"))
+    most = max(len(r.quantiles) for r in rules)
+    wanted = []
+    for k in range(most):
+        q = _by_field(rules, lambda r, k=k: r.quantiles[k] if k < len(r.quantiles) else None)
+        at = (F.col("all") - 1) * q
+        wanted += [F.struct(F.lit(2 * k).alias("which"), F.floor(at).alias("r")), F.struct(F.lit(2 * k + 1).alias("which"), F.ceil(at).alias("r"))]
+    s = s.select("source", "field", "context", "bucket", "n", "upto", F.explode(F.array(*wanted)).alias("w"))
+    s = s.where((F.col("upto") > F.col("w.r")) & (F.col("upto") - F.col("n") <= F.col("w.r")))
+    return s.select("source", "field", "context", "bucket", (F.col("w.r") - F.col("upto") + F.col("n")).alias("rank"), "w.which")
+
+
+def exact_fences(parts: DataFrame, fence: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(source, field, context, low, high): bounds from the exact quantiles, whose order statistics are
+    taken from their buckets alone. Equal measures are counted first, so that a bucket that holds
+    a source's usual value a billion times is one row."""
+    key = ["source", "field", "context", "bucket"]
+    named = parts.where("first").select("source", "field", _context(rules), bucket_of(F.col("m")).alias("bucket"), "m")
+    inside = named.join(fence.select(*key).distinct(), key, "left_semi").groupBy(*key, "m").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*key).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.select("*", F.sum("n").over(up).alias("upto"))
+    found = ranked.join(fence, key).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    at = lambda w: F.max(F.when(F.col("which") == w, F.col("m")))
+    most = max(len(r.quantiles) for r in rules)
+    q = found.groupBy("source", "field", "context").agg(*((at(2 * k) / 2 + at(2 * k + 1) / 2).alias(f"q{k}") for k in range(most)))
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i, r in enumerate(rules):
+        lo, hi = r.bounds([F.col(f"q{k}") for k in range(len(r.quantiles))])
+        own = F.col("field") == i
+        low, high = F.when(own & F.lit(r.both_sides), lo).otherwise(low), F.when(own, hi).otherwise(high)
+    return q.select("source", "field", "context", low.alias("low"), high.alias("high"))
 
 
 def implausible(readings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -349,8 +444,9 @@ def implausible(readings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     readings has the columns source string, t long, rec_id long and one double per rule.
     Readings of a source are taken in order of t, one per instant; of rows at one instant
     the first delivered value stands for all, and all of them are cases if it is one. Null
-    and NaN values are no readings. Rows without source or t are left out. A source whose
-    median measure is zero has any positive measure as a case.
+    and NaN values are no readings. Rows without source or t are left out. Where both quantiles
+    of a fence are zero any positive measure is a case. t is in milliseconds; the hour of a
+    reading is that of the UTC day.
     """
     names = readings.columns[3:]
     rows = readings.where(F.col("source").isNotNull() & F.col("t").isNotNull() & F.col("rec_id").isNotNull())
@@ -361,10 +457,9 @@ def implausible(readings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     settled = (
         edges.repartition("source", "field").sortWithinPartitions("source", "field", "t", "rec_id").mapInArrow(_settle_edges(rules), _OUT_SQL)
     )
-    parts = stage(done.where(F.col("kind") == PART).unionByName(settled).select("source", "field", "rec_id", "m", "sure", "first"), "spike-parts")
-    # at most two sources of each partition of the scan: a bound by the number of tasks
-    fence = fences(parts)
-    exact = exact_fences(parts, fence)
-    times = F.element_at(F.array(*(F.lit(float(r.times)) for r in rules)), F.col("field") + 1)
-    spanning = parts.join(F.broadcast(exact), ["source", "field"], "left").where(F.col("sure") | (F.col("m") > times * F.col("median")))
+    parts = stage(done.where(F.col("kind") == PART).unionByName(settled).select("source", "field", "rec_id", "m", "sure", "first", "hour"), "spike-parts")
+    # of at most two sources of each partition of the scan; Spark decides by its size how the table is joined
+    bounds = exact_fences(parts, fences(parts, rules), rules)
+    own = parts.withColumn("context", _context(rules)).join(bounds, ["source", "field", "context"], "left")
+    spanning = own.where(F.col("sure") | (F.col("m") > F.col("high")) | F.coalesce(F.col("m") < F.col("low"), F.lit(False)))
     return done.where(F.col("kind") == CASE).select("source", "field", "rec_id").unionByName(spanning.select("source", "field", "rec_id"))

@@ -78,12 +78,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_known(spark, d).select("candle_id", "rate_id")
 
 
+#: The rule of the cases asked for: one context for all hours, and fences at 15 and 20 medians.
 TICK_RULES = (
-    spikes.Rule(least=0, barred=True, relative=True, times=15),  # price_micro_dollars, close
-    spikes.Rule(least=0, barred=False, relative=False, times=20),  # volume
+    spikes.Rule(least=0, barred=True, relative=True, expand=14, low=None, high=0.5, by_hour=False),  # price_micro_dollars, close
+    spikes.Rule(least=0, barred=False, relative=False, expand=19, low=None, high=0.5, by_hour=False),  # volume
 )
 
 
+def p2_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """The operator with fences of its own method: interquartile fences of each source and hour, expanded
+    eight times, on the departure from the local level."""
+    ticks = table(spark, d, "stock_ticks").select(
+        F.col("symbol").alias("source"), F.col("timestamp_ms").alias("t"), F.col("tick_id").alias("rec_id"), F.col("price_micro_dollars").cast("double").alias("price")
+    )
+    found = spikes.implausible(ticks, (spikes.Rule(least=0, barred=True, relative=True, expand=8),))
+    return found.select(F.col("rec_id").alias("tick_id"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ticks = table(spark, d, "stock_ticks").select(
         F.concat(F.lit("t"), F.col("symbol")).alias("source"),
@@ -94,7 +105,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
     bars = table(spark, d, "finnhub_bar").select(
         F.concat(F.lit("b"), F.col("resolution").cast("string"), F.lit("|"), F.col("symbol")).alias("source"),
-        normalise_time.epoch_seconds(F.col("timestamp_seconds")).alias("t"),
+        (normalise_time.epoch_seconds(F.col("timestamp_seconds")) * 1000).alias("t"),
         F.col("bar_id").alias("rec_id"),
         F.col("close").alias("price"),
         F.lit(None).cast("double").alias("volume"),
@@ -131,5 +142,5 @@ def p3_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_records, p2_found, p3_found, p3_series, p4_found, p5_found, p7_found)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_hourly, p3_found, p3_series, p4_found, p5_found, p7_found)
 }

@@ -45,10 +45,30 @@ g as (select symbol, resolution, unnest(generate_series(a, z, resolution * 60))
 
 _CODE = "upper(trim({}))"
 
+# readings, one per instant; level and run; measure
+_READINGS = """one as (select f, s, t, arg_min(x, rec) x from r where s is not null and t is not null and x is not null group by all),
+lv as (select *, median(x) over (partition by f, s order by t rows between 10 preceding and 10 following) l,
+  row_number() over (partition by f, s order by t) - row_number() over (partition by f, s, x order by t) g from one),
+m as (select f, s, t, x, t // 3600000 % 24 h, count(*) over (partition by f, s, x, g) run,
+  case when f = 'volume' then x when l = 0 then case when x = 0 then 0 else 'inf'::double end else abs(x - l) / abs(l) end m from lv)"""
+
 SQL = {
     "p1_found": f"{_LINES} select raw_id, reason from c where reason is not null",
     "p1_records": f"""{_LINES} select raw_id, epoch_ms(cast(f[1] as timestamp)) ts_ms, cast(f[2] as double) "open", cast(f[3] as double) high,
   cast(f[4] as double) low, cast(f[5] as double) "close", cast(f[6] as bigint) volume from c where reason is null""",
+    "p2_found": f"""
+with b as (select bar_id, symbol || '|' || resolution s, {_SECONDS} * 1000 t, "close" x from finnhub_bar),
+r as (select 'price_micro_dollars' f, symbol s, timestamp_ms t, tick_id rec, cast(price_micro_dollars as double) x from stock_ticks
+  union all select 'volume', symbol, timestamp_ms, tick_id, cast(volume as double) from stock_ticks union all select 'close', s, t, bar_id, x from b),
+{_READINGS}, q as (select f, s, median(m) q from m group by all)
+select case when f = 'close' then 'finnhub_bar' else 'stock_ticks' end src, rec rec_id, f field from m join q using (f, s) join r using (f, s, t)
+where r.x is not null and (m.x < 0 or (f <> 'volume' and m.x = 0) or run >= 12 or m > q * case when f = 'volume' then 20 else 15 end)""",
+    "p2_hourly": f"""
+with r as (select 'price' f, symbol s, timestamp_ms t, tick_id rec, cast(price_micro_dollars as double) x from stock_ticks),
+{_READINGS}, o as (select s, h, m, row_number() over (partition by s, h order by m) - 1 i, count(*) over (partition by s, h) n from m),
+q as (select s, h, (max(case when i = floor((n - 1) * 0.25) then m end) + max(case when i = ceil((n - 1) * 0.25) then m end)) / 2 a,
+  (max(case when i = floor((n - 1) * 0.75) then m end) + max(case when i = ceil((n - 1) * 0.75) then m end)) / 2 b from o group by all)
+select rec tick_id from m join q using (s, h) join r using (f, s, t) where r.x is not null and (m.x <= 0 or run >= 12 or m > b + (b - a) * 8)""",
     "p3_found": f"{_SLOTS} select symbol, resolution, slot slot_seconds from g anti join h using (symbol, resolution, slot)",
     "p4_found": f"""{_DAILY} select symbol, strftime(date '1970-01-01' + d, '%Y-%m-%d') "day" from t
   where volume_7 / 7 > 2 * volume_30 / 30 and close_avg_7 < 0.995 * close_avg_30""",

@@ -8,7 +8,6 @@ from datetime import UTC, datetime
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import Place, StampParser
@@ -16,15 +15,6 @@ from tidemark.functions.zones import ZoneTable
 from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, trailing
 from tidemark.queries import market
 
-
-class _Most(AccumulatorParam):
-    def zero(self, value):
-        return [0]
-
-    def addInPlace(self, a, b):  # noqa: N802
-        return [max(a[0], b[0])]
-
-
 GOOD = "2021-05-06 14:39:00,1.5,2,-3e2,4.25,76"
 
 
@@ -364,26 +354,17 @@ def test_known_at(spark, bucket, rows):
     assert known_at.known_at(e.union(e), v, **args).count() == 2 * len(want)
 
 
-def test_known_at_is_cut_by_density(spark, monkeypatch):
+def test_known_at_is_cut_by_density(spark):
     """One outlying time and one instant with half of all events: no part holds more than twice what it should."""
-    seen = spark.sparkContext.accumulator([0], _Most())
-    real = np.searchsorted
-
-    def counted(a, v, side="left"):
-        seen.add([len(v)])
-        return real(a, v, side)
-
-    events = spark.range(20_000).selectExpr("id", "'USD' as k", "case when id = 0 then 4102444800000 when id % 2 = 0 then 500000000 else id * 50000 end as at")
-    versions = spark.range(400).selectExpr("id as vid", "'usd' as k", "id * 2500000 as valid", "id * 2500000 + 7 as known", "1.0D as x")
-    args = dict(event_id="id", event_key="k", event_ms="at", version_id="vid", version_key="k", valid_ms="valid", known_ms="known", value="x")
-    monkeypatch.setattr(known_at.np, "searchsorted", counted)
-    cut = known_at.known_at(events, versions, **args, span_rows=500)
-    sizes = cut.groupBy(F.spark_partition_id()).count()
-    assert sizes.agg(F.sum("count")).first()[0] == 20_000
-    monkeypatch.undo()
-    whole = known_at.known_at(events, versions, **args)
+    events = spark.range(20_000).selectExpr("id as event_id", "'USD' as key", "case when id = 0 then 4102444800000 when id % 2 = 0 then 500000000 else id * 50000 end as at")
+    versions = spark.range(400).selectExpr("'USD' as key", "id * 2500000 as valid", "id * 2500000 + 7 as known", "id as version", "1.0D as value", "id * 2500000 + 7 as since")
+    e, v = known_at._parted(events, versions, 500, 60_000)
+    sizes = [r["count"] for r in e.groupBy("key", "span", "part").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000
+    assert v.groupBy("key", "span", "part").count().agg(F.max("count")).first()[0] <= 1000
+    args = dict(event_id="event_id", event_key="key", event_ms="at", version_id="version", version_key="key", valid_ms="valid", known_ms="known", value="value")
+    cut, whole = (known_at.known_at(events, versions.drop("since"), **args, **more) for more in ({"span_rows": 500}, {}))
     assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
-    assert 0 < seen.value[0] <= 1000
 
 
 # --- dense table of bars --------------------------------------------------------------------

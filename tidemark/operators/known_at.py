@@ -15,6 +15,32 @@ SPAN_ROWS = 100_000
 BUCKET_MS = 60_000
 
 
+def _parted(e: DataFrame, v: DataFrame, span_rows: int, bucket_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Events and the versions they may need, both with key, span and part; a part is one task's work."""
+    e = e.withColumn("bucket", F.floor(F.col("at") / bucket_ms))
+    v = v.withColumn("bucket", F.floor(F.col("since") / bucket_ms))
+    counted = e.select("key", "bucket", F.lit(1).alias("e")).unionByName(v.select("key", "bucket", F.lit(0).alias("e")))
+    counted = counted.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / span_rows)
+    spans = counted.select("key", "bucket", "e", cut.alias("span"))
+    together = Window.partitionBy("key", "span")
+    spans = spans.select("key", "bucket", "span", F.ceil(F.sum("e").over(together) / span_rows).alias("parts"), F.min("bucket").over(together).alias("begin"))
+    spans = spans.withColumn("parts", F.greatest("parts", F.lit(1)).cast("int"))
+    e = e.join(spans, ["key", "bucket"]).withColumn("part", F.pmod(F.xxhash64("event_id", "at"), F.col("parts")).cast("int"))
+    v = v.join(spans, ["key", "bucket"])
+    best = F.max(F.struct("valid", "known", "version", "value"))
+    whole = spans.groupBy("key", "span").agg(F.max("parts").alias("parts"), F.min("begin").alias("begin"))
+    tops = whole.join(v.groupBy("key", "span").agg(best.alias("best")), ["key", "span"], "left")
+    before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select("key", "span", "parts", "begin", F.max("best").over(before).alias("best")).where(F.col("best").isNotNull())
+    carry = carry.select("key", "span", "parts", "best.*", (F.col("begin") * bucket_ms - 1).cast("long").alias("since"))
+    usable = v.drop("bucket", "begin").unionByName(carry).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # both sides have columns of one origin, which aliases tell apart
+    usable = usable.select(*(F.col(c).alias(c) for c in ("key", "span", "part", "valid", "known", "version", "value", "since")))
+    return e.select(*(F.col(c).alias(c) for c in ("event_id", "at", "key", "span", "part"))), usable
+
+
 def known_at(
     events: DataFrame,
     versions: DataFrame,
@@ -60,25 +86,7 @@ def known_at(
         F.col(f"`{value}`").cast("double").alias("value"),
     ).dropna()
     v = v.withColumn("since", F.greatest("valid", "known"))
-    e = e.withColumn("bucket", F.floor(F.col("at") / bucket_ms))
-    v = v.withColumn("bucket", F.floor(F.col("since") / bucket_ms))
-    counted = e.select("key", "bucket", F.lit(1).alias("e")).unionByName(v.select("key", "bucket", F.lit(0).alias("e")))
-    counted = counted.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / span_rows)
-    spans = counted.select("key", "bucket", "e", cut.alias("span"))
-    together = Window.partitionBy("key", "span")
-    spans = spans.select("key", "bucket", "span", F.ceil(F.sum("e").over(together) / span_rows).alias("parts"), F.min("bucket").over(together).alias("begin"))
-    spans = spans.withColumn("parts", F.greatest("parts", F.lit(1)).cast("int"))
-    e = e.join(spans, ["key", "bucket"]).withColumn("part", F.pmod(F.xxhash64("event_id", "at"), F.col("parts")).cast("int"))
-    v = v.join(spans, ["key", "bucket"])
-    best = F.max(F.struct("valid", "known", "version", "value"))
-    whole = spans.groupBy("key", "span").agg(F.max("parts").alias("parts"), F.min("begin").alias("begin"))
-    tops = whole.join(v.groupBy("key", "span").agg(best.alias("best")), ["key", "span"], "left")
-    before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tops.select("key", "span", "parts", "begin", F.max("best").over(before).alias("best")).where(F.col("best").isNotNull())
-    carry = carry.select("key", "span", "parts", "best.*", (F.col("begin") * bucket_ms - 1).cast("long").alias("since"))
-    usable = v.drop("bucket", "begin").unionByName(carry).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    e, usable = _parted(e, v, span_rows, bucket_ms)
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["since"], kind="stable", ignore_index=True)
@@ -94,11 +102,8 @@ def known_at(
         )
 
     kind = dict(e.dtypes)["event_id"]
-    # both sides have columns of one origin, which aliases tell apart
-    usable = usable.select(*(F.col(c).alias(c) for c in ("key", "span", "part", "valid", "known", "version", "value", "since")))
     out = (
-        e.select(*(F.col(c).alias(c) for c in ("event_id", "at", "key", "span", "part")))
-        .groupBy("key", "span", "part")
+        e.groupBy("key", "span", "part")
         .cogroup(usable.groupBy("key", "span", "part"))
         .applyInPandas(match, f"event_id {kind}, at long, version long, value double")
     )

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, same_rows
+from tests.llm import held_out
 from tidemark.llm import encode, nearest, packing, pii, queries, queries_sql
 
 
@@ -257,3 +261,58 @@ def test_only_this_folder_uses_it():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "tidemark.llm" not in p.read_text(), p
+
+
+def test_held_out_sentences():
+    """Recall and precision on sentences whose names and addresses stand in no list, by the model of another corpus."""
+    known = {pii.plain(g) for g in pii.GIVEN_NAMES}
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    counts = Counter((k, v) for t in texts for _, _, k, v in pii.candidates(t))
+    model = pii.fit([(k, v, n) for (k, v), n in counts.items()])
+    true, hit, wrong = Counter(), Counter(), 0
+    sentences = held_out.sentences()
+    assert len(sentences) >= 200
+    for text, items in sentences:
+        got = [(pii.KINDS[k], text[a:b]) for a, b, k in pii.choose(pii.candidates(text), model)]
+        for kind, item in items:
+            assert kind != "name" or pii.plain(item.split(" ")[0]) not in known
+            true[kind] += 1
+            hit[kind] += (kind, item) in got
+        wrong += len(set(got) - set(items))
+    assert sum(hit.values()) >= 0.9 * sum(true.values()) and all(hit[k] >= 0.9 * true[k] for k in pii.KINDS)
+    assert wrong <= 0.05 * sum(hit.values())
+
+
+def test_choice_is_what_pairwise_comparison_gives():
+    r = random.Random(11)
+    model = pii.SpanClassifier({(k, (v,) * 6): p for k in range(5) for v, p in ((-1, 0.3), (0, 0.7), (1, 0.9))}, ())
+    for _ in range(200):
+        spans = [(a, a + r.randint(1, 9), r.randrange(5), (r.choice((-1, 0, 1)),) * 6) for a in (r.randrange(60) for _ in range(r.randrange(25)))]
+        good = [(a, b, k, model(k, v)) for a, b, k, v in spans if model(k, v) > pii.ACCEPT]
+        apart, kept = [], []
+        for s in sorted((s for s in good if s[2] == 4), key=lambda s: (-s[3], -(s[1] - s[0]), s[0])):
+            apart += [] if any(s[0] < x[1] and x[0] < s[1] for x in apart) else [s]
+        for s in sorted([s for s in good if s[2] != 4] + apart, key=lambda s: (-(s[1] - s[0]), -s[3], s[0], s[2])):
+            kept += [] if any(s[0] < x[1] and x[0] < s[1] for x in kept) else [s]
+        assert pii.choose(spans, model) == sorted(s[:3] for s in kept)
+
+
+def test_long_texts_cost_their_length():
+    """Many items, garbled text without blanks, and runs of one character: twice the text takes about twice the time."""
+    model = pii.fit([])
+    one = {
+        "items": "Call +44 20 7946 0321 or write to a.b@mail.example, Mrs Ada Berg. ",
+        "garbled": "Ã¤Â¸Â­Ã¦â€“â€¡Ã¥Â­â€”",
+        "capitals": "A",
+        "digits": "7",
+        "marks": "�",
+        "dots": "a.",
+    }
+    for name, text in one.items():
+        took = []
+        for n in (60_000, 240_000):
+            began = time.perf_counter()
+            x = text * (n // len(text))
+            pii.choose(pii.candidates(x), model)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.3, (name, took)

@@ -1,58 +1,45 @@
 """Irregular readings onto a regular grid, with gaps filled by a low-rank model.
 
-A source's day is a row of a matrix whose columns are the periods of the day. Rows are packed
-(at most one cell per minute), so that fitting is a narrow scan of packed rows. Alternating
-least squares solves the factors of a row inside the task that holds it; the factors of the
-columns come from normal equations that every task sums up for itself. There are at most
-COLUMNS_MAX columns, whatever the data: only these sums travel, and only the column factors
-go back to the tasks.
+A matrix holds the sources of one resolution in its rows and the periods of one UTC day in its
+columns; a cell is the reading of a source at an instant, so that what the other sources did at
+that instant tells what one without reading did. Alternating least squares factorises each
+matrix on its own: it has at most 1440 columns, and where a day has more than ROWS_MAX sources
+they are dealt to several matrices, so that a matrix is one bounded task whatever the data.
+Observed cells stay exactly as they are, and cells that too little supports stay marked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage
-
 DAY_S = 86_400
 RANK = 2
-ROUNDS = 4
-RIDGE = 0.1
+ROUNDS = 8
+RIDGE = 0.05
+#: Sources of one matrix.
+ROWS_MAX = 4096
 #: Measures relative to the row's median are held within these bounds while fitting.
 CLIP = (0.5, 2.0)
 #: A filled cell needs so many observed cells in its row and so many rows in its column.
 SUPPORT = 2
-#: Periods of a day for all resolutions of whole minutes up to a day.
-COLUMNS = [0, *np.cumsum([1440 // r + 1 for r in range(1, 1441)]).tolist()]
-COLUMNS_MAX = COLUMNS[-1] + 1
-
 
-def column_of(resolution: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Matrix column of a period; longer resolutions than a day share the last one."""
-    short = resolution <= 1440
-    return np.where(short, np.array(COLUMNS)[np.where(short, resolution, 1) - 1] + cell, COLUMNS_MAX - 1)
 
-
-def prior() -> np.ndarray:
+def prior(columns: int) -> np.ndarray:
     """Column factors before fitting: a constant, and the time of day from -1 to 1."""
-    out = np.zeros((COLUMNS_MAX, RANK))
-    out[:, 0] = 1
-    for r in range(1, 1441):
-        a, b = COLUMNS[r - 1], COLUMNS[r]
-        out[a:b, 1] = np.linspace(-1, 1, b - a) if b - a > 1 else 0
+    out = np.ones((columns, RANK))
+    out[:, 1] = np.linspace(-1, 1, columns) if columns > 1 else 0
     return out
 
 
 class _Rows:
-    """The packed rows of one Arrow batch as flat cell arrays."""
+    """The packed rows of one matrix as flat cell arrays."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        cells = batch.column("cells").combine_chunks() if hasattr(batch.column("cells"), "combine_chunks") else batch.column("cells")
+    def __init__(self, table: pa.Table):
+        cells = table.column("cells").combine_chunks()
+        cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells
         counts = np.diff(np.asarray(cells.offsets))
         flat = cells.flatten()
         self.n = len(counts)
@@ -60,7 +47,6 @@ class _Rows:
         self.cell = np.asarray(flat.field("cell")).astype(np.int64)
         close = flat.field("value")
         self.value = np.asarray(close.fill_null(float("nan")), dtype=float)
-        self.resolution = np.asarray(batch.column("resolution")).astype(np.int64)
         usable = np.isfinite(self.value) & (self.value > 0)
         self.u_row, self.u_cell = self.row[usable], self.cell[usable]
         v = self.value[usable]
@@ -75,11 +61,10 @@ class _Rows:
         hi = (begins + self.count // 2)[some]
         self.scale[some] = (s[lo] + s[hi]) / 2
         self.y = np.clip(v / self.scale[self.u_row], *CLIP)
-        self.u_column = column_of(self.resolution[self.u_row], self.u_cell)
 
     def factors(self, columns: np.ndarray) -> np.ndarray:
         """Row factors by ridge regression on the column factors, drawn towards a constant row."""
-        v = columns[self.u_column]
+        v = columns[self.u_cell]
         start = np.zeros(RANK)
         start[0] = 1
         left = np.zeros((self.n, RANK, RANK))
@@ -92,93 +77,56 @@ class _Rows:
         return start + np.linalg.solve(left + RIDGE * np.eye(RANK), right[..., None])[..., 0]
 
 
-_SUMS = "col int, n long, " + ", ".join(f"a{i}{j} double" for i in range(RANK) for j in range(i, RANK)) + ", " + ", ".join(f"b{i} double" for i in range(RANK))
-
-
-def _column_sums(columns: np.ndarray, base: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COLUMNS_MAX)
-        a = {(i, j): np.zeros(COLUMNS_MAX) for i in range(RANK) for j in range(i, RANK)}
-        b = [np.zeros(COLUMNS_MAX) for _ in range(RANK)]
-        for batch in batches:
-            rows = _Rows(batch)
-            enough = (rows.count >= SUPPORT)[rows.u_row]
-            u = rows.factors(columns)[rows.u_row[enough]]
-            at = rows.u_column[enough]
-            off = rows.y[enough] - (u * base[at]).sum(axis=1)
-            n += np.bincount(at, minlength=COLUMNS_MAX)
-            for i in range(RANK):
-                b[i] += np.bincount(at, u[:, i] * off, COLUMNS_MAX)
-                for j in range(i, RANK):
-                    a[i, j] += np.bincount(at, u[:, i] * u[:, j], COLUMNS_MAX)
-        used = np.flatnonzero(n)
-        yield pa.record_batch(
-            [pa.array(used.astype(np.int32)), pa.array(n[used].astype(np.int64)), *(pa.array(x[used]) for x in a.values()), *(pa.array(x[used]) for x in b)],
-            names=["col", "n", *(f"a{i}{j}" for i, j in a), *(f"b{i}" for i in range(RANK))],
-        )
-
-    return run
-
-
-def fit_columns(packed: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(column factors, rows seen per column) by alternating least squares over all packed rows."""
-    base = prior()
-    columns, seen = base, np.zeros(COLUMNS_MAX, np.int64)
+def factorise(rows: _Rows, base: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(column factors, rows seen per column) of a matrix by alternating least squares."""
+    n = len(base)
+    enough = (rows.count >= SUPPORT)[rows.u_row]
+    row, at, y = rows.u_row[enough], rows.u_cell[enough], rows.y[enough]
+    seen = np.bincount(at, minlength=n)
+    columns = base
     for _ in range(rounds):
-        sums = packed.select("resolution", "cells").mapInArrow(_column_sums(columns, base), _SUMS)
-        # at most COLUMNS_MAX rows come back
-        total = sums.groupBy("col").agg(*(F.sum(c).alias(c) for c in sums.columns[1:])).toPandas()
-        at = total["col"].to_numpy()
-        left = np.zeros((len(at), RANK, RANK))
+        u = rows.factors(columns)[row]
+        off = y - (u * base[at]).sum(axis=1)
+        left, right = np.zeros((n, RANK, RANK)), np.zeros((n, RANK))
         for i in range(RANK):
+            right[:, i] = np.bincount(at, u[:, i] * off, n)
             for j in range(i, RANK):
-                left[:, i, j] = left[:, j, i] = total[f"a{i}{j}"].to_numpy()
-        right = np.stack([total[f"b{i}"].to_numpy() for i in range(RANK)], axis=1)
-        columns = base.copy()
-        if len(at):
-            columns[at] = base[at] + np.linalg.solve(left + RIDGE * np.eye(RANK), right[..., None])[..., 0]
-        seen = np.zeros(COLUMNS_MAX, np.int64)
-        seen[at] = total["n"].to_numpy()
+                left[:, i, j] = left[:, j, i] = np.bincount(at, u[:, i] * u[:, j], n)
+        columns = base + np.linalg.solve(left + RIDGE * np.eye(RANK), right[..., None])[..., 0]
     return columns, seen
 
 
-def _fill(columns: np.ndarray, seen: np.ndarray, only_gaps: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _Rows(batch)
-            begins = np.flatnonzero(np.r_[True, rows.row[1:] != rows.row[:-1]])
-            first, last = np.minimum.reduceat(rows.cell, begins), np.maximum.reduceat(rows.cell, begins)
-            length = last - first + 1
-            start = np.cumsum(length) - length
-            row = np.repeat(np.arange(rows.n), length)
-            cell = np.arange(length.sum()) - start[row] + first[row]
-            value = np.full(len(row), np.nan)
-            held = np.zeros(len(row), bool)
-            at = start[rows.row] + rows.cell - first[rows.row]
-            held[at], value[at] = True, rows.value
-            column = column_of(rows.resolution[row], cell)
-            backed = (rows.count[row] >= SUPPORT) & (seen[column] >= SUPPORT)
-            guess = (rows.factors(columns)[row] * columns[column]).sum(axis=1) * rows.scale[row]
-            gap = ~held
-            value = np.where(gap & backed, guess, value)
-            state = np.where(held, 0, np.where(backed, 1, 2))
-            out = np.flatnonzero(gap) if only_gaps else np.arange(len(row))
-            step = rows.resolution[row[out]] * 60
-            day = np.asarray(batch.column("day")).astype(np.int64)[row[out]]
-            slot = -(-day * DAY_S // step) * step + cell[out] * step
-            take = pa.array(row[out])
-            yield pa.record_batch(
-                [
-                    batch.column("source").take(take),
-                    pa.array(rows.resolution[row[out]]),
-                    pa.array(slot),
-                    pa.array(value[out], mask=np.isnan(value[out])),
-                    pa.array(["observed", "filled", "unsupported"]).take(pa.array(state[out])),
-                ],
-                names=["source", "resolution", "slot_seconds", "value", "state"],
-            )
+def _fill(only_gaps: bool):
+    def run(table: pa.Table) -> pa.Table:
+        rows = _Rows(table)
+        resolution, day = table.column("resolution")[0].as_py(), table.column("day")[0].as_py()
+        step = resolution * 60
+        columns, seen = factorise(rows, prior(max(int(rows.cell.max()) + 1, DAY_S // step)))
+        begins = np.flatnonzero(np.r_[True, rows.row[1:] != rows.row[:-1]])
+        first, last = np.minimum.reduceat(rows.cell, begins), np.maximum.reduceat(rows.cell, begins)
+        length = last - first + 1
+        start = np.cumsum(length) - length
+        row = np.repeat(np.arange(rows.n), length)
+        cell = np.arange(length.sum()) - start[row] + first[row]
+        value = np.full(len(row), np.nan)
+        held = np.zeros(len(row), bool)
+        at = start[rows.row] + rows.cell - first[rows.row]
+        held[at], value[at] = True, rows.value
+        backed = (rows.count[row] >= SUPPORT) & (seen[cell] >= SUPPORT)
+        guess = (rows.factors(columns)[row] * columns[cell]).sum(axis=1) * rows.scale[row]
+        value = np.where(~held & backed, guess, value)
+        state = np.where(held, 0, np.where(backed, 1, 2))
+        out = np.flatnonzero(~held) if only_gaps else np.arange(len(row))
+        slot = -(-day * DAY_S // step) * step + cell[out] * step
+        return pa.table(
+            {
+                "source": table.column("source").take(pa.array(row[out])),
+                "resolution": pa.array(np.full(len(out), resolution)),
+                "slot_seconds": pa.array(slot),
+                "value": pa.array(value[out], mask=np.isnan(value[out])),
+                "state": pa.array(["observed", "filled", "unsupported"]).take(pa.array(state[out])),
+            }
+        )
 
     return run
 
@@ -201,7 +149,7 @@ def pack(df: DataFrame, source: Column, resolution: Column, seconds: Column, val
 
 
 def regular_grid(
-    df: DataFrame, source: Column, resolution: Column, seconds: Column, value: Column, tie: Column, only_gaps: bool = False
+    df: DataFrame, source: Column, resolution: Column, seconds: Column, value: Column, tie: Column, only_gaps: bool = False, rows_max: int = ROWS_MAX
 ) -> DataFrame:
     """(source, resolution, slot_seconds, value, state): an even series of periods.
 
@@ -210,11 +158,14 @@ def regular_grid(
     state is `observed` where a period holds one: its value is the last one that is not null,
     exactly as it is, or null if there is none. Periods without reading are `filled` from the
     low-rank model, or `unsupported` with a null value where the row or the column has fewer
-    than SUPPORT usable cells. Readings that are not positive and finite take no part in
-    fitting. Rows without source, resolution (or with one below 1) or time do not count.
-    An empty table gives an empty result.
+    than SUPPORT usable cells. A row is a source's day, a column an instant; a column counts the
+    rows of its matrix that have SUPPORT usable cells. Readings that are not positive and finite
+    take no part in fitting. Rows without source, resolution (or with one below 1) or time do
+    not count. An empty table gives an empty result.
     """
-    packed = stage(pack(df, source, resolution, seconds, value, tie), "grid")
-    columns, seen = fit_columns(packed)
+    packed = pack(df, source, resolution, seconds, value, tie)
+    # one row for each resolution and day
+    sizes = packed.groupBy("resolution", "day").agg(F.ceil(F.count("*") / rows_max).cast("int").alias("parts"))
+    dealt = packed.join(sizes, ["resolution", "day"]).withColumn("part", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int"))
     schema = "source string, resolution long, slot_seconds long, value double, state string"
-    return packed.mapInArrow(_fill(columns, seen, only_gaps), schema)
+    return dealt.drop("parts").groupBy("resolution", "day", "part").applyInArrow(_fill(only_gaps), schema)

@@ -137,10 +137,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, True).select("symbol", "resolution", "slot_seconds")
 
 
+def p3_states(spark: SparkSession, d: str) -> DataFrame:
+    """The series with what is certain of it: the state of each period, and the values that are observed."""
+    out = _grid(spark, d, False)
+    return out.withColumn("value", F.when(F.col("state") == "observed", F.col("value")))
+
+
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, False)
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_hourly, p3_found, p3_series, p4_found, p5_found, p7_found)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_hourly, p3_found, p3_series, p3_states, p4_found, p5_found, p7_found)
 }

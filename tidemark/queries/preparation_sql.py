@@ -70,6 +70,15 @@ q as (select s, h, (max(case when i = floor((n - 1) * 0.25) then m end) + max(ca
   (max(case when i = floor((n - 1) * 0.75) then m end) + max(case when i = ceil((n - 1) * 0.75) then m end)) / 2 b from o group by all)
 select rec tick_id from m join q using (s, h) join r using (f, s, t) where r.x is not null and (m.x <= 0 or run >= 12 or m > b + (b - a) * 8)""",
     "p3_found": f"{_SLOTS} select symbol, resolution, slot slot_seconds from g anti join h using (symbol, resolution, slot)",
+    "p3_states": f"""
+with b as (select symbol, resolution, {_SECONDS} s, "close" c, bar_id from finnhub_bar where symbol is not null and resolution > 0),
+h as (select symbol, resolution, s - s % (resolution * 60) slot, arg_max(c, case when c is not null then struct_pack(s := s, i := bar_id) end) c from b where s is not null group by all),
+r as (select symbol, resolution, slot // 86400 d, min(slot) a, max(slot) z, count(*) filter (where c > 0 and isfinite(c)) n from h group by all),
+k as (select h.resolution, slot, count(*) n from h join r on h.symbol = r.symbol and h.resolution = r.resolution and slot // 86400 = d where c > 0 and isfinite(c) and r.n >= 2 group by all),
+g as (select symbol, resolution, n, unnest(generate_series(a, z, resolution * 60)) slot from r)
+select g.symbol, g.resolution, g.slot slot_seconds, h.c "value",
+  case when h.slot is not null then 'observed' when g.n >= 2 and k.n >= 2 then 'filled' else 'unsupported' end state
+from g left join h on g.symbol = h.symbol and g.resolution = h.resolution and g.slot = h.slot left join k on k.resolution = g.resolution and k.slot = g.slot""",
     "p4_found": f"""{_DAILY} select symbol, strftime(date '1970-01-01' + d, '%Y-%m-%d') "day" from t
   where volume_7 / 7 > 2 * volume_30 / 30 and close_avg_7 < 0.995 * close_avg_30""",
     "p7_found": f"""

@@ -2,8 +2,8 @@
 
 Lines go in blocks through a columnar parse (one regular expression and a cast of each column
 over a whole Arrow array). A block in which anything fails is cut in two, again and again; what
-is left of it at the size of a leaf is read line by line by a strict parser, which alone decides
-that a line is bad, and why. The operator is a narrow map: no shuffle, and a task holds one
+is left of it at the size of a leaf is read line by line by a strict parser, as are lines that have
+not the plain form. That parser alone decides that a line is bad, and why. The operator is a narrow map: no shuffle, and a task holds one
 Arrow batch at a time.
 """
 
@@ -65,7 +65,7 @@ class _Block:
         self.lines = lines
         parts = pc.extract_regex(lines, _BLOCK)
         field = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
-        self.odd = np.concatenate([[0], np.cumsum(np.asarray(field["volume"].is_null()))])
+        self.odd = np.asarray(field["volume"].is_null())
         self.stamp = field["date_time"]
         self.texts = [field[c] for c in (*PRICES, "volume")]
         self.numbers: list[np.ndarray] | None = None
@@ -79,11 +79,10 @@ class _Block:
         return [np.asarray(pc.fill_null(pc.cast(t[a:b], k), 0)) for t, k in zip(self.texts, kinds, strict=True)]
 
     def part(self, a: int, b: int) -> tuple[np.ndarray, list[np.ndarray]] | None:
-        """(microseconds, numbers) of lines a..b - 1, or None if any of them is not plainly valid."""
-        if self.odd[b] > self.odd[a]:
-            return None
+        """(microseconds, numbers) of lines a..b - 1, with anything on odd ones, or None if some field of
+        them has the form but not the value."""
         try:
-            seconds = np.asarray(pc.cast(pc.cast(self.stamp[a:b], pa.timestamp("s")), pa.int64()))
+            seconds = np.asarray(pc.fill_null(pc.cast(pc.cast(self.stamp[a:b], pa.timestamp("s")), pa.int64()), 0))
             numbers = self._cast(a, b) if self.numbers is None else [x[a:b] for x in self.numbers]
         except pa.ArrowInvalid:
             return None
@@ -126,8 +125,9 @@ def parse_line(line: str | None) -> tuple:
 def parse_lines(lines: pa.Array, leaf: int = LEAF_LINES) -> pa.RecordBatch:
     """A block as typed columns with the reasons of its bad lines.
 
-    The block is taken as a whole if all of it is plainly valid; else it is cut in two, again and
-    again, down to `leaf` lines, which the strict parser reads.
+    The regular expression names the lines that have not the plain form: these the strict parser
+    reads. All others are taken as a whole if their fields can be cast; else the block is cut in
+    two, again and again, down to `leaf` lines, which the strict parser reads as well.
     """
     n = len(lines)
     block = _Block(lines)
@@ -135,23 +135,27 @@ def parse_lines(lines: pa.Array, leaf: int = LEAF_LINES) -> pa.RecordBatch:
     numbers = [*(np.zeros(n) for _ in PRICES), np.zeros(n, np.int64)]
     reasons: list[str | None] = [None] * n
     todo = [(0, n)] if n else []
+    strict = block.odd.copy()
     while todo:
         a, b = todo.pop()
         if (good := block.part(a, b)) is not None:
-            stamp[a:b], valid[a:b] = good[0], True
+            stamp[a:b], valid[a:b] = good[0], ~block.odd[a:b]
             for to, x in zip(numbers, good[1], strict=True):
                 to[a:b] = x
         elif b - a > leaf:
             half = (a + b) // 2
             todo += [(a, half), (half, b)]
         else:
-            for i, line in enumerate(lines[a:b].to_pylist(), a):
-                at, *values, reason = parse_line(line)
-                if reason is None:
-                    stamp[i], valid[i] = (at - _EPOCH) // _MICROSECOND, True
-                    for to, v in zip(numbers, values, strict=True):
-                        to[i] = v
-                reasons[i] = reason
+            strict[a:b] = True
+    at_odds = np.flatnonzero(strict)
+    for i, line in zip(at_odds.tolist(), lines.take(pa.array(at_odds)).to_pylist(), strict=True):
+        at, *values, reason = parse_line(line)
+        valid[i] = reason is None
+        if reason is None:
+            stamp[i] = (at - _EPOCH) // _MICROSECOND
+            for to, v in zip(numbers, values, strict=True):
+                to[i] = v
+        reasons[i] = reason
     bad = ~valid
     columns = [pa.array(stamp, mask=bad).cast(pa.timestamp("us")), *(pa.array(x, mask=bad) for x in numbers), pa.array(reasons, pa.string())]
     return pa.record_batch(columns, schema=_ARROW)

@@ -250,3 +250,29 @@ def pack(sizes: DataFrame, item: str, length: str, capacity: int = CAPACITY, sha
     kind = dict(pieces.dtypes)["item"]
     out = ranked.mapInPandas(assign, f"item {kind}, part int, tokens int, container long")
     return out.withColumnRenamed("item", item)
+
+
+def kept(sizes: DataFrame, packed: DataFrame, item: str, length: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row of what must hold of a packing: containers over their capacity, tokens lost (or, below
+    zero, gained), items that are split though they would fit, items whose parts do not follow
+    each other, and whether there are at most 1 % (and one) more containers than tokens fill. Ids
+    must be unique."""
+    boxes = packed.groupBy("container").agg(F.sum("tokens").alias("held"))
+    over = boxes.agg(F.count_if(F.col("held") > capacity).alias("over_full"), F.count("*").alias("boxes"), F.sum("held").alias("held"))
+    wanted = sizes.where(F.col(length) >= 1).agg(F.sum(length).alias("wanted"))
+    parts = packed.groupBy(item).agg(F.count("*").alias("n"), F.max("part").alias("last"), F.countDistinct("part").alias("parts"), F.sum("tokens").alias("size"))
+    cut = parts.agg(
+        F.count_if((F.col("n") > 1) & (F.col("size") <= capacity)).alias("split"),
+        F.count_if((F.col("last") != F.col("n") - 1) | (F.col("parts") != F.col("n"))).alias("gaps"),
+    )
+    # three tables of one row each, side by side
+    one = F.lit(1).alias("_one")
+    all_of = over.select("*", one).join(wanted.select("*", one), "_one").join(cut.select("*", one), "_one")
+    least = F.ceil(F.col("wanted") / capacity)
+    return all_of.select(
+        "over_full",
+        (F.coalesce("wanted", F.lit(0)) - F.coalesce("held", F.lit(0))).cast("long").alias("lost"),
+        "split",
+        "gaps",
+        F.coalesce(F.col("boxes") <= least * 1.01 + 1, F.lit(True)).alias("near_least"),
+    )

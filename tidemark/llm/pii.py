@@ -108,11 +108,14 @@ _BEFORE_PHONE, _BEFORE_ID, _NO_PERSON, _BEFORE_ADDRESS = set(PHONE_BEFORE), set(
 # One step between two parts of an item: a blank, or the break of a line.
 _GAP = r"(?:[  ]|\r?\n)"
 # Characters of a word, also of a garbled one: letters, apostrophe, and what wrong decoding leaves.
-_IN = r"[^\W\d_]|['’­�\u0080-¿‘-›ˆ˜ƒ€™Š‹ŒŽ]|(?<=[ÃÅ])[^\s\w]|\?(?=[a-zà-ÿ])"
+# The cases exclude each other: where two take the same character, a failed match would try all combinations.
+_ODD = r"['’­�\u0080-¿‘-›ˆ˜ƒ€™Š‹ŒŽ]"
+_IN = rf"[^\W\d_]|{_ODD}|(?<=[ÃÅ])(?!{_ODD})[^\s\w]|\?(?=[a-zà-ÿ])"
 _UPPER = r"[A-ZÀ-ÖØ-ÞĀŁŚŻŽŠČ]|�{1,2}(?=[A-Za-z])|\?(?=[a-z])"
-#: A word of an item is no longer, so that text without any blank costs no more than its length.
+#: A word of an item is no longer, and no part of it is given back, so that text without any blank costs no
+#: more than its length.
 LONGEST = 40
-_CAP = rf"(?:{_UPPER})(?:{_IN}){{1,{LONGEST}}}"
+_CAP = rf"(?:{_UPPER})(?:{_IN}){{1,{LONGEST}}}+"
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
 _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?|\s(?:DOT|dot)\s)"
@@ -137,17 +140,17 @@ ID = re.compile(
 )
 
 _COMMA = r"(?:, ?|,?\r?\n|,?[  ])"
-_TOWN = rf"(?:{_IN}){{1,{LONGEST}}}(?:-(?:{_IN}){{1,{LONGEST}}}){{0,4}}"
+_TOWN = rf"(?:{_IN}){{1,{LONGEST}}}+(?:-(?:{_IN}){{1,{LONGEST}}}+){{0,4}}"
 _EN_KIND = r"(?:street|st\b\.?|road|rd\b\.?|avenue|ave\b\.?|lane|ln\b\.?|close|terrace|blvd\b\.?|boulevard|drive|dr\b\.?|court|ct\b\.?|place|pl\b\.?|way|square|sq\b\.?|crescent|gardens|grove)"
 _EN_CODE = r"(?:[A-Z]{2} \d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 ADDRESS_EN = re.compile(
-    rf"(?<![\w-])(?:(?i:flat|apt|apartment|unit|suite)\.? \d+\w?{_COMMA})?\d{{1,5}}[a-zA-Z]?{_GAP}(?:(?:{_IN}){{1,{LONGEST}}}{_GAP}){{1,3}}?(?i:{_EN_KIND})(?!\w)"
+    rf"(?<![\w-])(?:(?i:flat|apt|apartment|unit|suite)\.? \d+\w?{_COMMA})?\d{{1,5}}[a-zA-Z]?{_GAP}(?:(?:{_IN}){{1,{LONGEST}}}+{_GAP}){{1,3}}?(?i:{_EN_KIND})(?!\w)"
     rf"(?:,?{_GAP}?#\s?\d+\w?|,?{_GAP}(?i:apt|apartment|unit|flat|suite)\.?{_GAP}\d+\w?)?"
     rf"(?P<town>(?:,{_GAP}?|\r?\n)(?!\s){_TOWN})?(?P<code>{_COMMA}{_EN_CODE}(?!\w))?"
 )
 _ZIP_TOWN = rf"(?P<code>{_COMMA}\d{{4,5}}{_GAP}{_TOWN})?"
 # A German street is found by its end, and read back from there to the begin of its word.
-_DE_BEGIN = re.compile(rf"(?<!\w)(?:{_UPPER})(?:{_IN}){{0,{LONGEST}}}\Z")
+_DE_BEGIN = re.compile(rf"(?<!\w)(?:{_UPPER})(?:{_IN}){{0,{LONGEST}}}+\Z")
 ADDRESS_DE = re.compile(
     rf"(?i:stra(?:ß|ss|Ã.|�{{1,2}}|\?)e|str\.|weg|platz|gasse|allee|ring|damm|ufer)"
     rf"{_GAP}\d{{1,4}}(?:{_GAP}?[a-z](?!\w))?(?!\d){_ZIP_TOWN}"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import duration as D
 from tidemark.functions import monoids as M
 from tidemark.operators import normalise_time, tables
 from tidemark.plans.graph import Label, Source
@@ -33,6 +34,52 @@ def ticks_candles(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, {"stock_ticks": table(spark, d, "stock_ticks")}, hot_rows=HOT_ROWS).run(out)
 
 
+def ticks_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The candles made of ticks as the events of a job of their own: the volume of their last ten minutes, the
+    volume-weighted price of that time, and the close 15 and 30 minutes later."""
+    ticks = TICKS.filter("price_micro_dollars is not null and volume is not null and symbol is not null").with_time()
+    by_symbol = ticks.map("tick_id", "symbol", "time", "volume", price="price_micro_dollars").key_by("symbol")
+    candle = by_symbol.window_sum("5min", high=M.Max("price"), low=M.Min("price"), close=M.Last("price"), total=M.Sum("volume"), paid=M.Sum("cast(price as double) * volume"))
+    before = by_symbol.latest("time").map(was="time")
+    crossing = by_symbol.pre_lookup(before).post_lookup(candle).filter("was is null or was div 300000 <> time div 300000")
+    candles = crossing.map("tick_id", "symbol", "close", "total", "paid", vwap="paid / nullif(total, 0)", digits="length(cast(close as string))").key_by("symbol")
+    recent = candles.window_sum("10min", total_10=M.Sum("total"), candles_10=M.Count())
+    later = Label.of(candles.latest("close", "total"))
+    label = later.look_forward("15min").map(c15="close", v15="total").zip(later.look_forward("30min").map(c30="close", v30="total"))
+    out = candles.post_lookup(recent).labeled(label).map("tick_id", "digits", "total_10", "candles_10", "v15", "v30", vwap="round(vwap, 3)", c15="c15", c30="c30")
+    return rounded(Engine(spark, {"stock_ticks": table(spark, d, "stock_ticks")}, hot_rows=HOT_ROWS).run(out), "vwap")
+
+
+def candle_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The whole candle job: rates looked up by currency, six decays of linear and logarithmic moments of the
+    close with z-scores, and five labels zipped: turnover and volume of ten minutes from now on,
+    the close and volume 15 and 30 minutes later, and turnover and volume from then on."""
+    candles = table(spark, d, "stock_candles").withColumn("code", code_of(F.col("currency")))
+    rates = table(spark, d, "exchange_rates").withColumn("code", code_of(F.col("base_currency")))
+    rates = rates.where("code is not null and one_quote_in_base is not null")
+    rate = RATES.map("code", rate="one_quote_in_base").key_by("code").latest("rate")
+    priced = CANDLES.map("candle_id", "symbol", "code", "close", "volume").key_by("code").post_lookup(rate).with_time("at_ms")
+    usd = "case when code = 'USD' then close * volume else close * volume / rate end"
+    minute, weekday = (lambda: D.unix_minute_of_day(F.col("at_ms"))), (lambda: D.unix_day_of_week(F.col("at_ms")))
+    rows = priced.map("candle_id", "symbol", "close", "volume", usd=usd, log_close="ln(close + 1e-6)", minute=minute, weekday=weekday).key_by("symbol")
+    moments = rows.sum(**{f"{n}_{x}": M.DecayedMoments.of(c, x) for n, c in (("lin", "close"), ("log", "log_close")) for x in M.DECAYS})
+    ten = Label.of(rows.window_sum("10min", usd_10=M.Sum("usd"), vol_10=M.Sum("volume"))).look_forward("10min")
+    latest = Label.of(rows.latest("close", "volume"))
+    label = ten.map(entry_usd="usd_10", entry_vol="vol_10").zip(latest.look_forward("15min").map(c15="close", v15="volume"))
+    label = label.zip(latest.look_forward("30min").map(c30="close", v30="volume"))
+    label = label.zip(ten.look_forward("15min").map(exit15_usd="usd_10", exit15_vol="vol_10")).zip(ten.look_forward("30min").map(exit30_usd="usd_10", exit30_vol="vol_10"))
+    # where values hardly differ a z-score says nothing
+    score = lambda n, c, x: f"case when {n}_{x}_std < 1e-6 then 0 else ({c} - {n}_{x}_mean) / {n}_{x}_std end"
+    z = {f"{n}_z_{x}": score(n, c, x) for n, c in (("lin", "close"), ("log", "log_close")) for x in M.DECAYS}
+    means = [f"{n}_{x}_mean" for n in ("lin", "log") for x in M.DECAYS]
+    plain = ("entry_vol", "c15", "v15", "c30", "v30", "exit15_vol", "exit30_vol")
+    gains = {"gain15": "c15 / nullif(close, 0) - 1", "gain30": "c30 / nullif(close, 0) - 1"}
+    out = rows.post_lookup(moments).labeled(label).map("candle_id", "minute", "weekday", *plain, "entry_usd", "exit15_usd", "exit30_usd", *means, **z, **gains)
+    out = Engine(spark, {"stock_candles": candles, "exchange_rates": rates}, hot_rows=HOT_ROWS).run(out)
+    out = out.withColumns({n: F.round(F.col(n) + 1.234e-5, 2) for n in ("entry_usd", "exit15_usd", "exit30_usd")})
+    return rounded(out, *means, *z, *gains)
+
+
 def candles_usd(spark: SparkSession, d: str) -> DataFrame:
     """Candles with the latest rate of their currency, turnover of the last three days in dollars,
     and the close a day later: lookups on two keys, a window and a label."""
@@ -132,4 +179,4 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
     return tables.top_k(orders, 25, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
-QUERIES = {f.__name__: f for f in (ticks_candles, candles_usd, bar_history, dense_bars, dense_bars_all, threshold_stats, balance_sim, sort_inputs, diff_rows, top_values)}
+QUERIES = {f.__name__: f for f in (ticks_candles, ticks_targets, candle_targets, candles_usd, bar_history, dense_bars, dense_bars_all, threshold_stats, balance_sim, sort_inputs, diff_rows, top_values)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.functions.duration import parse_duration
+from tidemark.functions.monoids import DECAYS
 from tidemark.queries.engine_sql import _E, _r
 from tidemark.queries.preparation_sql import _SECONDS
 
@@ -25,7 +27,50 @@ _STATS = ", ".join(
     ]
 )
 
+_TICK_CANDLES = f"""e as (select *, timestamp_ms t, price_micro_dollars p from stock_ticks where price_micro_dollars is not null and volume is not null and symbol is not null),
+c as (select symbol, tick_id, t, lag(t) over {_EDGE} was, p "close", coalesce({_tick('sum(volume)')[0]}, 0) + coalesce({_tick('sum(volume)')[1]}, 0) total,
+  coalesce({_tick('sum(p::double * volume)')[0]}, 0) + coalesce({_tick('sum(p::double * volume)')[1]}, 0) paid from e),
+k as (select * from c where was is null or was // 300000 <> t // 300000)"""
+_LENGTHS = {x: parse_duration(x).ms for x in DECAYS}
+_PIVOT = ", ".join(
+    [_r(f"max(case when l = {ms} then {n}m end)", f"{n}_{x}_mean") for n in ("lin", "log") for x, ms in _LENGTHS.items()]
+    + [_r(f"max(case when l = {ms} then case when sqrt({n}v) < 1e-6 then 0 else ({n}x - {n}m) / sqrt({n}v) end end)", f"{n}_z_{x}") for n in ("lin", "log") for x, ms in _LENGTHS.items()]
+)
+_NAMES = ", ".join(f"{n}_{x}_mean, {n}_z_{x}" for n in ("lin", "log") for x in DECAYS)
+
+
+def _ten(x: str) -> str:
+    a, b = _two(f"sum({x})", "symbol", "candle_id", 600_000)
+    return f"coalesce({a}, 0) + coalesce({b}, 0)"
+
+
 SQL = {
+    "ticks_targets": f"""with {_TICK_CANDLES},
+w as (select *, {_two('sum(total)', 'symbol', 'tick_id', 600_000)[0]} t0, {_two('sum(total)', 'symbol', 'tick_id', 600_000)[1]} t1,
+  {_two('count(*)', 'symbol', 'tick_id', 600_000)[0]} + {_two('count(*)', 'symbol', 'tick_id', 600_000)[1]} candles_10 from k),
+l as (select symbol, t, arg_max(struct_pack(c := "close", v := total), tick_id) x from k group by all),
+f as (select w.*, l.x.c c15, l.x.v v15 from w asof join l on w.symbol = l.symbol and w.t + 900000 >= l.t)
+select tick_id, cast(length(cast("close" as varchar)) as int) digits, cast(coalesce(t0, 0) + t1 as bigint) total_10, candles_10, cast(v15 as bigint) v15, cast(l.x.v as bigint) v30,
+{_r('round(paid / nullif(total, 0), 3)', 'vwap')}, c15, l.x.c c30 from f asof join l on f.symbol = l.symbol and f.t + 1800000 >= l.t""",
+    "candle_targets": f"""with r as (select upper(trim(base_currency)) code, timestamp_epoch_millis t, arg_max(one_quote_in_base, rate_id) rate from exchange_rates
+  where base_currency is not null and one_quote_in_base is not null group by all),
+c as (select candle_id, symbol, upper(trim(currency)) code, "close", volume, candle_end_epoch_millis t from stock_candles),
+e as (select c.*, ln("close" + 1e-6) lc, case when c.code = 'USD' then "close" * volume else "close" * volume / rate end usd from c asof left join r on c.code = r.code and c.t >= r.t),
+le as (select unnest([{', '.join(map(str, _LENGTHS.values()))}]) l),
+p as (select a.candle_id i, l, b."close" x, b.lc y, exp(-(a.t - b.t) / l::double) w from e a join e b on a.symbol = b.symbol and (b.t < a.t or b.t = a.t and b.candle_id <= a.candle_id), le where b."close" is not null),
+m as (select i, l, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my from p where w > 0 group by all),
+q as (select p.i, p.l, any_value(mx) linm, any_value(my) logm, sum(w * (x - mx) * (x - mx)) / sum(w) linv, sum(w * (y - my) * (y - my)) / sum(w) logv from p join m on p.i = m.i and p.l = m.l where w > 0 group by all),
+z as (select e.candle_id, {_PIVOT} from (select candle_id, "close" linx, lc logx from e) e left join q on candle_id = i group by all),
+w as (select *, {_ten('usd')} u, {_ten('volume')} v from e),
+o as (select symbol, t, arg_max(struct_pack(u := u, v := v), candle_id) x, arg_max(struct_pack(c := "close", v := volume), candle_id) y from w group by all),
+f1 as (select w.candle_id, w.symbol, w.t, w."close", o.x.u entry_usd, o.x.v entry_vol from w asof join o on w.symbol = o.symbol and w.t + 600000 >= o.t),
+f2 as (select f1.*, o.y.c c15, o.y.v v15 from f1 asof join o on f1.symbol = o.symbol and f1.t + 900000 >= o.t),
+f3 as (select f2.*, o.y.c c30, o.y.v v30 from f2 asof join o on f2.symbol = o.symbol and f2.t + 1800000 >= o.t),
+f4 as (select f3.*, o.x.u exit15_usd, o.x.v exit15_vol from f3 asof join o on f3.symbol = o.symbol and f3.t + 1500000 >= o.t),
+f5 as (select f4.*, o.x.u exit30_usd, o.x.v exit30_vol from f4 asof join o on f4.symbol = o.symbol and f4.t + 2400000 >= o.t)
+select candle_id, t % 86400000 // 60000 "minute", t % 604800000 // 86400000 weekday, entry_vol, c15, v15, c30, v30, exit15_vol, exit30_vol,
+round(entry_usd + 1.234e-5, 2) entry_usd, round(exit15_usd + 1.234e-5, 2) exit15_usd, round(exit30_usd + 1.234e-5, 2) exit30_usd,
+{_r('c15 / nullif("close", 0) - 1', 'gain15')}, {_r('c30 / nullif("close", 0) - 1', 'gain30')}, {_NAMES} from f5 join z using (candle_id)""",
     "ticks_candles": f"""with e as (select *, timestamp_ms t, price_micro_dollars p from stock_ticks where price_micro_dollars is not null and volume is not null and symbol is not null),
 c as (select symbol, tick_id, t, lag(t) over {_EDGE} was, p "close",
 coalesce({_tick('arg_min(p, struct_pack(t := t, i := tick_id))')[0]}, first_value(p) over (partition by symbol, t order by tick_id)) "open",

@@ -68,8 +68,8 @@ def candle_targets(spark: SparkSession, d: str) -> DataFrame:
     label = ten.map(entry_usd="usd_10", entry_vol="vol_10").zip(latest.look_forward("15min").map(c15="close", v15="volume"))
     label = label.zip(latest.look_forward("30min").map(c30="close", v30="volume"))
     label = label.zip(ten.look_forward("15min").map(exit15_usd="usd_10", exit15_vol="vol_10")).zip(ten.look_forward("30min").map(exit30_usd="usd_10", exit30_vol="vol_10"))
-    # where values hardly differ a z-score says nothing
-    score = lambda n, c, x: f"case when {n}_{x}_std < 1e-6 then 0 else ({c} - {n}_{x}_mean) / {n}_{x}_std end"
+    # where values differ by less than a thousandth a z-score says nothing
+    score = lambda n, c, x: f"case when {n}_{x}_std < 1e-3 * abs({n}_{x}_mean) then 0 else ({c} - {n}_{x}_mean) / {n}_{x}_std end"
     z = {f"{n}_z_{x}": score(n, c, x) for n, c in (("lin", "close"), ("log", "log_close")) for x in M.DECAYS}
     means = [f"{n}_{x}_mean" for n in ("lin", "log") for x in M.DECAYS]
     plain = ("entry_vol", "c15", "v15", "c30", "v30", "exit15_vol", "exit30_vol")

@@ -34,7 +34,7 @@ k as (select * from c where was is null or was // 300000 <> t // 300000)"""
 _LENGTHS = {x: parse_duration(x).ms for x in DECAYS}
 _PIVOT = ", ".join(
     [_r(f"max(case when l = {ms} then {n}m end)", f"{n}_{x}_mean") for n in ("lin", "log") for x, ms in _LENGTHS.items()]
-    + [_r(f"max(case when l = {ms} then case when sqrt({n}v) < 1e-6 then 0 else ({n}x - {n}m) / sqrt({n}v) end end)", f"{n}_z_{x}") for n in ("lin", "log") for x, ms in _LENGTHS.items()]
+    + [_r(f"max(case when l = {ms} then case when sqrt({n}v) < 1e-3 * abs({n}m) then 0 else ({n}x - {n}m) / sqrt({n}v) end end)", f"{n}_z_{x}") for n in ("lin", "log") for x, ms in _LENGTHS.items()]
 )
 _NAMES = ", ".join(f"{n}_{x}_mean, {n}_z_{x}" for n in ("lin", "log") for x in DECAYS)
 

@@ -10,10 +10,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, same_rows
-from tidemark.queries import engine, engine_sql, market, market_sql, preparation, preparation_sql
+from tidemark.queries import engine, engine_sql, interchange, market, market_sql, preparation, preparation_sql
 
-QUERIES = engine.QUERIES | market.QUERIES | preparation.QUERIES
-SQL = engine_sql.SQL | market_sql.SQL | preparation_sql.SQL
+QUERIES = engine.QUERIES | market.QUERIES | preparation.QUERIES | interchange.QUERIES
+SQL = engine_sql.SQL | market_sql.SQL | preparation_sql.SQL | interchange.SQL
 
 
 @pytest.fixture(scope="module")

@@ -62,11 +62,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     table is columnar and compressed, and later scans prune its columns.
     """
     spark = df.sparkSession
-    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clear_stages deletes."""
+    return f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _stages(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 

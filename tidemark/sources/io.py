@@ -56,6 +56,11 @@ def read_zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> Dat
     Archives spread over tasks, and a member is streamed line by line; an archive itself is read
     whole by one task, as the format has its directory at the end.
     """
+    return zip_members(spark.read.format("binaryFile").load(path).select("path", "content"), pattern)
+
+
+def zip_members(files: DataFrame, pattern: str = ".*") -> DataFrame:
+    """The same of archives that are rows (path, content) already."""
     import re
 
     wanted = re.compile(pattern)
@@ -75,7 +80,6 @@ def read_zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> Dat
                             if rows:
                                 yield _lines(archive, member, rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "archive string, member string, line_no long, line string")
 
 

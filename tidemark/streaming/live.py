@@ -28,7 +28,11 @@ def with_event_time(df: DataFrame, ts_ms: str, delay: Duration | str) -> DataFra
 
 
 class _Running(StatefulProcessor):
-    """Buffer to the watermark, fold in order, emit with the state before and after."""
+    """Buffer to the watermark, fold in order, emit with the state before and after.
+
+    A key has one timer, for its earliest row that waits: when it goes off everything up to the
+    watermark is taken at once, so that what waits is read and written once a batch. Rows that
+    come behind the watermark come out at once, marked, and change no state."""
 
     def __init__(self, keys: list[str], ts: str, order: str, value: str, zero: float, combine: Callable[[Any, Any], Any], ahead: int | None):
         self.keys, self.ts, self.order, self.value = keys, ts, order, value
@@ -39,47 +43,74 @@ class _Running(StatefulProcessor):
         row = T.StructType([T.StructField("at", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("v", T.DoubleType())])
         self.waiting = handle.getListState("waiting", row)
         self.probes = handle.getListState("probes", row)
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
         self.state = handle.getValueState("state", T.StructType([T.StructField("s", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        late = timerValues.getCurrentWatermarkInMs()
-        times = set()
+        mark = timerValues.getCurrentWatermarkInMs()
+        late, first = [], None
         for pdf in rows:
             for at, order, v in zip(pdf[self.ts], pdf[self.order], pdf[self.value], strict=True):
-                if at < late:
+                if at < mark:
+                    late.append((*key, int(at), int(order), None, None, True))
                     continue
                 row = (int(at), int(order), float(v))
                 self.waiting.appendValue(row)
-                times.add(int(at))
                 if self.ahead is not None:
                     self.probes.appendValue(row)
-                    times.add(int(at) + self.ahead)
-        for t in times:
-            self.handle.registerTimer(t + 1)
-        yield pd.DataFrame()
+                first = row[0] if first is None else min(first, row[0])
+        if first is not None:
+            self._wake(first + 1)
+        yield self._frame(late)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        if not rows:
+            return pd.DataFrame()
+        out = pd.DataFrame(rows, columns=[*self.keys, "ts_ms", "ord", "before", "after", "late"])
+        return out.astype({"before": "float64", "after": "float64"})
+
+    def _wake(self, at: int) -> None:
+        """Sets the timer of the key, unless an earlier one is set."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and old <= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = expiredTimerInfo.getExpiryTimeInMs() - 1
+        self.timer.clear()
+        done = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - 1
         held = sorted(tuple(r) for r in self.waiting.get())
+        asked = sorted(tuple(r) for r in self.probes.get()) if self.ahead is not None else []
         ready = [r for r in held if r[0] <= done]
+        due = [r for r in asked if r[0] + self.ahead <= done]
         state = self.state.get()[0] if self.state.exists() else self.zero
-        out = []
-        for at, order, v in ready:
+        out, i = [], 0
+        for at, order, v in ready if self.ahead is None else ():
             before, state = state, self.combine(state, v)
-            if self.ahead is None:
-                out.append((*key, at, order, before, state))
+            out.append((*key, at, order, before, state, False))
+        for at, order, _ in due:  # each with the state of its own later time
+            while i < len(ready) and ready[i][0] <= at + self.ahead:
+                state = self.combine(state, ready[i][2])
+                i += 1
+            out.append((*key, at, order, self.zero, float(state), False))
+        for _, _, v in ready[i:] if self.ahead is not None else ():
+            state = self.combine(state, v)
         if ready:
             self.state.update((float(state),))
-            rest = held[len(ready) :]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if self.ahead is not None:
-            asked = sorted(tuple(r) for r in self.probes.get())
-            due = [r for r in asked if r[0] + self.ahead <= done]
-            out += [(*key, at, order, self.zero, float(state)) for at, order, _ in due]
-            if due:
-                rest = asked[len(due) :]
-                self.probes.put(rest) if rest else self.probes.clear()
-        yield pd.DataFrame(out, columns=[*self.keys, "ts_ms", "ord", "before", "after"]) if out else pd.DataFrame()
+            self._keep(self.waiting, held[len(ready) :])
+        if due:
+            self._keep(self.probes, asked[len(due) :])
+        times = [r[0] for r in held[len(ready) : len(ready) + 1]] + [r[0] + self.ahead for r in asked[len(due) : len(due) + 1]]
+        if times:
+            self._wake(min(times) + 1)
+        yield self._frame(out)
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
 
     def close(self) -> None:
         pass
@@ -96,15 +127,16 @@ def running(
     delay: Duration | str = "10s",
     look_forward: Duration | str | None = None,
 ) -> DataFrame:
-    """(keys, ts_ms, ord, before, after) of a stream: the fold of `value` per key before and after each row.
+    """(keys, ts_ms, ord, before, after, late) of a stream: the fold of `value` per key before and after each row.
 
     With look_forward, `after` is the state at that much later, and a row comes out once the
-    watermark has passed that time. Rows later than `delay` are dropped, rows with a null key, time,
+    watermark has passed that time. Rows later than `delay` come out with `late` and
+    without states, for counting or a sink of their own; rows with a null key, time,
     order or value are left out. Needs the RocksDB state store (see ROCKS).
     """
     rows = stream.dropna(subset=[*keys, ts_ms, order, value])
     kinds = dict(stream.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts_ms long, ord long, before double, after double"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts_ms long, ord long, before double, after double, late boolean"])
     timed = with_event_time(rows.select(*keys, ts_ms, order, value), ts_ms, delay)
     ahead = None if look_forward is None else as_duration(look_forward).ms
     processor = _Running(keys, ts_ms, order, value, zero, combine, ahead)

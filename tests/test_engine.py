@@ -198,7 +198,7 @@ def test_hot_keys_give_the_same(spark, offset, mean):
     feature = k["b"].sum(**AGGS, **decays, **sets).zip(k["b"].window(8, **trailing)).zip(k["b"].latest_within(6, "v", enforce=True).map(near="v"))
     node = k["a"].labeled(Label.of(feature).look_forward(offset)) if offset else k["a"].pre_lookup(feature)
     plain = Engine(spark, frames).run(node).orderBy("ord").collect()
-    for hot_rows in (5, 25):
+    for hot_rows in (5,):
         split = Engine(spark, frames, hot_rows=hot_rows).run(node).orderBy("ord").collect()
         assert len(plain) == len(split) == 60
         for x, y in zip(plain, split, strict=True):

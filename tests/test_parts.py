@@ -324,3 +324,31 @@ def test_stream_equals_batch(spark, tmp_path):
     bars = out(live.candles(stream, "k", "t", "id", "v", "v", "10s", "50s"), "bars").where("start_ms < 200000")
     want = batch.groupBy("k", (F.floor(F.col("t") / 10_000) * 10_000).alias("start_ms")).agg(F.min_by("v", F.struct("t", "id")), F.max("v"), F.min("v"), F.max_by("v", F.struct("t", "id")), F.sum("v"), F.count("*"))
     assert sorted(tuple(x)[:8] for x in bars.drop("batch").collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Rows behind the watermark change no state, and the query's progress tells how many there were."""
+    schema = "t long, id long, k string, v double"
+    for n, row in enumerate(((100_000, 1, "a", 1.0), (900_000, 2, "a", 1.0), (900_001, 4, "a", 1.0), (5, 3, "a", 1.0), (9_000_000, 9, "a", 1.0))):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = live.write_once(live.running(stream, ["k"], "t", "id", "v", 0.0, lambda a, b: a + b, "50s"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts_ms").select("ord", "before", "after").collect()
+    assert [tuple(r) for r in got] == [(1, 0.0, 1.0), (2, 1.0, 2.0), (4, 2.0, 3.0)]
+    assert live.dropped(query) == 1
+
+
+# --- databases ------------------------------------------------------------------------------
+
+
+def test_queries_of_a_database_are_read_in_parts(spark):
+    """A semi-join inside the database, and a query that is read by four tasks."""
+    url, driver = "jdbc:derby:memory:tidemark;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(1000).selectExpr("id", "id % 7 as k", "if(id = 5, null, id * 1.5D) as v")
+    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "rows_").mode("overwrite").save()
+    some = io.read_query(spark, url, 'select "id", "v" from rows_ where "k" in (select "k" from rows_ where "id" < 2)', driver=driver)
+    assert {r["id"] for r in some.collect()} == {i for i in range(1000) if i % 7 in (0, 1)}
+    parts = io.read_query(spark, url, 'select "id", "v" from rows_', driver=driver, partitionColumn="id", lowerBound="0", upperBound="1000", numPartitions="4")
+    assert parts.rdd.getNumPartitions() == 4
+    assert {(r["id"], r["v"]) for r in parts.collect()} == {(i, None if i == 5 else i * 1.5) for i in range(1000)}

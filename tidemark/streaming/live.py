@@ -31,8 +31,8 @@ class _Running(StatefulProcessor):
     """Buffer to the watermark, fold in order, emit with the state before and after.
 
     A key has one timer, for its earliest row that waits: when it goes off everything up to the
-    watermark is taken at once, so that what waits is read and written once a batch. Rows that
-    come behind the watermark come out at once, marked, and change no state."""
+    watermark is taken at once, so that what waits is read and written once a batch. Spark drops
+    rows behind the watermark before they come here, and counts them (see `dropped`)."""
 
     def __init__(self, keys: list[str], ts: str, order: str, value: str, zero: float, combine: Callable[[Any, Any], Any], ahead: int | None):
         self.keys, self.ts, self.order, self.value = keys, ts, order, value
@@ -47,13 +47,9 @@ class _Running(StatefulProcessor):
         self.state = handle.getValueState("state", T.StructType([T.StructField("s", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs()
-        late, first = [], None
+        first = None
         for pdf in rows:
             for at, order, v in zip(pdf[self.ts], pdf[self.order], pdf[self.value], strict=True):
-                if at < mark:
-                    late.append((*key, int(at), int(order), None, None, True))
-                    continue
                 row = (int(at), int(order), float(v))
                 self.waiting.appendValue(row)
                 if self.ahead is not None:
@@ -61,13 +57,7 @@ class _Running(StatefulProcessor):
                 first = row[0] if first is None else min(first, row[0])
         if first is not None:
             self._wake(first + 1)
-        yield self._frame(late)
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        if not rows:
-            return pd.DataFrame()
-        out = pd.DataFrame(rows, columns=[*self.keys, "ts_ms", "ord", "before", "after", "late"])
-        return out.astype({"before": "float64", "after": "float64"})
+        yield pd.DataFrame()
 
     def _wake(self, at: int) -> None:
         """Sets the timer of the key, unless an earlier one is set."""
@@ -90,12 +80,12 @@ class _Running(StatefulProcessor):
         out, i = [], 0
         for at, order, v in ready if self.ahead is None else ():
             before, state = state, self.combine(state, v)
-            out.append((*key, at, order, before, state, False))
+            out.append((*key, at, order, before, state))
         for at, order, _ in due:  # each with the state of its own later time
             while i < len(ready) and ready[i][0] <= at + self.ahead:
                 state = self.combine(state, ready[i][2])
                 i += 1
-            out.append((*key, at, order, self.zero, float(state), False))
+            out.append((*key, at, order, self.zero, float(state)))
         for _, _, v in ready[i:] if self.ahead is not None else ():
             state = self.combine(state, v)
         if ready:
@@ -106,7 +96,7 @@ class _Running(StatefulProcessor):
         times = [r[0] for r in held[len(ready) : len(ready) + 1]] + [r[0] + self.ahead for r in asked[len(due) : len(due) + 1]]
         if times:
             self._wake(min(times) + 1)
-        yield self._frame(out)
+        yield pd.DataFrame(out, columns=[*self.keys, "ts_ms", "ord", "before", "after"]) if out else pd.DataFrame()
 
     @staticmethod
     def _keep(state, rows: list[tuple]) -> None:
@@ -127,22 +117,27 @@ def running(
     delay: Duration | str = "10s",
     look_forward: Duration | str | None = None,
 ) -> DataFrame:
-    """(keys, ts_ms, ord, before, after, late) of a stream: the fold of `value` per key before and after each row.
+    """(keys, ts_ms, ord, before, after) of a stream: the fold of `value` per key before and after each row.
 
     With look_forward, `after` is the state at that much later, and a row comes out once the
-    watermark has passed that time. Rows later than `delay` come out with `late` and
-    without states, for counting or a sink of their own; rows with a null key, time,
+    watermark has passed that time. Rows later than `delay` are dropped and counted
+    (`dropped`), rows with a null key, time,
     order or value are left out. Needs the RocksDB state store (see ROCKS).
     """
     rows = stream.dropna(subset=[*keys, ts_ms, order, value])
     kinds = dict(stream.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts_ms long, ord long, before double, after double, late boolean"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts_ms long, ord long, before double, after double"])
     timed = with_event_time(rows.select(*keys, ts_ms, order, value), ts_ms, delay)
     ahead = None if look_forward is None else as_duration(look_forward).ms
     processor = _Running(keys, ts_ms, order, value, zero, combine, ahead)
     return timed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
+def dropped(query) -> int:
+    """How many rows of a query came behind the watermark, by the progress that Spark still holds."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def candles(stream: DataFrame, key: str, ts_ms: str, order: str, price: str, volume: str, width: Duration | str, delay: Duration | str = "10s") -> DataFrame:
     """Tumbling candles of a stream; each one comes out when the watermark has passed its end."""
     rows = with_event_time(stream.dropna(subset=[key, ts_ms, price]), ts_ms, delay)

@@ -1,5 +1,6 @@
-"""Sentences written for the test of personal information: names, numbers and addresses that stand in
-none of the operator's lists, in phrasings of letters, reports and forums. `[kind|text]` marks an item."""
+"""Sentences written for the test of personal information, in phrasings of letters, reports and forums: given
+names that stand in none of the operator's lists (some family names have a listed ending), numbers and
+addresses. `[kind|text]` marks an item."""
 
 from __future__ import annotations
 

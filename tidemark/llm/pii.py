@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,27 @@ ADDRESS_IT = re.compile(
 ADDRESS_PL = re.compile(
     rf"(?<!\w)(?:ul\.|al\.|pl\.|os\.){_GAP}{_FR_WORD}(?:{_GAP}{_FR_WORD}){{0,2}}?{_GAP}\d{{1,4}}[a-z]?(?:/\d{{1,4}})?(?!\w)(?P<code>{_COMMA}\d\d-\d{{3}}{_GAP}{_TOWN})?"
 )
-ADDRESSES = (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES, ADDRESS_IT, ADDRESS_PL)
+# Patterns that begin with one of a few words, of which a text has to hold one to be searched.
+ADDRESSES = {
+    ADDRESS_EN: None,
+    ADDRESS_FR: None,
+    ADDRESS_ES: ("Calle", "C/", "Avda.", "Avenida", "Av.", "Plaza", "Pza.", "Paseo", "Camino", "Ronda"),
+    ADDRESS_IT: ("Via", "Piazza", "Corso", "Largo", "Vicolo"),
+    ADDRESS_PL: ("ul.", "al.", "pl.", "os."),
+}
+# What stands before the number of a German street: its last letter, or the point of "str."
+_NUMBER_AFTER = re.compile(rf"(?<=[eEgGzZmMrR.]){_GAP}\d")
+
+
+def _german(text: str) -> Iterator[re.Match]:
+    """Ends of German streets, looked for at the numbers behind them."""
+    done = 0
+    for n in _NUMBER_AFTER.finditer(text):
+        for a in range(max(done, n.start() - 8), n.start() - 2):
+            if m := ADDRESS_DE.match(text, a):
+                done = m.end()
+                yield m
+                break
 
 _INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
 _MIDDLE = rf"(?:{_GAP}{_INITIAL}){{0,2}}"
@@ -183,6 +204,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|☎|/")
 _PLAIN = str.maketrans("ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕØÚÙÛÜÇÑÝŁŚŻŽŠČ", "AAAAAAEEEEIIIIOOOOOOUUUUCNYLSZZSC")
 
 
+@lru_cache(1 << 16)
 def plain(word: str) -> str:
     """A word in upper case without accents; a garbled one is decoded again if it can be."""
     if "Ã" in word or "Å" in word:
@@ -200,6 +222,7 @@ _NO_NAME = {plain(w) for w in NO_NAME}
 _ELIDED = re.compile(r"\w{1,3}['’][a-zà-ÿ]")
 
 
+@lru_cache(1 << 16)
 def _known_given(word: str) -> bool:
     w = plain(word)
     if w in _GIVEN:
@@ -388,19 +411,22 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
         out.append((*m.span(), 1, label_phone(text, *m.span())))
     for m in ID.finditer(text):
         out.append((*m.span(), 2, label_id(text, *m.span())))
-    for p in ADDRESSES:
-        for m in p.finditer(text):
-            a, b = m.span()
-            if p is ADDRESS_EN:
-                b = _town_end(text, m)
-            if p is ADDRESS_DE:
-                begin = _DE_BEGIN.search(text, max(0, a - LONGEST - 2), a)
-                if not begin:
-                    continue
-                a = begin.start()
-            while b > a and text[b - 1] in "?�,;":
-                b -= 1
-            out.append((a, b, 3, label_address(text, a, b, m)))
+    addresses: list[re.Match] = []
+    for p, begins in ADDRESSES.items():
+        if begins is None or any(w in text for w in begins):
+            addresses += p.finditer(text)
+    for m in (*addresses, *_german(text)):
+        a, b = m.span()
+        if m.re is ADDRESS_EN:
+            b = _town_end(text, m)
+        if m.re is ADDRESS_DE:
+            begin = _DE_BEGIN.search(text, max(0, a - LONGEST - 2), a)
+            if not begin:
+                continue
+            a = begin.start()
+        while b > a and text[b - 1] in "?�,;":
+            b -= 1
+        out.append((a, b, 3, label_address(text, a, b, m)))
     out.extend((a, b, 4, v) for a, b, v in _name_spans(text))
     return out
 

@@ -111,6 +111,16 @@ def test_constant_features_and_empty(spark):
     assert rows(spark, DATA, K.pre_lookup(k.sum(s=M.Sum("i")))) == [(0, 42, 0), (1, 43, 0), (0, 44, 0), (1, 45, 0)]
 
 
+def test_constants_alone_where_keys_are_hot(spark):
+    """Constants keep no state: no key is cut for them, and rows are not moved."""
+    df = spark.createDataFrame(SIX, "ts long, i int")
+    fn = Constant.of(c="k + 1", t="_ts")
+    for node in (K.post_lookup(fn).values("c", "t"), K.pre_lookup(fn).values("c", "t"), K.labeled(Label.of(fn).look_forward(2)).map("c", "t")):
+        got = Engine(spark, {"num": df}, hot_rows=2).run(node)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 3), (1, 5), (2, 0), (2, 2), (2, 4)]
+
+
 def test_unit_key(spark):
     all_of = NUM.map("i").key_by()
     assert rows(spark, DATA, all_of.post_lookup(all_of.count("n")).values("n")) == [(1,), (2,), (3,), (4,)]

@@ -243,7 +243,8 @@ class _Lookup:
             branches.setdefault((b.event, d, after), len(branches))
         self.states = [_State(j, b, branches[b.event, d, a], d, offset + d) for j, (b, d, a) in enumerate(bases)]
         folds = {s.branch for s in self.states if s.folds}
-        self.split = not folds and engine._may_be_hot(below, bases)
+        # features of constants alone keep no state, so that there is nothing to carry from span to span
+        self.split = bool(self.states) and not folds and engine._may_be_hot(below, bases)
         self.by_key = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
         # how the updates of each branch come: on the events' own rows, as copies of them, or as rows of their own
         self.own: dict[int, list] = {}

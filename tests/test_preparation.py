@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import Place, StampParser
 from tidemark.functions.zones import ZoneTable
-from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, trailing
+from tidemark.operators import bad_rows, known_at, normalise_time, regular_grid, spikes, tables, trailing
 from tidemark.queries import market
 
 GOOD = "2021-05-06 14:39:00,1.5,2,-3e2,4.25,76"
@@ -422,3 +422,43 @@ def test_dense_bars_in_every_form(spark, small, tmp_path):
     got = market.dense_bars_all(spark, str(tmp_path)).select("symbol", "bar", "close", "volume")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert market.dense_bars(spark, str(tmp_path)).count() == 1
+
+
+def _broadcast_rows(plan) -> list[int]:
+    """The rows of each table that a plan that has run built in the driver."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return _broadcast_rows(plan.executedPlan() if kind.startswith("Adaptive") else plan.plan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if kind == "BroadcastExchangeExec" else []
+    return own + [n for i in range(plan.children().size()) for n in _broadcast_rows(plan.children().apply(i))]
+
+
+def test_dense_bars_broadcast_no_spans(spark, tmp_path):
+    """What Spark takes for a few rows of (symbol, first bar) stood for one row a day up to the last bar
+    of any symbol, and was built in the driver."""
+    days = [np.datetime64("1990-01-01") + 27 * i for i in range(400)]
+    rows = [(i, f"s{i % 3}", f"{day} 03:00:00 UTC", float(i), i) for i, day in enumerate(days)]
+    spark.createDataFrame(rows, "hk_id long, symbol string, bar_start_utc string, close double, volume long").write.parquet(f"{tmp_path}/hk_stocks.parquet")
+    got = market.dense_bars(spark, str(tmp_path))
+    assert len(got.collect()) == 400 + 399 + 398
+    assert max(_broadcast_rows(got._jdf.queryExecution().executedPlan()), default=0) <= 400
+
+
+@pytest.mark.parametrize("block", [1, 4, 256])
+def test_dense_latest_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(tables, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(n, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-40, 40)]), rng.choice([None, n])) for n in range(60)]
+    rows += [(60, "late", 39, 1), (61, "a", -40, None), (62, "a", -40, 5), (63, "a", -40, None)]
+    readings = spark.createDataFrame(rows, "n long, k string, t long, v long")
+    got = tables.dense_latest(readings, "k", "t", "n", ["v"])
+    assert got.columns == ["k", "bar", "since", "v"]
+    seen = [r for r in rows if r[1] is not None and r[2] is not None]
+    want = []
+    for k in {r[1] for r in seen}:
+        for bar in {r[2] for r in seen}:
+            if before := [(t, n, v) for n, key, t, v in seen if key == k and t <= bar]:
+                t, _, v = max(before, key=lambda x: x[:2])
+                want.append((k, bar, t, v))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert tables.dense_latest(readings.where("false"), "k", "t", "n", ["v"]).collect() == []

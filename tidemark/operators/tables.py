@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import stage
@@ -159,19 +159,34 @@ def balances(
     return rows.mapInPandas(run, schema)
 
 
-def dense_grid(readings: DataFrame, entity: str, at: str, bar_ms: int) -> DataFrame:
-    """(entity, bar): every entity at every instant at which any entity has a reading, from its own first one on.
+#: Instants of a dense table are dealt to blocks of so many.
+BLOCK = 256
 
-    Instants are packed per day and joined by day, so that no pair is formed that is not a result
-    (but for the entity's first day). bar_ms: least distance of instants; it bounds a day's pack.
+
+def dense_latest(readings: DataFrame, entity: str, at: str, order: str, values: list[str]) -> DataFrame:
+    """(entity, bar, since, values): every entity at every instant at which any entity has a reading, from its
+    own first one on, with its latest reading so far and the instant of that. Of the readings of an
+    entity at one instant the last in `order` counts. Rows without entity or instant are left out.
+
+    The grid itself is never moved or sorted. Instants are numbered over all entities, so that a
+    reading holds for a span of numbers, up to the next reading of its entity. Spans are cut at blocks of BLOCK
+    instants and joined with these: one row for each reading and each block of an entity,
+    which becomes rows of the grid only when it is written. The join is never a broadcast, as
+    Spark does not see that spans are cut into many rows.
     """
-    day = 86_400_000
     rows = readings.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    bars = rows.select((F.col(at) - F.pmod(at, F.lit(bar_ms))).alias("bar")).distinct()
-    packs = bars.groupBy(F.floor(F.col("bar") / day).alias("day")).agg(F.collect_list("bar").alias("bars"))
-    first = rows.groupBy(F.col(entity).alias("entity")).agg(F.min((F.col(at) - F.pmod(at, F.lit(bar_ms)))).alias("first"))
-    last = packs.agg(F.max("day")).first()[0]
-    days = F.sequence(F.floor(F.col("first") / day), F.lit(last).cast("long"))
-    spans = first.select("entity", "first", F.explode(days).alias("day"))
-    out = spans.join(packs, "day").select("entity", "first", F.explode("bars").alias("bar")).where(F.col("bar") >= F.col("first"))
-    return out.select(F.col("entity").alias(entity), "bar")
+    last = F.max(F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in values))).alias("_last")
+    one = stage(rows.groupBy(F.col(entity), F.col(at).cast("long").alias("since")).agg(last), "readings")
+    bars = with_position(one.select(F.col("since").alias("bar")).distinct(), "bar", name="_n")
+    count = (bars.agg(F.max("_n")).first()[0] or 0) + 1
+    one = one.join(bars.select(F.col("bar").alias("since"), "_n"), "since")
+    until = F.coalesce(F.lead("_n").over(Window.partitionBy(entity).orderBy("since")), F.lit(count).cast("long"))
+    spans = one.withColumn("_until", until)
+    block = lambda n: F.floor(n / BLOCK).cast("long")
+    spans = spans.select("*", F.explode(F.sequence(block(F.col("_n")), block(F.col("_until") - 1))).alias("_block"))
+    packs = bars.groupBy(block(F.col("_n")).alias("_block")).agg(F.sort_array(F.collect_list("bar")).alias("_bars"))
+    begin = F.greatest(F.col("_n") - F.col("_block") * BLOCK, F.lit(0))
+    end = F.least(F.col("_until") - F.col("_block") * BLOCK, F.lit(BLOCK))
+    own = F.slice("_bars", (begin + 1).cast("int"), (end - begin).cast("int"))
+    out = spans.hint("merge").join(packs, "_block").select(entity, "since", "_last", F.explode(own).alias("bar"))
+    return out.select(entity, "bar", "since", *(F.col(f"_last.`{v}`").alias(v) for v in values))

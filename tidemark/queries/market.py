@@ -18,7 +18,6 @@ TICKS = Source("stock_ticks", "timestamp_ms", "tick_id")
 BARS = Source("finnhub_bar", "at_ms", "bar_id")
 CANDLES = Source("stock_candles", "candle_end_epoch_millis", "candle_id")
 RATES = Source("exchange_rates", "timestamp_epoch_millis", "rate_id")
-HK = Source("hk_stocks", "bar_end", "hk_id")
 
 
 def ticks_candles(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +118,9 @@ def _dense(spark: SparkSession, d: str, start_ms: Column) -> DataFrame:
     minutes = F.when(F.hour(F.timestamp_millis("start_ms")) == 1, 30).otherwise(60)
     hk = hk.select("hk_id", "symbol", "close", "volume", (F.col("start_ms") + minutes * 60_000).alias("bar_end"))
     hk = hk.where("bar_end is not null")
-    grid = tables.dense_grid(hk, "symbol", "bar_end", 1).withColumn("row", F.xxhash64("symbol", "bar"))
-    latest = HK.map("symbol", "close", "volume", "bar_end").key_by("symbol").latest("close", "volume", "bar_end")
-    latest = latest.map("close", volume="case when bar_end = _ts then volume else 0 end")
-    bars = Source("z_grid", "bar", "row").map("symbol", "bar").key_by("symbol").post_lookup(latest)
-    return Engine(spark, {"hk_stocks": hk, "z_grid": grid}, hot_rows=HOT_ROWS).run(bars)
+    out = tables.dense_latest(hk, "symbol", "bar_end", "hk_id", ["close", "volume"])
+    volume = F.when(F.col("since") == F.col("bar"), F.col("volume")).otherwise(0)
+    return out.select("symbol", "bar", "close", volume.alias("volume"))
 
 
 def dense_bars(spark: SparkSession, d: str) -> DataFrame:

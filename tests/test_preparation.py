@@ -444,6 +444,17 @@ def test_dense_bars_broadcast_no_spans(spark, tmp_path):
     assert max(_broadcast_rows(got._jdf.queryExecution().executedPlan()), default=0) <= 400
 
 
+def test_dense_bars_all_broadcast_no_spans(spark, small, tmp_path):
+    """The same with starts in two forms, of which dense_bars reads one."""
+    days = [np.datetime64("1990-01-01") + 27 * i for i in range(400)]
+    rows = [(i, f"s{i % 3}", f"{day} 03:00:00 UTC" if i % 2 else f"{day}T03:00:00Z", float(i), i) for i, day in enumerate(days)]
+    spark.createDataFrame(rows, "hk_id long, symbol string, bar_start_utc string, close double, volume long").write.parquet(f"{tmp_path}/hk_stocks.parquet")
+    spark.read.parquet(f"{small}/exchanges.parquet").write.parquet(f"{tmp_path}/exchanges.parquet")
+    got = market.dense_bars_all(spark, str(tmp_path))
+    assert len(got.collect()) == 400 + 399 + 398
+    assert max(_broadcast_rows(got._jdf.queryExecution().executedPlan()), default=0) <= 400
+
+
 @pytest.mark.parametrize("block", [1, 4, 256])
 def test_dense_latest_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(tables, "BLOCK", block)

@@ -455,6 +455,51 @@ def test_dense_bars_all_broadcast_no_spans(spark, small, tmp_path):
     assert max(_broadcast_rows(got._jdf.queryExecution().executedPlan()), default=0) <= 400
 
 
+def _operators(plan) -> list:
+    """All operators of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return _operators(plan.executedPlan() if kind.startswith("Adaptive") else plan.plan())
+    return [plan] + [x for i in range(plan.children().size()) for x in _operators(plan.children().apply(i))]
+
+
+def test_dense_bars_all_sends_python_each_odd_stamp_once(spark, small, tmp_path, monkeypatch):
+    """Python workers, which count as the driver's memory where all runs in one process, saw every row."""
+    forms = ["2021-03-04 03:00:00 UTC", "2021-03-05 03:00:00 UTC", "2021-03-06T03:00:00Z", "1615086000", "n/a", None]
+    rows = [(i, f"s{i % 5}", forms[i % 6], float(i), i) for i in range(300)]
+    spark.createDataFrame(rows, "hk_id long, symbol string, bar_start_utc string, close double, volume long").write.parquet(f"{tmp_path}/hk_stocks.parquet")
+    spark.read.parquet(f"{small}/exchanges.parquet").write.parquet(f"{tmp_path}/exchanges.parquet")
+    seen, whole = [], tables.dense_latest
+    monkeypatch.setattr(tables, "dense_latest", lambda readings, *a: seen.append(readings) or whole(readings, *a))
+    got = market.dense_bars_all(spark, str(tmp_path))
+    assert len(got.collect()) == 5 * 4
+    assert len(seen[0].collect()) == 200
+    python = [x for x in _operators(seen[0]._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName() == "ArrowEvalPythonExec"]
+    assert [x.metrics().get("pythonNumRowsReceived").get().value() for x in python] == [3]
+    # the spans, of which there is one for each reading and block at least, are not sorted to be joined with the blocks
+    joins = [k for x in _operators(got._jdf.queryExecution().executedPlan()) if "Join" in (k := x.getClass().getSimpleName())]
+    assert joins[0] == "ShuffledHashJoinExec"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_with_utc_millis_reads_as_utc_millis(spark, zone):
+    texts = ["2021-03-04 05:06:07 UTC", "2021-02-30 00:00:00 UTC", "2021-13-01 00:00:00 UTC", "2021-01-01 24:00:00 UTC", "2021-01-01 00:60:00 UTC", "2021-01-01 00:00:60 UTC",
+             "0000-01-01 00:00:00 UTC", "0001-01-01 00:00:00 UTC", "1582-10-10 00:00:00 UTC", "1900-02-29 00:00:00 UTC", "9999-12-31 23:59:59 UTC", "2021-03-04 05:06:07 utc", " 2021-03-04  05:06:07 UTC",
+             "2021-03-04 05:06:07 UTC\n", "2021-03-04 05:06:07 UTC x", "2021-03-04 05:06:07", "2021-03-04T05:06:07+08:00", "2021-3-4 05:06:07 UTC", "1614999600", "", None, "n/a"]
+    rows = [(i, texts[i % len(texts)]) for i in range(3 * len(texts))]
+    parser = StampParser({"X": Place(ZoneTable.build("America/New_York"), None)}, {})
+    df = spark.createDataFrame(rows, "n long, t string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = normalise_time.with_utc_millis(df, parser, "t", "X", "ms")
+        want = df.withColumn("ms", normalise_time.utc_millis(parser, F.col("t"), F.lit("X"))).where("ms is not null")
+        assert got.columns == ["n", "t", "ms"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 @pytest.mark.parametrize("block", [1, 4, 256])
 def test_dense_latest_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(tables, "BLOCK", block)

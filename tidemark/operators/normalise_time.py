@@ -13,6 +13,8 @@ from tidemark.functions.zones import ZoneTable
 MAX_PLACES = 10_000
 #: All real instants of a number without unit lie from 1990 to 2030.
 FIRST_S, END_S = 631_152_000, 1_893_456_000
+#: Stamps that Spark reads as the parser does, if it reads them at all.
+_PLAIN = r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} UTC\z"
 
 
 def place_book(exchanges: DataFrame) -> StampParser:
@@ -54,6 +56,22 @@ def utc_millis(parser: StampParser, text: Column, code: Column) -> Column:
     return parse.asNondeterministic()(text.cast("string"), code.cast("string"))
 
 
+def with_utc_millis(df: DataFrame, parser: StampParser, text: str, code: str, name: str) -> DataFrame:
+    """df with epoch milliseconds of the column `text`, read as written at the one place `code`, as the
+    column `name`; rows that name no instant are left out.
+
+    The form `yyyy-MM-dd HH:mm:ss UTC` is read without Python. Each other text is parsed once, however
+    many rows have it, and joined to its rows, so that few Python workers start and see little.
+    """
+    stamp = F.col(f"`{text}`").cast("string")
+    plain = F.when(stamp.rlike(_PLAIN), F.unix_millis(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss z"))))
+    rest = df.where(plain.isNull() & stamp.isNotNull())
+    stamps = rest.select(stamp.alias("_stamp")).distinct()
+    stamps = stamps.select("_stamp", utc_millis(parser, F.col("_stamp"), F.lit(code)).alias(name)).where(F.col(name).isNotNull())
+    read = rest.withColumn("_text", stamp).join(stamps.hint("merge"), F.col("_text") == F.col("_stamp")).drop("_text", "_stamp")
+    return df.withColumn(name, plain).where(F.col(name).isNotNull()).unionByName(read)
+
+
 def with_zone(parser: StampParser, code: str, zone: str) -> StampParser:
     """The same book, but with stamps of `code` that name no zone read in `zone`."""
     place = parser.places.get(code, Place(None, None))

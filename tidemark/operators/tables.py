@@ -172,7 +172,8 @@ def dense_latest(readings: DataFrame, entity: str, at: str, order: str, values:
     reading holds for a span of numbers, up to the next reading of its entity. Spans are cut at blocks of BLOCK
     instants and joined with these: one row for each reading and each block of an entity,
     which becomes rows of the grid only when it is written. The join is never a broadcast, as
-    Spark does not see that spans are cut into many rows.
+    Spark does not see that spans are cut into many rows; it looks blocks up, a few bytes for each
+    instant, so that spans are not sorted either.
     """
     rows = readings.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
     last = F.max(F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in values))).alias("_last")
@@ -188,5 +189,5 @@ def dense_latest(readings: DataFrame, entity: str, at: str, order: str, values:
     begin = F.greatest(F.col("_n") - F.col("_block") * BLOCK, F.lit(0))
     end = F.least(F.col("_until") - F.col("_block") * BLOCK, F.lit(BLOCK))
     own = F.slice("_bars", (begin + 1).cast("int"), (end - begin).cast("int"))
-    out = spans.hint("merge").join(packs, "_block").select(entity, "since", "_last", F.explode(own).alias("bar"))
+    out = spans.join(packs.hint("shuffle_hash"), "_block").select(entity, "since", "_last", F.explode(own).alias("bar"))
     return out.select(entity, "bar", "since", *(F.col(f"_last.`{v}`").alias(v) for v in values))

@@ -3,7 +3,7 @@ exchange rates, dense price tables, and the statistics of trades."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import duration as D
@@ -110,11 +110,14 @@ def bar_history(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Engine(spark, {"finnhub_bar": bars}, hot_rows=HOT_ROWS).run(out), "m_mean", "d_mean", "z")
 
 
-def _dense(spark: SparkSession, d: str, start_ms: Column) -> DataFrame:
+def _hk_bars(spark: SparkSession, d: str) -> DataFrame:
+    hk = table(spark, d, "hk_stocks").where("symbol is not null and close is not null")
+    return hk.select("hk_id", "symbol", F.col("close").cast("double").alias("close"), "volume", "bar_start_utc")
+
+
+def _dense(hk: DataFrame) -> DataFrame:
     """Every symbol at every bar end since it was first seen, with its close so far and the bar's
     volume, which is 0 where the symbol has no bar. Rows without start_ms are left out."""
-    hk = table(spark, d, "hk_stocks").where("symbol is not null and close is not null")
-    hk = hk.select("hk_id", "symbol", F.col("close").cast("double").alias("close"), "volume", start_ms.alias("start_ms"))
     minutes = F.when(F.hour(F.timestamp_millis("start_ms")) == 1, 30).otherwise(60)
     hk = hk.select("hk_id", "symbol", "close", "volume", (F.col("start_ms") + minutes * 60_000).alias("bar_end"))
     hk = hk.where("bar_end is not null")
@@ -129,14 +132,15 @@ def dense_bars(spark: SparkSession, d: str) -> DataFrame:
     Rows in any other form are dropped: 3,681 of the 20,000 of sf0.1, though 3,386 of them name
     an instant. `dense_bars_all` keeps those.
     """
-    return _dense(spark, d, F.unix_millis(F.try_to_timestamp("bar_start_utc", F.lit("yyyy-MM-dd HH:mm:ss 'UTC'"))))
+    start_ms = F.unix_millis(F.try_to_timestamp("bar_start_utc", F.lit("yyyy-MM-dd HH:mm:ss 'UTC'")))
+    return _dense(_hk_bars(spark, d).withColumn("start_ms", start_ms))
 
 
 def dense_bars_all(spark: SparkSession, d: str) -> DataFrame:
     """The dense table of all bars, with starts read in any form as p5_found reads them; only rows
     that name no instant are left out. Starts without zone are UTC."""
     book = normalise_time.with_zone(normalise_time.place_book(table(spark, d, "exchanges")), "QHK", "UTC")
-    return _dense(spark, d, normalise_time.utc_millis(book, F.col("bar_start_utc"), F.lit("QHK")))
+    return _dense(normalise_time.with_utc_millis(_hk_bars(spark, d), book, "bar_start_utc", "QHK", "start_ms"))
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
